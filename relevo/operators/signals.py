@@ -89,3 +89,8 @@ def enrich_posts(posts: DataFrame, reputation: DataFrame, utility: DataFrame) ->
             .withColumn("expertise_score", F.coalesce(F.col("_focus"), F.lit(0.0)))
             .withColumn("utility_score", F.coalesce(F.col("_hits").cast("double"), F.lit(0.0)))
             .drop("_focus", "_hits"))
+
+
+def head_row(df: DataFrame, tie_break: list[str]) -> DataFrame:
+    """First row of a ranked result (T5); ``tie_break`` makes the pick deterministic."""
+    return (df.orderBy(F.col("topical_focus_score").desc_nulls_last(), *tie_break).limit(1))
