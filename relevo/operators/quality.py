@@ -96,31 +96,3 @@ def diagnose(df: DataFrame, canary_scores: DataFrame | None = None) -> DataFrame
             th.alias("threshold"), (F.col("semantic") < th).alias("failed"))
         out = out.unionByName(c)
     return out
-
-
-def score_canaries(spark: SparkSession, scorer) -> DataFrame:
-    """Score the canary pairs with a pair scorer; adds ``expected`` and ``passed`` (D3).
-
-    Expectations: relevant > 0.5, irrelevant < 0.5, default features > 0.3.
-    """
-    from relevo.operators import lexical as L
-    from relevo.operators import scoring as SC
-
-    c = canary_frame(spark)
-    q = c.select(F.col("canary").alias("query_id"), "query_text")
-    qt = L.query_terms(q)
-    nq = qt.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_query_terms"))
-    body_terms = c.select(F.col("canary").alias("query_id"),
-                          F.explode(F.array_distinct(L.token_array(F.col("body")))).alias("term"))
-    matched = qt.join(body_terms, ["query_id", "term"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("matched"))
-    pairs = (c.join(nq, c.canary == nq.query_id).join(matched, "query_id", "left")
-             .withColumn("matched", F.coalesce("matched", F.lit(0))))
-    scored = SC.score_pairs(SC.pair_features(pairs), scorer)
-    expected = (F.when(F.col("canary") == "irrelevant_low_features", F.lit("<0.5"))
-                .when(F.col("canary") == "relevant_high_features", F.lit(">0.5")).otherwise(F.lit(">0.3")))
-    passed = (F.when(F.col("canary") == "irrelevant_low_features", F.col("semantic") < 0.5)
-              .when(F.col("canary") == "relevant_high_features", F.col("semantic") > 0.5)
-              .otherwise(F.col("semantic") > 0.3))
-    return scored.select("canary", "semantic", expected.alias("expected"), passed.alias("passed"))
-
-

@@ -61,13 +61,13 @@ def train_relevance_model(train_df: DataFrame, epochs: int = EPOCHS, val: float
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 
-    data = split(model_frame(train_df), val, seed)
+    data = split(model_frame(train_df), val, seed).checkpoint(eager=True)
     tr, va = data.where(~F.col("is_validation")), data.where(F.col("is_validation"))
     evaluator = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label",
                                                   probabilityCol="probability")
     results = []
     best = None
-    budgets = sorted({max(1, int(round(epochs * f))) for f in (0.2, 0.5, 1.0)} | {epochs * 10})
+    budgets = sorted({max(1, int(round(epochs * f))) for f in (0.2, 0.5, 1.0)})
     for it in budgets:
         if hidden:
             clf = MultilayerPerceptronClassifier(layers=[len(FEATURES), hidden, 2], maxIter=it, seed=seed)

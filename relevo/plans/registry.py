@@ -32,7 +32,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     # query modules register themselves on import
-    from relevo.plans import q_search, q_signals, q_tables  # noqa: F401
+    from relevo.plans import q_jobs, q_search, q_signals, q_tables  # noqa: F401
 
 
 _load()

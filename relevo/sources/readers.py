@@ -40,17 +40,14 @@ def holdout(df: DataFrame, offset: int = 5000, limit: int = 200) -> DataFrame:
 
 def read_with_fallback(spark: SparkSession, *sources) -> DataFrame:
     """First source that loads (S5). A source is a callable ``spark -> DataFrame``
-    or a JSON path (a JSON array file or JSON lines) read with ``POSTS_SCHEMA``."""
+    or a JSON path (a JSON array file or JSON lines) read with ``POSTS_SCHEMA``.
+    A missing path fails when the reader resolves it, and the next source is tried."""
     errors = []
     for src in sources:
         try:
-            if isinstance(src, Callable):
-                return src(spark)
-            if os.path.exists(src) or "://" in src:
-                return read_posts_json(spark, src)
-            errors.append(f"{src}: missing")
+            return src(spark) if isinstance(src, Callable) else read_posts_json(spark, src)
         except Exception as e:  # noqa: BLE001 - try the next source
-            errors.append(f"{src}: {e}")
+            errors.append(f"{src}: {str(e).splitlines()[0][:200]}")
     raise FileNotFoundError("no data source available: " + "; ".join(errors))
 
 
@@ -61,10 +58,12 @@ POSTS_SCHEMA = T.StructType([
 ])
 
 
-def read_posts_json(spark: SparkSession, path: str, schema=POSTS_SCHEMA) -> DataFrame:
-    """Posts from JSON: a JSON array document (multiLine) or JSON lines."""
-    with_array = path.endswith(".json") and os.path.isfile(path)
-    return spark.read.schema(schema).option("multiLine", with_array).json(path)
+def read_posts_json(spark: SparkSession, path: str, schema=POSTS_SCHEMA, json_array: bool | None = None) -> DataFrame:
+    """Posts from JSON: a ``.json`` document holding an array (multiLine) or a
+    folder of JSON lines (what ``write_posts_json`` produces)."""
+    if json_array is None:
+        json_array = path.endswith(".json")
+    return spark.read.schema(schema).option("multiLine", json_array).json(path)
 
 
 def run_sql_file(spark: SparkSession, path: str, params: dict) -> DataFrame:
@@ -135,9 +134,11 @@ def read_norm_params(spark: SparkSession, path: str) -> DataFrame:
     """Normalisation parameters from JSON (S12); defaults when the file is absent."""
     from relevo.operators.features import PARAM_SCHEMA, params_frame
 
-    if path and os.path.exists(path):
-        if os.path.isfile(path):
-            with open(path) as f:
-                return params_frame(spark, json.load(f))
-        return spark.read.schema(PARAM_SCHEMA).json(path)
-    return params_frame(spark, DEFAULT_NORM_PARAMS)
+    if path and os.path.isfile(path):
+        with open(path) as f:
+            return params_frame(spark, json.load(f))
+    try:
+        # a folder written by write_norm_params (any file system)
+        return spark.read.schema(PARAM_SCHEMA).json(path).limit(1)
+    except Exception:  # noqa: BLE001 - absent parameters fall back to the defaults
+        return params_frame(spark, DEFAULT_NORM_PARAMS)

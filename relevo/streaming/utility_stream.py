@@ -42,14 +42,19 @@ def _merge_batch(sink: str):
 
 
 def stream_utility(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, keywords,
-                   to_posts=None, available_now: bool = True):
+                   to_posts=None, available_now: bool = True, file_glob: str | None = None):
     """Start the streaming utility counter; returns the ``StreamingQuery``.
 
+    ``source`` is a folder of parquet files (new files are picked up as they
+    arrive); ``file_glob`` narrows it to matching file names.
     ``to_posts`` maps the raw stream to ``(author, subreddit, body)``.
     ``available_now`` processes everything present and stops (batch-like
     runs); otherwise the query keeps running with the default trigger.
     """
-    raw = spark.readStream.schema(schema).parquet(source)
+    reader = spark.readStream.schema(schema)
+    if file_glob:
+        reader = reader.option("pathGlobFilter", file_glob)
+    raw = reader.parquet(source)
     posts = to_posts(raw) if to_posts else raw
     counts = utility_counts(posts, keywords)
     w = (counts.writeStream.outputMode("update").foreachBatch(_merge_batch(sink))
