@@ -18,12 +18,29 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings every query relies on: UTC wall-clock timestamps (the
+    fixtures store naive timestamps) and a checkpoint folder (the one the
+    cluster names, or a scratch folder in local runs)."""
+    from relevo.session import ensure_checkpoint_dir
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+
+
 def register(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``name`` with an optional oracle."""
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return fn(spark, sf_dir.rstrip("/"))
+
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
