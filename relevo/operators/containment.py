@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevo.functions.text import word_tokens
-from relevo.operators.util import BROADCAST_MAX_ROWS
+from relevo.operators.util import BROADCAST_MAX_ROWS, spread
 from relevo.session import ensure_checkpoint_dir
 from relevo.sources import tables as T
 
@@ -40,7 +40,7 @@ def containment_pairs(passages: DataFrame, docs: DataFrame, pid: str = "pid", pt
 
     inner = long_p.select("pid", F.explode(F.array_distinct("_inner")).alias("term"))
     vocab = inner.select("term").distinct().withColumn("_in", F.lit(True))
-    d = docs.select(F.col(did).alias("doc_id"), F.col(dtext).alias("text"))
+    d = spread(docs.select(F.col(did).alias("doc_id"), F.col(dtext).alias("text")), "doc_id")
     pairs = (d.select("doc_id", F.explode_outer(F.array_distinct(word_tokens("text"))).alias("term"))
              .join(F.broadcast(vocab) if small else vocab, "term")
              .select("doc_id", "term"))
@@ -70,6 +70,6 @@ def containment_pairs(passages: DataFrame, docs: DataFrame, pid: str = "pid", pt
 def qrels_by_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judged pairs ``(query_id, doc_id, rel=1)``: documents containing a benchmark passage."""
     bench = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), F.col("text").alias("ptext"))
-    docs = T.text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
     pairs = containment_pairs(bench, docs)
     return pairs.select(F.col("pid").alias("query_id"), "doc_id", F.lit(1).alias("rel"))

@@ -24,7 +24,7 @@ from relevo.functions.fixed import BM25_B, BM25_K1, K_RECALL
 from relevo.functions.text import first_words, strip_tags
 from relevo.operators.analysis import corpus_stats, token_array
 from relevo.session import ensure_checkpoint_dir
-from relevo.operators.util import BROADCAST_MAX_ROWS, broadcast_if_small, top_k
+from relevo.operators.util import BROADCAST_MAX_ROWS, broadcast_if_small, spread, top_k
 
 SCORE_DIGITS = 6
 
@@ -62,7 +62,8 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, mode: str,
                 vocabulary: DataFrame | None, vocabulary_small: bool | None) -> DataFrame:
     """``(doc_id, dl, term)``: one row per (kept) token plus one length marker
     row per document (``term`` NULL), all from a single pass over the text."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), token_array(F.col(text_col), mode).alias("_t"))
+    text = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "doc_id")
+    toks = text.select("doc_id", token_array(F.col("_text"), mode).alias("_t"))
     marker = F.array(F.lit(None).cast("string"))
     rows = toks.select("doc_id", F.size("_t").alias("dl"), F.explode(F.concat("_t", marker)).alias("term"))
     if vocabulary is not None:

@@ -11,6 +11,7 @@ from relevo.operators import features as N
 from relevo.operators import fusion as H
 from relevo.operators import lexical as L
 from relevo.operators.containment import qrels_by_containment
+from relevo.operators.util import BROADCAST_MAX_ROWS
 from relevo.plans import search as S
 from relevo.plans.oracle_search import (PARAMS_CTES, SUMMARY_SQL, bm25_ctes, cands_cte, norm_expr,
                                         per_query_ctes, proxy_ctes, search_ctes)
@@ -36,9 +37,12 @@ def ranked(spark, sf, alpha=0.2):
 
 
 def _index(spark, sf):
+    """Queries, their terms and an index restricted to the query vocabulary;
+    the query side is counted once and the bound reused for every broadcast."""
     q = T.queries(spark, sf)
     qt = L.query_terms(q)
-    return q, qt, L.build_index(T.corpus(spark, sf), "id", "body", vocabulary=qt)
+    small = qt.count() <= BROADCAST_MAX_ROWS
+    return q, qt, L.build_index(T.corpus(spark, sf), "id", "body", vocabulary=qt, vocabulary_small=small), small
 
 
 # ---------------------------------------------------------------- analysis
@@ -178,22 +182,22 @@ def q_build_postings(spark, sf):
 
 @register("bm25", with_views("SELECT * FROM scored", "queries", "corpus", extra=bm25_ctes()))
 def q_bm25(spark, sf):
-    _, qt, idx = _index(spark, sf)
-    return L.bm25(qt, idx)
+    _, qt, idx, small = _index(spark, sf)
+    return L.bm25(qt, idx, queries_small=small)
 
 
 @register("retrieve", with_views("SELECT * FROM cands", "queries", "corpus", extra=bm25_ctes() + [cands_cte(50)]))
 def q_retrieve(spark, sf):
-    _, qt, idx = _index(spark, sf)
-    return L.retrieve(L.bm25(qt, idx), 50)
+    _, qt, idx, small = _index(spark, sf)
+    return L.retrieve(L.bm25(qt, idx, queries_small=small), 50)
 
 
 @register("queries_without_hits", with_views("""
     SELECT * FROM queries q WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE c.query_id = q.query_id)""",
                                              "queries", "corpus", extra=bm25_ctes() + [cands_cte(50)]))
 def q_queries_without_hits(spark, sf):
-    q, qt, idx = _index(spark, sf)
-    return L.queries_without_hits(q, L.retrieve(L.bm25(qt, idx), 50))
+    q, qt, idx, small = _index(spark, sf)
+    return L.queries_without_hits(q, L.retrieve(L.bm25(qt, idx, queries_small=small), 50))
 
 
 @register("multi_field_bm25", with_views(f"""

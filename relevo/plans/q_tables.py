@@ -14,7 +14,7 @@ from relevo.operators import signals as G
 from relevo.operators import training as M
 from relevo.operators import vectors as V
 from relevo.operators.util import rank_within, top_k
-from relevo.plans.oracle_search import PARAMS_CTES, norm_expr
+from relevo.plans.oracle_search import PARAMS_CTES, norm_expr, search_ctes
 from relevo.plans.oracle_views import FIRST8, with_views
 from relevo.plans.registry import register
 from relevo.sources import readers as R
@@ -376,12 +376,15 @@ def q_diagnose(spark, sf):
 
 
 # ---------------------------------------------------------------- windows, top-k, head
-@register("rank_within", """
-    SELECT doc_id, source, n_chars,
-           row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents""")
+@register("rank_within", with_views("""
+    SELECT query_id, doc_id, semantic,
+           row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, doc_id) AS rank FROM sem""",
+                                    "queries", "corpus", "post_scores", extra=search_ctes()))
 def q_rank_within(spark, sf):
-    d = T.table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return rank_within(d, "source", [F.col("n_chars").desc(), F.col("doc_id")])
+    """Rank each query's recalled candidates (at most k_recall per query) by the pair score."""
+    from relevo.plans.q_search import ranked
+    r = ranked(spark, sf).select("query_id", "doc_id", "semantic")
+    return rank_within(r, "query_id", [F.col("semantic").desc(), F.col("doc_id")])
 
 
 @register("top_k", """

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevo.functions.text import first_words
+from relevo.operators.util import spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -29,21 +30,18 @@ _LCG_EXPERTISE = (1103515245, 12345)
 _LCG_UTILITY = (22695477, 1)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+_READS: dict[tuple[str, str], DataFrame] = {}
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer partitions than the cluster has cores.
 
-    A table stored as one large row group is read by a single task; for
-    CPU-heavy text work that serialises the job. A many-file table on a
-    cluster already has enough splits and is returned unchanged (no shuffle).
-    """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= parallelism:
-        return df
-    return df.repartition(parallelism, key)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table. The DataFrame of a (session, path) pair is reused, so the
+    file listing and footer reads happen once per session, not per view."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId + ":" + str(id(spark)), path)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
+    return df
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
@@ -64,7 +62,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Post texts ``(id, author, subreddit, title, body, lang)`` from ``documents`` (no labels)."""
-    docs = text_table(spark, sf_dir, "documents", "doc_id")
+    docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("u"), (F.col("doc_id") % 7).cast("string")).alias("author"),
