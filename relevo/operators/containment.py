@@ -10,6 +10,15 @@ equi-join; candidates are then verified with an exact substring test.
 No pairs outside the anchor's posting list are ever formed, and every true
 match is found (the anchor must occur in a containing document).
 
+Two plans:
+- a bounded passage set (the usual case: a benchmark or query table) uses the
+  *longest* interior token as anchor; the anchor set (counted, bounded) is a
+  literal array, each document intersects its distinct tokens with it, and
+  the few matching rows are verified in the same map stage — one pass over
+  the documents, no shuffle;
+- beyond that bound, the rarest interior token (by document frequency) is the
+  anchor and candidates are formed by joins.
+
 Passages with fewer than three word tokens have no interior token; they are
 matched by a substring filter over a bounded literal list (checked).
 """
@@ -25,6 +34,7 @@ from relevo.session import ensure_checkpoint_dir
 from relevo.sources import tables as T
 
 MAX_SHORT_PASSAGES = 1000
+MAX_LITERAL_ANCHORS = 20_000
 
 
 def containment_pairs(passages: DataFrame, docs: DataFrame, pid: str = "pid", ptext: str = "ptext",
@@ -37,10 +47,43 @@ def containment_pairs(passages: DataFrame, docs: DataFrame, pid: str = "pid", pt
         "pid", "ptext", F.slice("_tok", 2, F.col("_n") - 2).alias("_inner"))
     n_long = long_p.count()
     small = n_long <= BROADCAST_MAX_ROWS
+    d = spread(docs.select(F.col(did).alias("doc_id"), F.col(dtext).alias("text")), "doc_id")
+    if n_long <= MAX_LITERAL_ANCHORS:
+        verified = _single_pass(long_p, d)
+    else:
+        verified = _rarest_anchor_joins(spark, long_p, d, small)
+    return verified.unionByName(_short_passages(p, d)) if _has_short(p) else verified
+
+
+def _longest(tokens):
+    """Longest token of an array (ties: alphabetically first)."""
+    keyed = F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("k"), t.alias("t")))
+    return F.array_min(keyed)["t"]
+
+
+def _single_pass(long_p: DataFrame, d: DataFrame) -> DataFrame:
+    anchored = long_p.select("pid", "ptext", _longest("_inner").alias("term"))
+    anchors = [r["term"] for r in anchored.select("term").distinct().collect()]
+    if not anchors:
+        return d.select(F.lit(None).cast("long").alias("pid"), "doc_id").where(F.lit(False))
+    vocab = F.array(*[F.lit(a) for a in sorted(anchors)])
+    # explode_outer + IS NOT NULL: a plain explode makes Catalyst add a
+    # size(...) > 0 filter that would tokenise every text twice
+    hits = (d.select("doc_id", "text",
+                     F.explode_outer(F.array_intersect(F.array_distinct(word_tokens("text")), vocab)).alias("term"))
+            .where(F.col("term").isNotNull()))
+    return (hits.join(F.broadcast(anchored), "term")
+            .where(F.col("text").contains(F.col("ptext")))
+            .select("pid", "doc_id"))
 
+
+def _has_short(p: DataFrame) -> bool:
+    return p.where(F.col("_n") < 3).limit(1).count() > 0
+
+
+def _rarest_anchor_joins(spark, long_p: DataFrame, d: DataFrame, small: bool) -> DataFrame:
     inner = long_p.select("pid", F.explode(F.array_distinct("_inner")).alias("term"))
     vocab = inner.select("term").distinct().withColumn("_in", F.lit(True))
-    d = spread(docs.select(F.col(did).alias("doc_id"), F.col(dtext).alias("text")), "doc_id")
     pairs = (d.select("doc_id", F.explode_outer(F.array_distinct(word_tokens("text"))).alias("term"))
              .join(F.broadcast(vocab) if small else vocab, "term")
              .select("doc_id", "term"))
@@ -52,19 +95,20 @@ def containment_pairs(passages: DataFrame, docs: DataFrame, pid: str = "pid", pt
                .groupBy("pid").agg(F.min_by("term", F.struct("df", "term")).alias("term")))
     cand = pairs.join(F.broadcast(anchors) if small else anchors, "term").select("pid", "doc_id")
     texts = long_p.select("pid", "ptext")
-    verified = (cand.join(d, "doc_id")
-                .join(F.broadcast(texts) if small else texts, "pid")
-                .where(F.col("text").contains(F.col("ptext")))
-                .select("pid", "doc_id"))
-
-    short_rows = p.where(F.col("_n") < 3).select("pid", "ptext").collect()
-    if not short_rows:
-        return verified
+    return (cand.join(d, "doc_id")
+            .join(F.broadcast(texts) if small else texts, "pid")
+            .where(F.col("text").contains(F.col("ptext")))
+            .select("pid", "doc_id"))
+
+
+def _short_passages(p: DataFrame, d: DataFrame) -> DataFrame:
+    """Passages without an interior token: substring filter over a bounded literal list."""
+    short_rows = p.where(F.col("_n") < 3).select("pid", "ptext").limit(MAX_SHORT_PASSAGES + 1).collect()
     if len(short_rows) > MAX_SHORT_PASSAGES:
         raise ValueError(f"{len(short_rows)} passages without an interior token; limit {MAX_SHORT_PASSAGES}")
     pats = F.array(*[F.struct(F.lit(r["pid"]).alias("pid"), F.lit(r["ptext"]).alias("p")) for r in short_rows])
     hits = d.select("doc_id", F.explode(F.filter(pats, lambda s: F.col("text").contains(s["p"]))).alias("_h"))
-    return verified.unionByName(hits.select(F.col("_h.pid").alias("pid"), "doc_id"))
+    return hits.select(F.col("_h.pid").alias("pid"), "doc_id")
 
 
 def qrels_by_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
