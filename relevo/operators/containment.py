@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from relevo.functions.text import word_tokens
 from relevo.operators.util import BROADCAST_MAX_ROWS, spread
-from relevo.session import ensure_checkpoint_dir
+from relevo.session import write_shared
 from relevo.sources import tables as T
 
 MAX_SHORT_PASSAGES = 1000
@@ -87,8 +87,7 @@ def _rarest_anchor_joins(spark, long_p: DataFrame, d: DataFrame, small: bool) ->
     pairs = (d.select("doc_id", F.explode_outer(F.array_distinct(word_tokens("text"))).alias("term"))
              .join(F.broadcast(vocab) if small else vocab, "term")
              .select("doc_id", "term"))
-    ensure_checkpoint_dir(spark)
-    pairs = pairs.checkpoint(eager=True)
+    pairs = write_shared(pairs, "containment-pairs")
     dfreq = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # rarest interior token per passage; ties by the token itself
     anchors = (inner.join(dfreq, "term")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from relevo.functions.fixed import BM25_B, BM25_K1, K_RECALL
 from relevo.functions.text import first_words, strip_tags
 from relevo.operators.analysis import corpus_stats, token_array
-from relevo.session import ensure_checkpoint_dir
+from relevo.session import write_shared
 from relevo.operators.util import BROADCAST_MAX_ROWS, broadcast_if_small, spread, top_k
 
 SCORE_DIGITS = 6
@@ -92,16 +92,16 @@ def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "body", mod
     """Postings and corpus statistics from one pass over the documents.
 
     The per-(doc, term) counts and the per-document length markers come out
-    of one aggregate; with ``materialize`` it is checkpointed to the shared
-    checkpoint folder, so scoring, document frequencies and statistics all
-    read the written postings instead of re-tokenising the corpus, and a
-    lost executor does not send the job back to the raw text.
+    of one aggregate; with ``materialize`` it is written as parquet to the
+    shared checkpoint folder, so scoring, document frequencies and statistics
+    all read the written postings (vectorised, column-pruned) instead of
+    re-tokenising the corpus, and a lost executor does not send the job back
+    to the raw text.
     """
     rows = _token_rows(docs, id_col, text_col, mode, vocabulary, vocabulary_small)
     agg = rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     if materialize:
-        ensure_checkpoint_dir(docs.sparkSession)
-        agg = agg.checkpoint(eager=True)
+        agg = write_shared(agg, "postings")
     postings = agg.where(F.col("term").isNotNull())
     lengths = agg.where(F.col("term").isNull()).select("dl")
     return LexicalIndex(postings, corpus_stats(lengths))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -66,3 +67,13 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path inside the shared checkpoint folder, for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return "/".join([base.rstrip("/"), *parts])
+
+
+def write_shared(df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and return
+    the re-read table: cuts the lineage like ``checkpoint()`` but keeps a
+    columnar, vectorised, prunable copy."""
+    spark = df.sparkSession
+    path = shared_path(spark, "tables", f"{name}-{uuid.uuid4().hex[:16]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
