@@ -96,3 +96,11 @@ def diagnose(df: DataFrame, canary_scores: DataFrame | None = None) -> DataFrame
             th.alias("threshold"), (F.col("semantic") < th).alias("failed"))
         out = out.unionByName(c)
     return out
+
+
+def sample_counts(df: DataFrame) -> DataFrame:
+    """Loaded rows, rows kept by cleaning (body and label present), and rows per class."""
+    return df.agg(F.count(F.lit(1)).alias("loaded"),
+                  F.count_if(F.col("body").isNotNull() & F.col("label").isNotNull()).alias("cleaned"),
+                  F.count_if(F.col("label") == 0).alias("class_0"),
+                  F.count_if(F.col("label") == 1).alias("class_1"))

@@ -380,3 +380,18 @@ def q_qrels(spark, sf):
     SELECT COUNT(latency_ms) AS n, quantile_cont(latency_ms, 0.99) AS p99_ms FROM latency""", "latency"))
 def q_latency_summary(spark, sf):
     return E.latency_summary(T.latency(spark, sf), "latency_ms", 0.99)
+
+
+# ---------------------------------------------------------------- pass-through with score
+@register("retrieve_documents", with_views("""
+    SELECT c.query_id, c.doc_id, c.lex_rank, c.score, d.title, d.body
+    FROM cands c JOIN corpus d ON d.id = c.doc_id""", "queries", "corpus", extra=bm25_ctes() + [cands_cte(50)]))
+def q_retrieve_documents(spark, sf):
+    """Candidates with their stored fields: the candidate set (bounded by
+    #queries x k) is joined back to the documents."""
+    _, qt, idx, small = _index(spark, sf)
+    cands = L.retrieve(L.bm25(qt, idx, queries_small=small), 50)
+    docs = T.corpus(spark, sf).select(F.col("id").alias("doc_id"), "title", "body")
+    # at most k rows per query term row: bounded by the counted query side
+    joined = docs.join(F.broadcast(cands) if small else cands, "doc_id")
+    return joined.select("query_id", "doc_id", "lex_rank", "score", "title", "body")
