@@ -35,6 +35,7 @@ class LexicalIndex:
 
     postings: DataFrame  # (doc_id, dl, term, tf)
     stats: DataFrame     # one row: (n_docs, total_terms, avgdl)
+    dfreq: DataFrame | None = None  # (term, df); derived from the postings when absent
 
 
 def query_from_body(posts: DataFrame, id_col: str = "id", text_col: str = "body",
@@ -123,10 +124,10 @@ def bm25(qterms: DataFrame, index: LexicalIndex, k1: float = BM25_K1, b: float =
     n_docs = index.stats.select(F.col("n_docs").cast("double")).scalar()
     avgdl = index.stats.select("avgdl").scalar()
     post = index.postings
-    # total term frequency is computed alongside df: it keeps the postings
-    # aggregate identical to the scoring branch, so both branches read one
-    # shuffle (exchange reuse) instead of tokenising the corpus twice
-    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("tf").alias("ttf"))
+    if index.dfreq is not None:
+        dfreq = index.dfreq.select("term", F.col("df").cast("double").alias("df"))
+    else:
+        dfreq = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     nq = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     weights = (qterms.withColumn("nq", nq).join(dfreq, "term")
                .select("query_id", "term", "nq",
@@ -141,6 +142,95 @@ def bm25(qterms: DataFrame, index: LexicalIndex, k1: float = BM25_K1, b: float =
                  F.max("nq").alias("n_query_terms")))
 
 
+# ---------------------------------------------------------------- persisted index
+MAX_LOOKUP_TERMS = 100_000
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "body",
+                mode: str = "word") -> str:
+    """Build and persist a full inverted index under ``path`` (L2).
+
+    ``postings``: ``(term, doc_id, dl, tf)`` range-partitioned and sorted by
+    term, so a lookup of a few terms reads only the row groups whose term
+    range covers them (parquet min/max statistics); ``dfreq``: ``(term, df)``
+    sorted by term; ``stats``: one row ``(n_docs, total_terms, avgdl)``.
+    The per-(doc, term) aggregate is written once and the three tables are
+    derived from the written copy.
+    """
+    spark = docs.sparkSession
+    rows = _token_rows(docs, id_col, text_col, mode, None, None)
+    agg = write_shared(rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "index-build")
+    post = agg.where(F.col("term").isNotNull())
+    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (post.repartitionByRange(n_parts, "term").sortWithinPartitions("term", "doc_id")
+     .select("term", "doc_id", "dl", "tf").write.mode("overwrite").parquet(f"{path}/postings"))
+    (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+     .repartitionByRange(n_parts, "term").sortWithinPartitions("term")
+     .write.mode("overwrite").parquet(f"{path}/dfreq"))
+    corpus_stats(agg.where(F.col("term").isNull()).select("dl")).write.mode("overwrite").parquet(f"{path}/stats")
+    return path
+
+
+def open_index(spark, path: str) -> LexicalIndex:
+    return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"),
+                        spark.read.parquet(f"{path}/dfreq"))
+
+
+def lookup(index: LexicalIndex, qterms: DataFrame) -> LexicalIndex:
+    """Restrict a persisted index to the query vocabulary (inverted-index lookup).
+
+    The distinct query terms (counted, bounded) become an ``IN`` list that
+    reaches the parquet reader, which skips row groups outside the sorted
+    term ranges; the rest of the index is never read.
+    """
+    terms = qterms.select("term").distinct()
+    n = terms.count()
+    if n > MAX_LOOKUP_TERMS:
+        vocab = terms.withColumn("_in", F.lit(True))
+        keep = lambda df: df.join(vocab, "term").drop("_in")
+    else:
+        values = sorted(r["term"] for r in terms.collect())
+        keep = lambda df: df.where(F.col("term").isin(values))
+    return LexicalIndex(keep(index.postings), index.stats, keep(index.dfreq) if index.dfreq is not None else None)
+
+
+def bm25_synonyms(qterms: DataFrame, synonyms: DataFrame, docs: DataFrame, id_col: str = "id",
+                  text_col: str = "body", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """BM25 with query-time synonym expansion blended per original term (A3 in L3).
+
+    Each query term and its expansions form one group scored as a single
+    pseudo-term: ``tf`` = sum of the members' tf in the document, ``df`` =
+    the largest member df. A query term without a rule is its own group, so
+    without matching rules the scores equal ``bm25``. The synonym table and
+    the expanded query terms are bounded (counted) and broadcast.
+    """
+    syn = F.broadcast(synonyms.select(F.col("lhs").alias("_lhs"), F.col("rhs").alias("_rhs")))
+    expanded = (qterms.join(syn, F.col("term") == F.col("_lhs"), "left")
+                .select("query_id", F.col("term").alias("grp"), F.coalesce("_rhs", "term").alias("term"), "qtf")
+                .distinct())
+    small = expanded.count() <= BROADCAST_MAX_ROWS
+    idx = build_index(docs, id_col, text_col, vocabulary=expanded, vocabulary_small=small)
+    n_docs = idx.stats.select(F.col("n_docs").cast("double")).scalar()
+    avgdl = idx.stats.select("avgdl").scalar()
+    dfreq = idx.postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    groups = (expanded.join(dfreq, "term").groupBy("query_id", "grp")
+              .agg(F.max("qtf").alias("qtf"), F.max("df").alias("df")))
+    nq = expanded.select("query_id", "grp").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
+    weights = (groups.join(nq, "query_id")
+               .select("query_id", "grp", "nq",
+                       (F.col("qtf") * F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5))
+                                             / (F.col("df") + F.lit(0.5)))).alias("w")))
+    members = expanded.select("query_id", "grp", "term")
+    gtf = (idx.postings.join(F.broadcast(members) if small else members, "term")
+           .groupBy("query_id", "grp", "doc_id", "dl").agg(F.sum("tf").alias("tf")))
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
+    contrib = gtf.join(F.broadcast(weights) if small else weights, ["query_id", "grp"]).select(
+        "query_id", "doc_id", "nq", (F.col("w") * F.col("tf") / (F.col("tf") + norm)).alias("c"))
+    return (contrib.groupBy("query_id", "doc_id")
+            .agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score"), F.count(F.lit(1)).alias("matched"),
+                 F.max("nq").alias("n_query_terms")))
+
+
 def retrieve(scored: DataFrame, k: int = K_RECALL) -> DataFrame:
     """Top-k candidates per query by score, ties by doc_id: adds ``lex_rank`` (L4)."""
     return top_k(scored, k, "query_id", [F.col("score").desc(), F.col("doc_id").asc()], "lex_rank")

@@ -31,9 +31,10 @@ def _params(spark, sf):
     return N.fit_norm(N.drop_incomplete(T.post_scores(spark, sf), ("body", "label")))
 
 
-def ranked(spark, sf, alpha=0.2):
+def ranked(spark, sf, alpha=0.2, indexed: bool = False):
+    index = S.corpus_index(spark, sf) if indexed else None
     return S.ranked_candidates(T.queries(spark, sf), T.corpus(spark, sf).select("id", "body"),
-                               _features(spark, sf), _params(spark, sf), alpha=alpha)
+                               _features(spark, sf), _params(spark, sf), alpha=alpha, index=index)
 
 
 def _index(spark, sf):
@@ -192,6 +193,53 @@ def q_retrieve(spark, sf):
     return L.retrieve(L.bm25(qt, idx, queries_small=small), 50)
 
 
+@register("retrieve_indexed", with_views("SELECT * FROM cands", "queries", "corpus",
+                                         extra=bm25_ctes() + [cands_cte(50)]))
+def q_retrieve_indexed(spark, sf):
+    """L3 + L4 against the persisted corpus index (inverted-index lookup of the query terms)."""
+    q = T.queries(spark, sf)
+    qt = L.query_terms(q)
+    small = qt.count() <= BROADCAST_MAX_ROWS
+    idx = L.lookup(S.corpus_index(spark, sf), qt)
+    return L.retrieve(L.bm25(qt, idx, queries_small=small), 50)
+
+
+def _bm25_syn_sql():
+    return with_views("""
+    SELECT query_id, doc_id, round(SUM(c), 6) AS score, COUNT(*) AS matched, MAX(nq) AS n_query_terms FROM (
+      SELECT g.query_id, g.doc_id, w.nq,
+             w.w * g.tf / (g.tf + 1.2 * (0.25 + 0.75 * g.dl / st.avgdl)) AS c
+      FROM (SELECT e.query_id, e.grp, p.doc_id, p.dl, SUM(p.tf) AS tf
+            FROM post p JOIN ex e ON p.term = e.term GROUP BY e.query_id, e.grp, p.doc_id, p.dl) g
+      JOIN w ON w.query_id = g.query_id AND w.grp = g.grp CROSS JOIN st) x
+    GROUP BY query_id, doc_id""", "queries", "corpus", extra=[
+        ("syn", _syn_sql()),
+        ("qt", f"""SELECT query_id, term, COUNT(*) AS qtf
+            FROM (SELECT query_id, unnest({words('query_text')}) AS term FROM queries) t GROUP BY query_id, term"""),
+        ("ex", """SELECT DISTINCT q.query_id, q.term AS grp, coalesce(s.rhs, q.term) AS term, q.qtf
+                  FROM qt q LEFT JOIN syn s ON s.lhs = q.term"""),
+        ("dt", f"SELECT id AS doc_id, {words('body')} AS toks FROM corpus"),
+        ("st", """SELECT CAST(count_if(len(toks) > 0) AS DOUBLE) AS n_docs,
+                  CAST(SUM(len(toks)) AS DOUBLE) / count_if(len(toks) > 0) AS avgdl FROM dt"""),
+        ("post", """SELECT doc_id, dl, term, COUNT(*) AS tf
+            FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM dt) t
+            WHERE term IN (SELECT term FROM ex) GROUP BY doc_id, dl, term"""),
+        ("dfq", "SELECT term, CAST(COUNT(*) AS DOUBLE) AS df FROM post GROUP BY term"),
+        ("grp", """SELECT e.query_id, e.grp, MAX(e.qtf) AS qtf, MAX(d.df) AS df
+                   FROM ex e JOIN dfq d ON d.term = e.term GROUP BY e.query_id, e.grp"""),
+        ("nq", "SELECT query_id, COUNT(*) AS nq FROM (SELECT DISTINCT query_id, grp FROM ex) t GROUP BY query_id"),
+        ("w", """SELECT g.query_id, g.grp, n.nq,
+                        g.qtf * ln(1.0 + (st.n_docs - g.df + 0.5) / (g.df + 0.5)) AS w
+                 FROM grp g JOIN nq n ON n.query_id = g.query_id CROSS JOIN st"""),
+    ])
+
+
+@register("bm25_synonyms", _bm25_syn_sql())
+def q_bm25_synonyms(spark, sf):
+    qt = L.query_terms(T.queries(spark, sf))
+    return L.bm25_synonyms(qt, A.synonym_table(spark), T.corpus(spark, sf))
+
+
 @register("queries_without_hits", with_views("""
     SELECT * FROM queries q WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE c.query_id = q.query_id)""",
                                              "queries", "corpus", extra=bm25_ctes() + [cands_cte(50)]))
@@ -225,6 +273,13 @@ def q_hybrid_search(spark, sf):
     return _ranked_cols(ranked(spark, sf).where(F.col("hybrid_rank") <= 10))
 
 
+@register("hybrid_search_indexed", with_views(f"SELECT {_RANKED_COLS} FROM ranked WHERE hybrid_rank <= 10",
+                                              "queries", "corpus", "post_scores", extra=search_ctes()))
+def q_hybrid_search_indexed(spark, sf):
+    """H2 against the persisted corpus index (built once per corpus, then only looked up)."""
+    return _ranked_cols(ranked(spark, sf, indexed=True).where(F.col("hybrid_rank") <= 10))
+
+
 @register("fuse", with_views(f"SELECT {_RANKED_COLS} FROM ranked", "queries", "corpus", "post_scores",
                              extra=search_ctes()))
 def q_fuse(spark, sf):

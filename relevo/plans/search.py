@@ -32,7 +32,10 @@ def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame
     qt = L.query_terms(queries)
     n_terms = qt.count()
     small = n_terms <= BROADCAST_MAX_ROWS
-    idx = index or L.build_index(corpus, "id", "body", vocabulary=qt, vocabulary_small=small)
+    if index is not None:
+        idx = L.lookup(index, qt)
+    else:
+        idx = L.build_index(corpus, "id", "body", vocabulary=qt, vocabulary_small=small)
     cands = L.retrieve(L.bm25(qt, idx, queries_small=small), k_recall)
     feats = features.select(F.col("id").alias("doc_id"), "expertise_score", "utility_score")
     # candidates: at most k_recall per query, and a query has >= 1 term row
@@ -44,6 +47,26 @@ def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame
     return H.rank_hybrid(cands)
 
 
+def corpus_index(spark, sf_dir: str) -> L.LexicalIndex:
+    """The persisted full index of the corpus under the shared folder; built
+    on first use, keyed by the source path and its size and modification
+    time so that a changed corpus gets a new index."""
+    import hashlib
+
+    from relevo.session import path_exists, shared_path
+    from relevo.sources import tables as T
+
+    src = f"{sf_dir.rstrip('/')}/documents.parquet"
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(src)
+    st = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hp)
+    key = hashlib.sha1(f"{src}|{st.getLen()}|{st.getModificationTime()}".encode()).hexdigest()[:16]
+    path = shared_path(spark, "index", f"documents-{key}")
+    if not path_exists(spark, f"{path}/stats/_SUCCESS"):
+        L.write_index(T.corpus(spark, sf_dir).select("id", "body"), path)
+    return L.open_index(spark, path)
+
+
 def hybrid_search(queries: DataFrame, corpus: DataFrame, features: DataFrame, params: DataFrame,
                   scorer=None, k_recall: int = K_RECALL, alpha: float = ALPHA, k: int = TOP_K) -> DataFrame:
     """Top-k hybrid results per query."""

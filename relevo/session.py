@@ -77,3 +77,10 @@ def write_shared(df, name: str):
     path = shared_path(spark, "tables", f"{name}-{uuid.uuid4().hex[:16]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its file system (local, HDFS, object store)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

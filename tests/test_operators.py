@@ -95,3 +95,24 @@ def test_dynamic_types(spark):
     rows = apply_dynamic_types(df).collect()
     assert len(rows) == 1 and rows[0]["n_i"] == 3 and rows[0]["tags_ss"] == ["x"]
     assert rows[0]["expertise_score"] == 0.0 and "other" not in rows[0].asDict()
+
+
+def test_bm25_synonym_blending(spark):
+    import math
+    from relevo.operators import analysis as A
+    from relevo.operators import lexical as L
+    docs = spark.createDataFrame([(1, "tv tv show"), (2, "television show"), (3, "radio show")], "id long, body string")
+    q = spark.createDataFrame([(7, "TV"), (8, "show")], "query_id long, query_text string")
+    qt = L.query_terms(q)
+    got = {(r["query_id"], r["doc_id"]): r["score"]
+           for r in L.bm25_synonyms(qt, A.synonym_table(spark), docs).collect()}
+    n, avgdl = 3.0, 7 / 3
+    idf = math.log(1 + (n - 1 + 0.5) / (1 + 0.5))       # group df = max(1, 1)
+    tfn = lambda tf, dl: tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
+    assert got[(7, 1)] == pytest.approx(round(idf * tfn(2, 3), 6))
+    assert got[(7, 2)] == pytest.approx(round(idf * tfn(1, 2), 6))
+    assert (7, 3) not in got
+    plain = {(r["query_id"], r["doc_id"]): r["score"]
+             for r in L.bm25(qt, L.build_index(docs, vocabulary=qt)).collect()}
+    for d in (1, 2, 3):
+        assert got[(8, d)] == plain[(8, d)]
