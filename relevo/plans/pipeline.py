@@ -30,7 +30,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out: str, cfg: Config | None
     # stage 1: author signals (independent; both single-shuffle aggregates)
     rep = G.topical_reputation(T.posts_activity(spark, sf_dir), cutoff, cfg.min_upvote_threshold)
     rep.write.mode("overwrite").parquet(f"{out}/user_reputation")
-    util_path = write_features(G.utility_hits(posts, keywords), f"{out}/user_utility_features")
+    util_path = write_features(G.utility_hits(T.corpus(spark, sf_dir), keywords), f"{out}/user_utility_features")
 
     # stage 2: enrichment join -> training table
     enriched = G.enrich_posts(posts, spark.read.parquet(f"{out}/user_reputation"), spark.read.parquet(util_path))

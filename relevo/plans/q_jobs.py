@@ -62,7 +62,7 @@ def q_read_with_fallback(spark, sf):
 def q_write_features(spark, sf):
     """Keyed overwrite: writing the same counts twice leaves one row per key."""
     path = _scratch(spark, "utility")
-    util = G.utility_hits(T.posts(spark, sf), T.FIXTURE_KEYWORDS)
+    util = G.utility_hits(T.corpus(spark, sf), T.FIXTURE_KEYWORDS)
     K.write_features(util, path, mode="overwrite_keys")
     K.write_features(util, path, mode="overwrite_keys")
     return spark.read.parquet(K.latest_version(spark, path))
@@ -76,7 +76,7 @@ def q_write_features(spark, sf):
 def q_write_features_append(spark, sf):
     """Append mode (the reference's behaviour): a re-run duplicates every key."""
     path = _scratch(spark, "utility-append")
-    util = G.utility_hits(T.posts(spark, sf), T.FIXTURE_KEYWORDS)
+    util = G.utility_hits(T.corpus(spark, sf), T.FIXTURE_KEYWORDS)
     K.write_features(util, path, mode="append")
     K.write_features(util, path, mode="append")
     return spark.read.parquet(path)

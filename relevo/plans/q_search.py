@@ -169,7 +169,7 @@ def q_term_df(spark, sf):
     SELECT id AS query_id, {FIRST8.format(x="regexp_replace(body, '<.*?>', '', 'g')")} AS query_text
     FROM posts""", "posts"))
 def q_query_from_body(spark, sf):
-    return L.query_from_body(T.posts(spark, sf), remove_tags=True)
+    return L.query_from_body(T.corpus(spark, sf), remove_tags=True)
 
 
 @register("build_postings", with_views(f"""

@@ -38,4 +38,4 @@ def q_global_totals(spark, sf_dir):
     SELECT author, subreddit, COUNT(*) AS utility_hit FROM posts
     WHERE {KW_SQL} GROUP BY author, subreddit""", "posts"))
 def q_utility_hits(spark, sf_dir):
-    return S.utility_hits(T.posts(spark, sf_dir), T.FIXTURE_KEYWORDS)
+    return S.utility_hits(T.corpus(spark, sf_dir), T.FIXTURE_KEYWORDS)
