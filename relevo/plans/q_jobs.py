@@ -159,7 +159,37 @@ def q_save_model(spark, sf):
     return SC.score_pairs(M.model_frame(table), loaded).select("id", "label", "semantic")
 
 
-@register("score_canaries")
+def _canary_sql() -> str:
+    from relevo.functions.fixed import CANARIES
+    from relevo.plans.oracle_search import norm_expr
+    from relevo.plans.oracle_views import words
+
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    vals = ", ".join(f"({q(n)}, {q(a)}, {q(b)}, CAST({e} AS DOUBLE), CAST({u} AS DOUBLE))"
+                     for n, a, b, e, u in CANARIES)
+    e = norm_expr("coalesce(c.expertise_score, 0.0)", "p.expertise_min", "p.expertise_max")
+    u = norm_expr("coalesce(c.utility_score, 0.0)", "p.utility_min", "p.utility_max")
+    return with_views(f"""
+    SELECT canary, semantic,
+           CASE WHEN canary = 'irrelevant_low_features' THEN '<0.5'
+                WHEN canary = 'relevant_high_features' THEN '>0.5' ELSE '>0.3' END AS expected,
+           CASE WHEN canary = 'irrelevant_low_features' THEN semantic < 0.5
+                WHEN canary = 'relevant_high_features' THEN semantic > 0.5 ELSE semantic > 0.3 END AS passed
+    FROM (SELECT canary, round(1.0 / (1.0 + exp(-(((-2.0 + 3.0 * coverage) + 1.0 * e) + 1.0 * u))), 9) AS semantic
+          FROM (SELECT c.canary, {e} AS e, {u} AS u,
+                       CAST(coalesce(m.matched, 0) AS DOUBLE) / nq.n AS coverage
+                FROM c JOIN nq ON nq.canary = c.canary LEFT JOIN m ON m.canary = c.canary
+                CROSS JOIN params p) f) s""", "post_scores", extra=PARAMS_CTES + [
+        ("c", f"SELECT * FROM (VALUES {vals}) v(canary, query_text, body, expertise_score, utility_score)"),
+        ("qt", f"SELECT DISTINCT canary, unnest({words('query_text')}) AS term FROM c"),
+        ("bt", f"SELECT DISTINCT canary, unnest({words('body')}) AS term FROM c"),
+        ("nq", "SELECT canary, COUNT(*) AS n FROM qt GROUP BY canary"),
+        ("m", """SELECT qt.canary, COUNT(*) AS matched FROM qt JOIN bt ON qt.canary = bt.canary AND qt.term = bt.term
+                 GROUP BY qt.canary"""),
+    ])
+
+
+@register("score_canaries", _canary_sql())
 def q_score_canaries(spark, sf):
     """Canary pairs with features normalised by parameters fitted on the table."""
     params = N.fit_norm(N.drop_incomplete(T.post_scores(spark, sf), ("body", "label")))
@@ -190,7 +220,7 @@ def _score_canary_frame(spark, canaries):
 
 
 # ---------------------------------------------------------------- pipeline
-@register("run_pipeline")
+@register("run_pipeline", __import__("relevo.plans.q_tables", fromlist=["_ENRICH_SQL"])._ENRICH_SQL)
 def q_run_pipeline(spark, sf):
     from relevo.plans.pipeline import run_pipeline
 
