@@ -13,7 +13,7 @@ Scale notes
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +27,14 @@ LOG_DIGITS = 12
 
 
 def _ts(cutoff) -> Column:
+    """A cut-off as a wall-clock timestamp in the session time zone (UTC).
+
+    Python datetimes are passed as text: a naive datetime literal would be
+    interpreted in the driver's local time zone."""
     if isinstance(cutoff, datetime):
-        return F.lit(cutoff)
+        if cutoff.tzinfo is not None:
+            cutoff = cutoff.astimezone(timezone.utc).replace(tzinfo=None)
+        cutoff = cutoff.isoformat(sep=" ")
     return F.lit(str(cutoff)).cast("timestamp")
 
 

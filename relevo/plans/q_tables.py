@@ -70,10 +70,8 @@ def q_holdout(spark, sf):
     GROUP BY author, subreddit""")]))
 def q_run_sql_file(spark, sf):
     T.activity(spark, sf).createOrReplaceTempView("relevo_activity")
-    from datetime import datetime
     return R.run_sql_file(spark, "topical_reputation.sql",
-                          {"source_table": "relevo_activity",
-                           "cutoff": datetime.fromisoformat(T.FIXTURE_CUTOFF), "min_upvotes": 10})
+                          {"source_table": "relevo_activity", "cutoff": T.FIXTURE_CUTOFF, "min_upvotes": 10})
 
 
 @register("apply_dynamic_types", """
