@@ -41,7 +41,8 @@ def token_count(text, mode: str = "word"):
 def analyze(df: DataFrame, id_col: str, text_col: str, mode: str = "word",
             keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per token: ``(id, pos, term)`` with 0-based positions."""
-    return df.select(id_col, *keep, F.posexplode(token_array(F.col(text_col), mode)).alias("pos", "term"))
+    x = df.select(id_col, *keep, F.posexplode(token_array(F.col(text_col), mode)).alias("pos", "term"))
+    return x.withColumn("pos", F.col("pos").cast("long"))
 
 
 def stopword_table(spark: SparkSession, words=None, lang: str = "en") -> DataFrame:
@@ -121,7 +122,7 @@ def path_rollup(df: DataFrame, path_col: str = "path") -> DataFrame:
     """Count of rows under every path ancestor: ``(ancestor, depth, n)``."""
     exploded = df.select(F.posexplode(path_ancestors(F.col(path_col))).alias("d", "ancestor"))
     return (exploded.groupBy("ancestor").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("n"))
-            .select("ancestor", (F.col("d") + 1).alias("depth"), "n"))
+            .select("ancestor", (F.col("d").cast("long") + 1).alias("depth"), "n"))
 
 
 def doc_lengths(docs: DataFrame, id_col: str, text_col: str, mode: str = "word") -> DataFrame:

@@ -66,7 +66,8 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, mode: str,
     text = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "doc_id")
     toks = text.select("doc_id", token_array(F.col("_text"), mode).alias("_t"))
     marker = F.array(F.lit(None).cast("string"))
-    rows = toks.select("doc_id", F.size("_t").alias("dl"), F.explode(F.concat("_t", marker)).alias("term"))
+    rows = toks.select("doc_id", F.size("_t").cast("long").alias("dl"),
+                       F.explode(F.concat("_t", marker)).alias("term"))
     if vocabulary is not None:
         vocab = _maybe_broadcast(vocabulary.select("term").distinct().withColumn("_in", F.lit(True)),
                                  vocabulary_small)

@@ -17,12 +17,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
-def rank_within(df: DataFrame, partition: list[str] | str, order: list, name: str = "rank") -> DataFrame:
-    """1-based ``row_number`` within ``partition`` by ``order``."""
+def _row_number(df: DataFrame, partition, order, name: str) -> DataFrame:
     part = [partition] if isinstance(partition, str) else list(partition)
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
 
 
+def rank_within(df: DataFrame, partition: list[str] | str, order: list, name: str = "rank") -> DataFrame:
+    """1-based ``row_number`` (as bigint) within ``partition`` by ``order``."""
+    return _row_number(df, partition, order, name).withColumn(name, F.col(name).cast("long"))
+
+
 def top_k(df: DataFrame, k: int, partition: list[str] | str, order: list, name: str = "rank") -> DataFrame:
     """Rows ranked 1..k within each partition.
 
@@ -30,7 +34,9 @@ def top_k(df: DataFrame, k: int, partition: list[str] | str, order: list, name:
     task keeps at most k rows per partition key before the shuffle, so a key
     with a huge candidate set is cut down where it is produced.
     """
-    return rank_within(df, partition, order, name).where(F.col(name) <= k)
+    # filter on the raw row_number (the pattern the planner recognises), widen after
+    return (_row_number(df, partition, order, name).where(F.col(name) <= k)
+            .withColumn(name, F.col(name).cast("long")))
 
 
 def count_within(df: DataFrame, partition: list[str] | str, name: str = "n") -> DataFrame:

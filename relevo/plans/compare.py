@@ -43,3 +43,22 @@ def compare(scols, sdata, dcols, ddata, digits=9) -> list[str]:
             diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
             problems.append(f"values {diff}")
     return problems
+
+
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+                 "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def duck_type(spark_type: str) -> str:
+    """DuckDB name of a Spark simple type string (``df.dtypes``)."""
+    if spark_type.startswith("array<"):
+        return duck_type(spark_type[6:-1]) + "[]"
+    if spark_type.startswith("decimal"):
+        return spark_type.upper().replace(" ", "")
+    return SPARK_TO_DUCK.get(spark_type, spark_type)
+
+
+def type_mismatches(spark_dtypes, duck_columns, duck_types) -> dict:
+    d = {c: str(t).upper().replace(" ", "") for c, t in zip(duck_columns, duck_types)}
+    return {c: (duck_type(t), d.get(c)) for c, t in spark_dtypes if duck_type(t) != d.get(c)}

@@ -63,7 +63,7 @@ def q_analyze_whitespace(spark, sf):
 
 
 @register("analyze_keyword", with_views("""
-    SELECT page_id, 0 AS pos, lower(path) AS term FROM paths""", "paths"))
+    SELECT page_id, CAST(0 AS BIGINT) AS pos, lower(path) AS term FROM paths""", "paths"))
 def q_analyze_keyword(spark, sf):
     return A.analyze(T.paths(spark, sf), "page_id", "path", mode="keyword")
 
@@ -135,8 +135,8 @@ def q_strip_possessive(spark, sf):
     FROM (SELECT id, {words('body')} AS toks FROM corpus) t""", "corpus"))
 def q_distinct_terms(spark, sf):
     c = T.corpus(spark, sf)
-    return c.select("id", F.size(A.token_array(F.col("body"))).alias("n_terms"),
-                    F.size(A.distinct_terms(F.col("body"))).alias("n_distinct"))
+    return c.select("id", F.size(A.token_array(F.col("body"))).cast("long").alias("n_terms"),
+                    F.size(A.distinct_terms(F.col("body"))).cast("long").alias("n_distinct"))
 
 
 @register("path_rollup", with_views("""
@@ -150,7 +150,7 @@ def q_path_rollup(spark, sf):
 
 
 @register("corpus_stats", with_views(f"""
-    SELECT count_if(len(toks) > 0) AS n_docs, CAST(SUM(len(toks)) AS BIGINT) AS total_terms,
+    SELECT CAST(count_if(len(toks) > 0) AS BIGINT) AS n_docs, CAST(SUM(len(toks)) AS BIGINT) AS total_terms,
            CAST(SUM(len(toks)) AS DOUBLE) / count_if(len(toks) > 0) AS avgdl
     FROM (SELECT {words('body')} AS toks FROM corpus) t""", "corpus"))
 def q_corpus_stats(spark, sf):

@@ -338,7 +338,8 @@ _IMB_SQL = """SELECT c0, c1, CASE WHEN n_labels + coalesce(has_null, 0) > 1
         THEN round(CAST(greatest(c0, c1) AS DOUBLE) / (least(c0, c1) + 1), 12) END AS imbalance_ratio,
         coalesce(CASE WHEN n_labels + coalesce(has_null, 0) > 1
                  THEN CAST(greatest(c0, c1) AS DOUBLE) / (least(c0, c1) + 1) END, 0.0) > 10.0 AS severe
-    FROM (SELECT count_if(label = 0) AS c0, count_if(label = 1) AS c1, COUNT(DISTINCT label) AS n_labels,
+    FROM (SELECT CAST(count_if(label = 0) AS BIGINT) AS c0, CAST(count_if(label = 1) AS BIGINT) AS c1,
+                 COUNT(DISTINCT label) AS n_labels,
                  MAX(CAST(label IS NULL AS INTEGER)) AS has_null FROM post_scores) a"""
 
 
@@ -350,7 +351,8 @@ def q_class_imbalance(spark, sf):
 _FSTATS_SQL = """SELECT round(AVG(expertise_score), 12) AS avg_expertise,
         round(stddev_samp(expertise_score), 12) AS std_expertise,
         round(AVG(utility_score), 12) AS avg_utility, round(stddev_samp(utility_score), 12) AS std_utility,
-        count_if(expertise_score IS NULL) AS null_expertise, count_if(utility_score IS NULL) AS null_utility,
+        CAST(count_if(expertise_score IS NULL) AS BIGINT) AS null_expertise,
+        CAST(count_if(utility_score IS NULL) AS BIGINT) AS null_utility,
         COUNT(*) AS n_rows FROM post_scores WHERE label = 1"""
 
 
@@ -456,7 +458,8 @@ def q_training_pairs(spark, sf):
 
 # ---------------------------------------------------------------- row / class counts
 @register("sample_counts", with_views("""
-    SELECT COUNT(*) AS loaded, count_if(body IS NOT NULL AND label IS NOT NULL) AS cleaned,
-           count_if(label = 0) AS class_0, count_if(label = 1) AS class_1 FROM post_scores""", "post_scores"))
+    SELECT COUNT(*) AS loaded, CAST(count_if(body IS NOT NULL AND label IS NOT NULL) AS BIGINT) AS cleaned,
+           CAST(count_if(label = 0) AS BIGINT) AS class_0, CAST(count_if(label = 1) AS BIGINT) AS class_1
+    FROM post_scores""", "post_scores"))
 def q_sample_counts(spark, sf):
     return Q.sample_counts(T.post_scores(spark, sf))

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from relevo.plans.compare import compare
+from relevo.plans.compare import compare, type_mismatches
 from tests.conftest import SF_SMALL
 
 ORACLES = E.oracle_sql()
@@ -22,6 +22,8 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in cur.description]
     problems = compare(sdf.columns, sdata, dcols, cur.fetchall())
     assert not problems, problems
+    rel = duck.sql(ORACLES[name])
+    assert not type_mismatches(sdf.dtypes, rel.columns, rel.types)
 
 
 def test_entry_runs(spark):
