@@ -17,6 +17,7 @@ from relevo.operators import signals as G
 from relevo.operators import training as M
 from relevo.operators import vectors as V
 from relevo.plans.oracle_search import PARAMS_CTES
+from relevo.plans.q_tables import _ENRICH_SQL as ENRICH_SQL
 from relevo.plans.oracle_views import with_views
 from relevo.plans.registry import register
 from relevo.session import shared_path
@@ -220,7 +221,7 @@ def _score_canary_frame(spark, canaries):
 
 
 # ---------------------------------------------------------------- pipeline
-@register("run_pipeline", __import__("relevo.plans.q_tables", fromlist=["_ENRICH_SQL"])._ENRICH_SQL)
+@register("run_pipeline", ENRICH_SQL)
 def q_run_pipeline(spark, sf):
     from relevo.plans.pipeline import run_pipeline
 

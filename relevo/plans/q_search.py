@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from relevo.functions.fixed import STOPWORDS_EN
 from relevo.functions.text import POSSESSIVE_PATTERN, elision_pattern
 from relevo.operators import analysis as A
 from relevo.operators import evaluation as E
@@ -13,8 +14,8 @@ from relevo.operators import lexical as L
 from relevo.operators.containment import qrels_by_containment
 from relevo.operators.util import BROADCAST_MAX_ROWS
 from relevo.plans import search as S
-from relevo.plans.oracle_search import (PARAMS_CTES, SUMMARY_SQL, bm25_ctes, cands_cte, norm_expr,
-                                        per_query_ctes, proxy_ctes, search_ctes)
+from relevo.plans.oracle_search import (SUMMARY_SQL, bm25_ctes, cands_cte, per_query_ctes, proxy_ctes,
+                                        search_ctes)
 from relevo.plans.oracle_views import FIRST8, with_views, words
 from relevo.plans.registry import register
 from relevo.sources import tables as T
@@ -68,8 +69,7 @@ def q_analyze_keyword(spark, sf):
     return A.analyze(T.paths(spark, sf), "page_id", "path", mode="keyword")
 
 
-_STOP_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('en', '{w}')" for w in __import__(
-    "relevo.functions.fixed", fromlist=["STOPWORDS_EN"]).STOPWORDS_EN) + ") s(lang, term)"
+_STOP_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('en', '{w}')" for w in STOPWORDS_EN) + ") s(lang, term)"
 
 
 @register("remove_stopwords", with_views(f"""

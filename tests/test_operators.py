@@ -63,8 +63,8 @@ def test_synth_posts_rules(spark):
     for r in rows:
         assert r["label"] == int(r["expertise_score"] > 0.5 and r["utility_score"] > 0.5)
         assert r["title"] and r["body"]
-    high = sum(1 for r in rows if r["body"].startswith(tuple(p[:5] for p in
-                                                              __import__("relevo.functions.fixed", fromlist=["x"]).SYNTH_SOLUTION_PHRASES)))
+    from relevo.functions.fixed import SYNTH_SOLUTION_PHRASES
+    high = sum(1 for r in rows if r["body"].startswith(tuple(p[:5] for p in SYNTH_SOLUTION_PHRASES)))
     assert 0.1 < high / 2000 < 0.35
     again = Y.synth_posts(base, "doc_id", seed=3).orderBy("id").collect()
     assert sorted(rows, key=lambda r: r["id"]) == again

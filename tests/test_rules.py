@@ -79,7 +79,8 @@ def test_layer_norm(spark):
 
 def test_class_imbalance(spark):
     df = spark.createDataFrame([(0,)] * 90 + [(1,)] * 10, "label int")
-    r = __import__("relevo.operators.quality", fromlist=["x"]).class_imbalance(df).first()
+    from relevo.operators.quality import class_imbalance
+    r = class_imbalance(df).first()
     assert r["imbalance_ratio"] == pytest.approx(90 / 11) and r["severe"] is False
 
 
