@@ -25,17 +25,13 @@ TITLE_BOOST = 2.0  # [ours] weight of the title field in multi-field scoring
 
 
 def _features(spark, sf):
-    return T.post_scores(spark, sf).select("id", "expertise_score", "utility_score")
-
-
-def _params(spark, sf):
-    return N.fit_norm(N.drop_incomplete(T.post_scores(spark, sf), ("body", "label")))
+    return T.doc_scores(spark, sf)
 
 
 def ranked(spark, sf, alpha=0.2, indexed: bool = False):
     index = S.corpus_index(spark, sf) if indexed else None
     return S.ranked_candidates(T.queries(spark, sf), T.corpus(spark, sf).select("id", "body"),
-                               _features(spark, sf), _params(spark, sf), alpha=alpha, index=index)
+                               _features(spark, sf), S.serving_params(spark, sf), alpha=alpha, index=index)
 
 
 def _index(spark, sf):

@@ -47,20 +47,46 @@ def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame
     return H.rank_hybrid(cands)
 
 
+def source_key(spark, *paths: str) -> str:
+    """A short key of source files (path, size, modification time): derived
+    artefacts stored under it are rebuilt when a source changes."""
+    import hashlib
+
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for src in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(src)
+        st = hp.getFileSystem(conf).getFileStatus(hp)
+        parts.append(f"{src}|{st.getLen()}|{st.getModificationTime()}")
+    return hashlib.sha1("||".join(parts).encode()).hexdigest()[:16]
+
+
+def serving_params(spark, sf_dir: str) -> DataFrame:
+    """Normalisation parameters as serving uses them: fitted on the cleaned
+    training table once (N1), stored as JSON in the shared folder (S12) and
+    read back by every query batch, like a model registry file."""
+    from relevo.session import path_exists, shared_path
+    from relevo.sources import tables as T
+    from relevo.sources.readers import read_norm_params
+    from relevo.sources.sinks import write_norm_params
+
+    d = sf_dir.rstrip("/")
+    path = shared_path(spark, "params", "norm-" + source_key(spark, f"{d}/documents.parquet", f"{d}/labels.parquet"))
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        write_norm_params(N.fit_norm(N.drop_incomplete(T.post_scores(spark, sf_dir), ("body", "label"))), path)
+    return read_norm_params(spark, path)
+
+
 def corpus_index(spark, sf_dir: str) -> L.LexicalIndex:
     """The persisted full index of the corpus under the shared folder; built
     on first use, keyed by the source path and its size and modification
     time so that a changed corpus gets a new index."""
-    import hashlib
-
     from relevo.session import path_exists, shared_path
+
     from relevo.sources import tables as T
 
-    src = f"{sf_dir.rstrip('/')}/documents.parquet"
-    jvm = spark.sparkContext._jvm
-    hp = jvm.org.apache.hadoop.fs.Path(src)
-    st = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hp)
-    key = hashlib.sha1(f"{src}|{st.getLen()}|{st.getModificationTime()}".encode()).hexdigest()[:16]
+    key = source_key(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     path = shared_path(spark, "index", f"documents-{key}")
     if not path_exists(spark, f"{path}/stats/_SUCCESS"):
         L.write_index(T.corpus(spark, sf_dir).select("id", "body"), path)

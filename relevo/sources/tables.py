@@ -96,18 +96,24 @@ def _lcg(mult: int, inc: int):
     return ((x * mult + inc) % _LCG_MOD).cast("double") / F.lit(float(_LCG_MOD))
 
 
+def _score_columns():
+    return [F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(_lcg(*_LCG_EXPERTISE)).alias("expertise_score"),
+            F.when(F.col("id") % 11 == 5, F.lit(None)).otherwise(_lcg(*_LCG_UTILITY)).alias("utility_score")]
+
+
 def post_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts with stored ``expertise_score`` / ``utility_score`` (the training table).
 
     Scores are reproducible functions of the id; expertise is missing on ids
     divisible by 11, utility on ids congruent to 5 mod 11.
     """
-    p = posts(spark, sf_dir)
-    return p.select(
-        "*",
-        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(_lcg(*_LCG_EXPERTISE)).alias("expertise_score"),
-        F.when(F.col("id") % 11 == 5, F.lit(None)).otherwise(_lcg(*_LCG_UTILITY)).alias("utility_score"),
-    )
+    return posts(spark, sf_dir).select("*", *_score_columns())
+
+
+def doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored feature columns per document ``(id, expertise_score, utility_score)``,
+    without the label join (what serving reads)."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).select("id", *_score_columns())
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
