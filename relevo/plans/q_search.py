@@ -410,7 +410,7 @@ FROM (SELECT COUNT(*) AS n_queries, AVG(coalesce(dl, 0.0) / di) AS l, AVG(coales
 @register("evaluate_qrels", with_views(_QRELS_EVAL_SQL, "queries", "corpus", "post_scores", "qrels",
                                        extra=search_ctes()))
 def q_evaluate_qrels(spark, sf):
-    return E.evaluate_qrels(ranked(spark, sf), qrels_by_containment(spark, sf), 10)
+    return E.evaluate_qrels(ranked(spark, sf), S.judged_pairs(spark, sf), 10)
 
 
 @register("with_qrels", with_views("""
@@ -418,7 +418,7 @@ def q_evaluate_qrels(spark, sf):
     LEFT JOIN (SELECT DISTINCT query_id, doc_id, rel FROM qrels) q ON q.query_id = r.query_id AND q.doc_id = r.doc_id""",
                                    "queries", "corpus", "post_scores", "qrels", extra=search_ctes()))
 def q_with_qrels(spark, sf):
-    return E.with_qrels(ranked(spark, sf), qrels_by_containment(spark, sf)).select("query_id", "doc_id", "lex_rank",
+    return E.with_qrels(ranked(spark, sf), S.judged_pairs(spark, sf)).select("query_id", "doc_id", "lex_rank",
                                                                                    "rel")
 
 

@@ -78,6 +78,20 @@ def serving_params(spark, sf_dir: str) -> DataFrame:
     return read_norm_params(spark, path)
 
 
+def judged_pairs(spark, sf_dir: str) -> DataFrame:
+    """Judged relevance (query, doc) pairs derived by passage containment,
+    computed once per corpus/benchmark version and stored in the shared
+    folder; repeated evaluations read the stored judgements."""
+    from relevo.operators.containment import qrels_by_containment
+    from relevo.session import path_exists, shared_path
+
+    d = sf_dir.rstrip("/")
+    path = shared_path(spark, "qrels", source_key(spark, f"{d}/documents.parquet", f"{d}/benchmark.parquet"))
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        qrels_by_containment(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def corpus_index(spark, sf_dir: str) -> L.LexicalIndex:
     """The persisted full index of the corpus under the shared folder; built
     on first use, keyed by the source path and its size and modification
