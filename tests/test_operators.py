@@ -116,3 +116,41 @@ def test_bm25_synonym_blending(spark):
              for r in L.bm25(qt, L.build_index(docs, vocabulary=qt)).collect()}
     for d in (1, 2, 3):
         assert got[(8, d)] == plain[(8, d)]
+
+
+def test_keyed_overwrite_replaces_only_incoming_keys(spark, tmp_path):
+    from relevo.sources.sinks import latest_version, write_features
+    path = str(tmp_path / "feat")
+    schema = "author string, subreddit string, utility_hit long"
+    write_features(spark.createDataFrame([("a", "s", 1), ("b", "s", 2)], schema), path)
+    write_features(spark.createDataFrame([("a", "s", 5), ("c", "s", 1)], schema), path)
+    got = {r["author"]: r["utility_hit"] for r in spark.read.parquet(latest_version(spark, path)).collect()}
+    assert got == {"a": 5, "b": 2, "c": 1}
+
+
+def test_stream_restart_and_new_files(spark, tmp_path):
+    """Two runs over a growing folder with one checkpoint equal one batch count."""
+    from pyspark.sql import functions as F
+    from relevo.operators.signals import utility_hits
+    from relevo.sources import tables as T
+    from relevo.streaming.utility_stream import read_utility, stream_utility
+
+    docs = T.table(spark, "/root/testdata/sf0.001", "documents")
+    src, sink, ckpt = str(tmp_path / "src"), str(tmp_path / "sink"), str(tmp_path / "ckpt")
+    docs.where(F.col("doc_id") % 2 == 0).coalesce(1).write.parquet(src + "/part1")
+
+    def to_posts(raw):
+        return raw.select(F.concat(F.lit("u"), (F.col("doc_id") % 7).cast("string")).alias("author"),
+                          F.col("source").alias("subreddit"), F.col("text").alias("body"))
+
+    def run():
+        q = stream_utility(spark, src + "/*", docs.schema, sink, ckpt, T.FIXTURE_KEYWORDS, to_posts)
+        q.awaitTermination()
+
+    run()
+    docs.where(F.col("doc_id") % 2 == 1).coalesce(1).write.parquet(src + "/part2")
+    run()
+    got = sorted(tuple(r) for r in read_utility(spark, sink).collect())
+    expect = sorted(tuple(r) for r in utility_hits(T.corpus(spark, "/root/testdata/sf0.001"),
+                                                   T.FIXTURE_KEYWORDS).collect())
+    assert got == expect
