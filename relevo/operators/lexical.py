@@ -163,7 +163,9 @@ def write_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str =
     agg = write_shared(rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "index-build")
     post = agg.where(F.col("term").isNotNull())
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (post.repartitionByRange(n_parts, "term").sortWithinPartitions("term", "doc_id")
+    # range key (term, doc_id): a term holding a third of all postings still
+    # spreads over several partitions instead of landing in one task
+    (post.repartitionByRange(n_parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
      .select("term", "doc_id", "dl", "tf").write.mode("overwrite").parquet(f"{path}/postings"))
     (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
      .repartitionByRange(n_parts, "term").sortWithinPartitions("term")

@@ -25,15 +25,21 @@ def _values(df: DataFrame, col: str) -> DataFrame:
     return df.select(c.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _rank_values(vals: DataFrame, ranks: list[int], n: int, accuracy: int, max_candidates: int) -> list[float]:
+def _bracket(p_lo: float, p_hi: float, b) -> tuple[float, float]:
+    return (-math.inf if p_lo <= 0.0 else b[0]), (math.inf if p_hi >= 1.0 else b[1])
+
+
+def _rank_values(vals: DataFrame, ranks: list[int], n: int, accuracy: int, max_candidates: int,
+                 bracket: tuple[float, float] | None = None) -> list[float]:
     """Values at 0-based ``ranks`` (sorted ascending) of the ``v`` column with ``n`` rows."""
     lo_r, hi_r = ranks[0], ranks[-1]
-    margin = 3.0 / accuracy
-    p_lo = max(0.0, lo_r / max(n - 1, 1) - margin)
-    p_hi = min(1.0, hi_r / max(n - 1, 1) + margin)
-    b = vals.agg(F.percentile_approx("v", [p_lo, p_hi], accuracy).alias("b")).first()["b"]
-    lo = -math.inf if p_lo <= 0.0 else b[0]
-    hi = math.inf if p_hi >= 1.0 else b[1]
+    if bracket is None:
+        margin = 3.0 / accuracy
+        p_lo = max(0.0, lo_r / max(n - 1, 1) - margin)
+        p_hi = min(1.0, hi_r / max(n - 1, 1) + margin)
+        b = vals.agg(F.percentile_approx("v", [p_lo, p_hi], accuracy).alias("b")).first()["b"]
+        bracket = _bracket(p_lo, p_hi, b)
+    lo, hi = bracket
     below, inside = vals.agg(F.count_if(F.col("v") < lo).alias("a"),
                              F.count_if((F.col("v") >= lo) & (F.col("v") <= hi)).alias("b")).first()
     if below > lo_r or below + inside <= hi_r:
@@ -69,10 +75,17 @@ def exact_percentile(df: DataFrame, col: str, p: float, accuracy: int = ACCURACY
     NULL and NaN are skipped; an empty column gives None.
     """
     vals = _values(df, col)
-    n = vals.count()
+    # one pass: the row count and a sketch bracket around p (the bracket is
+    # verified by exact counts afterwards, so a miss only widens the search)
+    margin = 3.0 / accuracy
+    p_lo, p_hi = max(0.0, p - margin), min(1.0, p + margin)
+    first = vals.agg(F.count(F.lit(1)).alias("n"),
+                     F.percentile_approx("v", [p_lo, p_hi], accuracy).alias("b")).first()
+    n = first["n"]
     if n == 0:
         return None
     pos = p * (n - 1)
     k0, k1 = math.floor(pos), math.ceil(pos)
-    v0, v1 = _rank_values(vals, sorted({k0, k1}), n, accuracy, max_candidates) * (1 if k0 != k1 else 2)
+    v0, v1 = _rank_values(vals, sorted({k0, k1}), n, accuracy, max_candidates,
+                          _bracket(p_lo, p_hi, first["b"])) * (1 if k0 != k1 else 2)
     return v0 + (v1 - v0) * (pos - k0)

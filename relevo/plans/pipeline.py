@@ -42,8 +42,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out: str, cfg: Config | None
     prev = latest_version(spark, f"{out}/documents")
     existing = spark.read.parquet(prev) if prev else None
     upsert_documents(existing, docs).write.mode("overwrite").parquet(next_version(spark, f"{out}/documents"))
-    (L.build_postings(table, "id", "body").repartitionByRange("term")
-     .sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{out}/postings"))
+    L.write_index(table.select("id", "body"), f"{out}/index")
 
     # stage 4: model
     if train:
