@@ -15,7 +15,7 @@ from relevo.operators.containment import qrels_by_containment
 from relevo.operators.util import BROADCAST_MAX_ROWS
 from relevo.plans import search as S
 from relevo.plans.oracle_search import (SUMMARY_SQL, bm25_ctes, cands_cte, per_query_ctes, proxy_ctes,
-                                        search_ctes)
+                                        ranked_ctes, search_ctes)
 from relevo.plans.oracle_views import FIRST8, with_views, words
 from relevo.plans.registry import register
 from relevo.sources import tables as T
@@ -200,15 +200,9 @@ def q_retrieve_indexed(spark, sf):
     return L.retrieve(L.bm25(qt, idx, queries_small=small), 50)
 
 
-def _bm25_syn_sql():
-    return with_views("""
-    SELECT query_id, doc_id, round(SUM(c), 6) AS score, COUNT(*) AS matched, MAX(nq) AS n_query_terms FROM (
-      SELECT g.query_id, g.doc_id, w.nq,
-             w.w * g.tf / (g.tf + 1.2 * (0.25 + 0.75 * g.dl / st.avgdl)) AS c
-      FROM (SELECT e.query_id, e.grp, p.doc_id, p.dl, SUM(p.tf) AS tf
-            FROM post p JOIN ex e ON p.term = e.term GROUP BY e.query_id, e.grp, p.doc_id, p.dl) g
-      JOIN w ON w.query_id = g.query_id AND w.grp = g.grp CROSS JOIN st) x
-    GROUP BY query_id, doc_id""", "queries", "corpus", extra=[
+def _bm25_syn_ctes():
+    """CTEs ending in ``scored``: synonym-blended BM25 (mirrors ``L.bm25_synonyms``)."""
+    return [
         ("syn", _syn_sql()),
         ("qt", f"""SELECT query_id, term, COUNT(*) AS qtf
             FROM (SELECT query_id, unnest({words('query_text')}) AS term FROM queries) t GROUP BY query_id, term"""),
@@ -227,7 +221,19 @@ def _bm25_syn_sql():
         ("w", """SELECT g.query_id, g.grp, n.nq,
                         g.qtf * ln(1.0 + (st.n_docs - g.df + 0.5) / (g.df + 0.5)) AS w
                  FROM grp g JOIN nq n ON n.query_id = g.query_id CROSS JOIN st"""),
-    ])
+        ("scored", """
+    SELECT query_id, doc_id, round(SUM(c), 6) AS score, COUNT(*) AS matched, MAX(nq) AS n_query_terms FROM (
+      SELECT g.query_id, g.doc_id, w.nq,
+             w.w * g.tf / (g.tf + 1.2 * (0.25 + 0.75 * g.dl / st.avgdl)) AS c
+      FROM (SELECT e.query_id, e.grp, p.doc_id, p.dl, SUM(p.tf) AS tf
+            FROM post p JOIN ex e ON p.term = e.term GROUP BY e.query_id, e.grp, p.doc_id, p.dl) g
+      JOIN w ON w.query_id = g.query_id AND w.grp = g.grp CROSS JOIN st) x
+    GROUP BY query_id, doc_id"""),
+    ]
+
+
+def _bm25_syn_sql():
+    return with_views("SELECT * FROM scored", "queries", "corpus", extra=_bm25_syn_ctes())
 
 
 @register("bm25_synonyms", _bm25_syn_sql())
@@ -276,6 +282,16 @@ def q_hybrid_search_indexed(spark, sf):
     return _ranked_cols(ranked(spark, sf, indexed=True).where(F.col("hybrid_rank") <= 10))
 
 
+@register("hybrid_search_synonyms", with_views(
+    f"SELECT {_RANKED_COLS} FROM ranked WHERE hybrid_rank <= 10", "queries", "corpus", "post_scores",
+    extra=_bm25_syn_ctes() + [cands_cte(50)] + ranked_ctes()))
+def q_hybrid_search_synonyms(spark, sf):
+    """H2 with query-time synonym expansion blended into BM25 (as the query analyzer does)."""
+    r = S.ranked_candidates(T.queries(spark, sf), T.corpus(spark, sf).select("id", "body"), _features(spark, sf),
+                            S.serving_params(spark, sf), synonyms=A.synonym_table(spark))
+    return _ranked_cols(r.where(F.col("hybrid_rank") <= 10))
+
+
 @register("fuse", with_views(f"SELECT {_RANKED_COLS} FROM ranked", "queries", "corpus", "post_scores",
                              extra=search_ctes()))
 def q_fuse(spark, sf):

@@ -22,21 +22,27 @@ from relevo.operators.util import BROADCAST_MAX_ROWS, top_k
 
 def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame, params: DataFrame,
                       scorer=None, k_recall: int = K_RECALL, alpha: float = ALPHA,
-                      index: L.LexicalIndex | None = None) -> DataFrame:
+                      index: L.LexicalIndex | None = None, synonyms: DataFrame | None = None) -> DataFrame:
     """All recalled candidates with lexical and hybrid scores and ranks.
 
     ``corpus``: ``(id, body)``; ``features``: ``(id, expertise_score,
     utility_score)`` as stored (missing -> 0.0 before normalising).
+    ``synonyms``: a ``(lhs, rhs)`` rule table; when given, query terms are
+    expanded and blended per original term (``bm25_synonyms``).
     """
     H.check_alpha(alpha)
     qt = L.query_terms(queries)
     n_terms = qt.count()
     small = n_terms <= BROADCAST_MAX_ROWS
-    if index is not None:
-        idx = L.lookup(index, qt)
+    if synonyms is not None:
+        scored = L.bm25_synonyms(qt, synonyms, corpus)
     else:
-        idx = L.build_index(corpus, "id", "body", vocabulary=qt, vocabulary_small=small)
-    cands = L.retrieve(L.bm25(qt, idx, queries_small=small), k_recall)
+        if index is not None:
+            idx = L.lookup(index, qt)
+        else:
+            idx = L.build_index(corpus, "id", "body", vocabulary=qt, vocabulary_small=small)
+        scored = L.bm25(qt, idx, queries_small=small)
+    cands = L.retrieve(scored, k_recall)
     feats = features.select(F.col("id").alias("doc_id"), "expertise_score", "utility_score")
     # candidates: at most k_recall per query, and a query has >= 1 term row
     cands_small = n_terms * k_recall <= BROADCAST_MAX_ROWS
