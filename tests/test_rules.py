@@ -179,3 +179,22 @@ def test_config_validation():
     cfg = Config.from_dict({"database": {"project_id": "p", "dataset": "d"}, "training": {"extra_feature_dim": 2},
                             "artifacts": {}, "search_tuning": {"alpha": 0.3}})
     assert cfg.alpha == 0.3 and cfg.extra_feature_dim == 2
+
+
+def test_config_from_yaml(tmp_path):
+    from relevo.config import Config
+    f = tmp_path / "settings.yaml"
+    f.write_text("database: {project_id: p, dataset: d}\nfeatures: {min_upvote_threshold: 7, utility_keywords: [a, b]}\n"
+                 "training: {extra_feature_dim: 2, epochs: 3, val_split: 0.2}\nartifacts: {version: '2.0'}\n"
+                 "search_tuning: {k_recall: 20, alpha: 0.5}\n")
+    cfg = Config.from_yaml(str(f))
+    assert (cfg.min_upvote_threshold, cfg.utility_keywords, cfg.epochs, cfg.k_recall, cfg.alpha, cfg.version) == \
+        (7, ["a", "b"], 3, 20, 0.5, "2.0")
+
+
+def test_split_is_deterministic_and_near_ratio(spark):
+    from relevo.operators.training import split
+    df = spark.range(20000)
+    a = split(df, 0.15, 42).where("is_validation").count()
+    b = split(df.repartition(7), 0.15, 42).where("is_validation").count()
+    assert a == b and 0.13 < a / 20000 < 0.17
