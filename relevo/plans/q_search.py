@@ -462,3 +462,21 @@ def q_retrieve_documents(spark, sf):
     # at most k rows per query term row: bounded by the counted query side
     joined = docs.join(F.broadcast(cands) if small else cands, "doc_id")
     return joined.select("query_id", "doc_id", "lex_rank", "score", "title", "body")
+
+
+# ---------------------------------------------------------------- full evaluation report (E5 + G10)
+@register("evaluation_report", with_views(f"""
+    SELECT s.*, l.p99_ms FROM ({SUMMARY_SQL}) s,
+         (SELECT quantile_cont(latency_ms, 0.99) AS p99_ms FROM latency) l""",
+                                          "queries", "corpus", "post_scores", "latency",
+                                          extra=search_ctes() + proxy_ctes() + per_query_ctes()))
+def q_evaluation_report(spark, sf):
+    """The summary the evaluation prints: both nDCGs, lift, recall and the p99 latency."""
+    summary = E.evaluate_rankings(ranked(spark, sf))
+    p99 = E.latency_summary(T.latency(spark, sf), "latency_ms", 0.99).select("p99_ms")
+    return _attach_scalar(summary, p99, "p99_ms")
+
+
+def _attach_scalar(df, one_row, col):
+    """Add a one-row result as a column (scalar subquery, not a join)."""
+    return df.withColumn(col, one_row.select(col).scalar())
