@@ -17,6 +17,7 @@ from relevo.operators import signals as G
 from relevo.operators import training as M
 from relevo.operators import vectors as V
 from relevo.plans.oracle_search import PARAMS_CTES
+from relevo.plans.q_tables import _DIAGNOSE_SQL as DIAGNOSE_SQL
 from relevo.plans.q_tables import _ENRICH_SQL as ENRICH_SQL
 from relevo.plans.oracle_views import with_views
 from relevo.plans.registry import register
@@ -228,3 +229,14 @@ def q_run_pipeline(spark, sf):
     out = _scratch(spark, "pipeline")
     table = run_pipeline(spark, sf, out, train=True)
     return table.select("id", "author", "subreddit", "label", "expertise_score", "utility_score")
+
+
+@register("diagnose_with_canaries", "SELECT * FROM (" + DIAGNOSE_SQL + ") d UNION ALL SELECT 'canary_' || canary, semantic, "
+          "CAST(CASE WHEN canary = 'relevant_high_features' THEN 0.5 ELSE 0.3 END AS DOUBLE), "
+          "semantic < CASE WHEN canary = 'relevant_high_features' THEN 0.5 ELSE 0.3 END FROM ("
+          + _canary_sql() + ") c WHERE canary IN ('relevant_high_features', 'relevant_default_features')")
+def q_diagnose_with_canaries(spark, sf):
+    """The findings report including the canary checks (D1 + D3)."""
+    params = N.fit_norm(N.drop_incomplete(T.post_scores(spark, sf), ("body", "label")))
+    canaries = _score_canary_frame(spark, N.apply_norm(Q.canary_frame(spark), params, "serve", default=0.0))
+    return Q.diagnose(T.post_scores(spark, sf), canaries)

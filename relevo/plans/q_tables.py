@@ -361,7 +361,7 @@ def q_feature_stats(spark, sf):
     return Q.feature_stats(T.post_scores(spark, sf))
 
 
-@register("diagnose", with_views("""
+_DIAGNOSE_SQL = with_views("""
     SELECT 'class_imbalance' AS "check", imbalance_ratio AS value, CAST(10.0 AS DOUBLE) AS threshold,
            coalesce(severe, false) AS failed FROM imb
     UNION ALL SELECT 'no_eval_data', CAST(n_rows AS DOUBLE), 0.0, n_rows = 0 FROM fs
@@ -370,7 +370,10 @@ def q_feature_stats(spark, sf):
     UNION ALL SELECT 'feature_scale_mismatch', v, 10.0, coalesce(v > 10.0, false)
               FROM (SELECT round(AVG(avg_expertise), 12) AS v FROM ls) x""", "post_scores", extra=[
     ("imb", _IMB_SQL), ("fs", _FSTATS_SQL),
-    ("ls", f"SELECT label, {_STATS_COLS} FROM post_scores GROUP BY label")]))
+    ("ls", f"SELECT label, {_STATS_COLS} FROM post_scores GROUP BY label")])
+
+
+@register("diagnose", _DIAGNOSE_SQL)
 def q_diagnose(spark, sf):
     return Q.diagnose(T.post_scores(spark, sf))
 
