@@ -20,13 +20,26 @@ MAX_QUERY_VECTORS = 100_000
 SCORE_DIGITS = 6
 
 
-def embed(df: DataFrame, text_col: str = "body", dim: int = 64, out: str = "vector") -> DataFrame:
-    """TF-IDF hashing embedding, L2-normalised, as ``array<double>`` (V1).
-
-    Token hashing to ``dim`` buckets, IDF fitted on ``df`` (a distributed
-    aggregate), unit length. A custom encoder can be plugged in instead with
-    ``mapInPandas``; this default needs no model files.
+def embed(df: DataFrame, text_col: str = "body", dim: int = 64, out: str = "vector", encoder=None) -> DataFrame:
+    """Batch text embedding as ``array<double>`` (V1).
+
+    Default: token hashing to ``dim`` buckets, IDF fitted on ``df`` (a
+    distributed aggregate), unit length; needs no model files. ``encoder``:
+    a function ``list[str] -> array (n, d)`` (e.g. a sentence encoder) run on
+    Arrow batches with ``mapInPandas``; it is called once per batch, and any
+    model it holds is loaded once per Python worker by the caller's closure.
     """
+    if encoder is not None:
+        schema = df.schema.simpleString()[len("struct<"):-1] + f",{out}:array<double>"
+
+        def run(batches):
+            for pdf in batches:
+                texts = pdf[text_col].fillna("").astype(str).tolist()
+                vecs = np.asarray(encoder(texts), dtype="float64") if texts else np.zeros((0, 0))
+                pdf[out] = list(vecs)
+                yield pdf
+
+        return df.mapInPandas(run, schema)
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array

@@ -154,3 +154,16 @@ def test_stream_restart_and_new_files(spark, tmp_path):
     expect = sorted(tuple(r) for r in utility_hits(T.corpus(spark, "/root/testdata/sf0.001"),
                                                    T.FIXTURE_KEYWORDS).collect())
     assert got == expect
+
+
+def test_embed_with_custom_encoder(spark):
+    from relevo.operators.vectors import embed
+
+    def encoder(texts):
+        return np.array([[len(t), t.count(" ")] for t in texts], dtype=float)
+
+    df = spark.createDataFrame([(1, "a b c"), (2, None)], "id long, body string")
+    got = {r["id"]: r["vector"] for r in embed(df, "body", encoder=encoder).collect()}
+    assert got == {1: [5.0, 2.0], 2: [0.0, 0.0]}
+    default = embed(df, "body", dim=16).collect()
+    assert all(len(r["vector"]) == 16 for r in default)
