@@ -167,3 +167,19 @@ def test_embed_with_custom_encoder(spark):
     assert got == {1: [5.0, 2.0], 2: [0.0, 0.0]}
     default = embed(df, "body", dim=16).collect()
     assert all(len(r["vector"]) == 16 for r in default)
+
+
+def test_score_pairs_three_scorer_kinds(spark):
+    from relevo.operators import scoring as SC
+    df = spark.createDataFrame([(1, 0.5, 0.2, 0.9), (2, 1.0, 0.0, 0.0)],
+                               "id long, coverage double, expertise_score double, utility_score double")
+    col = {r["id"]: r["semantic"] for r in SC.score_pairs(df, SC.logistic_scorer()).collect()}
+    z = -2.0 + 3.0 * 0.5 + 0.2 + 0.9
+    assert col[1] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+    @SC.pandas_scorer
+    def batch(pdf):
+        return 1 / (1 + np.exp(-(-2.0 + 3.0 * pdf["coverage"] + pdf["expertise_score"] + pdf["utility_score"])))
+
+    pan = {r["id"]: r["semantic"] for r in SC.score_pairs(df, batch).collect()}
+    assert pan == pytest.approx(col)
