@@ -240,3 +240,18 @@ def q_diagnose_with_canaries(spark, sf):
     params = N.fit_norm(N.drop_incomplete(T.post_scores(spark, sf), ("body", "label")))
     canaries = _score_canary_frame(spark, N.apply_norm(Q.canary_frame(spark), params, "serve", default=0.0))
     return Q.diagnose(T.post_scores(spark, sf), canaries)
+
+
+@register("hybrid_search_model")
+def q_hybrid_search_model(spark, sf):
+    """H2 with the pair scorer being the Spark ML model trained by M3 (SC1 model path)."""
+    from relevo.plans import search as S
+
+    model, _ = M.train_relevance_model(_training_table(spark, sf), epochs=10)
+    lengths = T.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.log1p(F.length(F.coalesce("text", F.lit(""))).cast("double")).alias("log_body_len"))
+    feats = T.doc_scores(spark, sf).join(lengths, "id")
+    ranked = S.ranked_candidates(T.queries(spark, sf), T.corpus(spark, sf).select("id", "body"), feats,
+                                 S.serving_params(spark, sf), scorer=model)
+    return ranked.where(F.col("hybrid_rank") <= 10).select("query_id", "doc_id", "lex_rank", "hybrid_rank", "score",
+                                                           "semantic", "hybrid")

@@ -43,7 +43,8 @@ def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame
             idx = L.build_index(corpus, "id", "body", vocabulary=qt, vocabulary_small=small)
         scored = L.bm25(qt, idx, queries_small=small)
     cands = L.retrieve(scored, k_recall)
-    feats = features.select(F.col("id").alias("doc_id"), "expertise_score", "utility_score")
+    # extra feature columns (e.g. inputs of an ML scorer) travel with the candidates
+    feats = features.withColumnRenamed("id", "doc_id")
     # candidates: at most k_recall per query, and a query has >= 1 term row
     cands_small = n_terms * k_recall <= BROADCAST_MAX_ROWS
     cands = feats.join(F.broadcast(cands) if cands_small else cands, "doc_id")
