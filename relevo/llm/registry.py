@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevo.llm import line_quality, perspectives, url_filter
+from relevo.llm import line_quality, packing, perspectives, piece_codec, sketch, token_store, url_filter
 from relevo.session import ensure_checkpoint_dir
 
-_MODULES = (line_quality, url_filter, perspectives)
+_MODULES = (line_quality, piece_codec, packing, token_store, url_filter, sketch, perspectives)
 
 
 def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
