@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -15,19 +16,23 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 _UNEVEN = re.compile(r"\s\s|\x00")
 #: The only boundary used then: before one space between two other characters.
 _SPACE = re.compile(r"(?<=\S)(?= \S)")
+#: A full stop or comma that may belong with what stands before it.
+_RUN = re.compile(r"[\W_][,.]")
 
 
 class ByteBpe:
     """Encodes with the ``tokenizers`` library, each distinct unit of text once.
 
     The vocabulary's pre-tokenizer never joins characters across a single
-    space or newline that stands between two non-white characters, so a text's
-    ids are those of its units (a word with its leading space, or a newline)
-    in sequence. Texts with longer white space are cut only where the rule
-    holds. Known units are kept up to ``cache_chars`` characters, then dropped.
+    space or newline that stands between two non-white characters, nor a
+    letter or digit with a stop or comma before white space, so a text's ids
+    are those of its units (a word with its leading space, a sign, a newline)
+    in sequence. Texts with longer white space or runs of signs are cut only
+    where the rules hold. Known units are kept up to ``cache_chars``
+    characters, then dropped.
     """
 
-    def __init__(self, path: str = BYTE_BPE, cache_chars: int = 4_000_000):
+    def __init__(self, path: str = BYTE_BPE, cache_chars: int = 6_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,17 +44,22 @@ class ByteBpe:
     def units(text: str) -> list[str]:
         if _UNEVEN.search(text):
             return _SPACE.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        if not _RUN.search(text):
+            cut = cut.replace(",\0", "\0,\0").replace(".\0", "\0.\0")
+        return cut.split("\0")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (unsigned 32-bit, little-endian) of each text; a null text has none."""
         if self.held > self.cache_chars:
             self.held, self.known = 0, {"": b""}
         cut = [self.units(t or "") for t in texts]
-        new = list({u for units in cut for u in units if u not in self.known})
+        new: set[str] = set()
+        for units in cut:
+            new |= set(units).difference(self.known)
         self.held += sum(map(len, new))
-        for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[u] = np.array(e.ids, dtype="<u4").tobytes()
+        for u, e in zip(ordered := list(new), self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)):
+            self.known[u] = array("I", e.ids).tobytes()
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, units)), dtype="<u4") for units in cut]
 
