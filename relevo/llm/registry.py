@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relevo.llm import line_quality, packing, perspectives, piece_codec, sketch, token_store, url_filter
+from relevo.llm import (ctw, line_dedup, line_quality, packing, perspectives, piece_codec, prefix_join, sketch, token_store,
+                        url_filter)
 from relevo.session import ensure_checkpoint_dir
 
-_MODULES = (line_quality, piece_codec, packing, token_store, url_filter, sketch, perspectives)
+_MODULES = (line_dedup, line_quality, piece_codec, packing, token_store, url_filter, ctw, sketch, prefix_join,
+            perspectives)
 
 
 def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
