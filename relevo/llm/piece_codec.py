@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -87,30 +88,30 @@ class Normaliser:
             out.append(b)
             at.extend([origin] * len(b))
 
-        pending = self.prefix
+        def step(i: int) -> tuple[int, bytes]:
+            if hit := self.map.longest(raw, i):
+                return hit
+            n = 1
+            while i + n < len(raw) and raw[i + n] & 0xC0 == 0x80:
+                n += 1
+            return n, raw[i:i + n]
+
+        while self.squeeze and i < len(raw) and (first := step(i))[1] == b" ":  # no space at the beginning
+            i += first[0]
+        if self.prefix and i < len(raw):
+            put(mark, i)
         while i < len(raw):
-            hit = self.map.longest(raw, i)
-            if hit:
-                n, new = hit
-            else:
-                n = 1
-                while i + n < len(raw) and raw[i + n] & 0xC0 == 0x80:
-                    n += 1
-                new = raw[i:i + n]
+            n, new = step(i)
             if space and self.squeeze:
                 new = new.lstrip(b" ")
             if new:
-                if pending:
-                    put(mark, i)
-                    pending = False
                 for part in re.split(b"( )", new):
                     put(mark if part == b" " else part, i)
                 if self.squeeze:
                     space = new.endswith(b" ")
-                end = i + n
-            elif not self.squeeze:
-                end = i + n
             i += n
+            if new or not self.squeeze:
+                end = i
         if self.squeeze:  # no space at the end
             while out and (not out[-1] or out[-1] == mark):
                 del at[len(at) - len(out[-1]):]
@@ -123,7 +124,7 @@ class Normaliser:
 class PieceCodec:
     """Exact ids, decoded text and original byte spans of a model's pieces."""
 
-    def __init__(self, path: str = PIECE_MODEL, cache_chars: int = 4_000_000):
+    def __init__(self, path: str = PIECE_MODEL, cache_chars: int = 6_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -150,10 +151,11 @@ class PieceCodec:
         # evenly spaced text has one mark before each unit
         units = ([MARK + u for u in normal.split(MARK)[1:]] if MARK * 2 not in normal
                  else [u for u in _UNIT.findall(normal) if u])
-        for u in set(units) - known.keys():
-            known[u] = np.array(self.sp.encode(u[1:].replace(MARK, " ")), dtype="<i4").tobytes() if u != MARK else (
-                np.array([self.sp.piece_to_id(MARK)], dtype="<i4").tobytes())
-            self.held += len(u)
+        if new := list(set(units).difference(known)):
+            encoded = self.sp.encode([u[1:].replace(MARK, " ") for u in new], num_threads=1)
+            for u, ids in zip(new, encoded):
+                known[u] = array("i", ids if u != MARK else [self.sp.piece_to_id(MARK)]).tobytes()
+                self.held += len(u)
         return np.frombuffer(b"".join(map(known.__getitem__, units)), dtype="<i4")
 
     def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
