@@ -32,20 +32,21 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataF
     ``start`` is the offset of the part in the speaker's whole rendering and
     ``mask`` an array of ``(begin, end)`` offsets in that rendering, all in
     code points. Null roles read ``unknown``, null texts are empty, null ids
-    are one conversation of their own; turns with equal numbers are ordered by
-    role and text, and repeated rows stay repeated. Start and end marks inside
+    are one conversation of their own; a null turn stands just before turn 0;
+    turns with equal numbers are ordered by role and text, and repeated rows
+    stay repeated. Start and end marks inside
     a text are broken by a space. Conversations without a participant other
     than ``system`` give no row.
     """
     clean = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("<| im_")).alias("text"))
-    coarse = F.floor(F.coalesce("turn", F.lit(-1)) / part_turns)
-    w = Window.partitionBy("conv_id", "coarse").orderBy("turn", "role", "text")
-    parts = (clean.withColumn("coarse", coarse)
+    coarse = F.floor(F.coalesce("turn", F.lit(0)) / part_turns)
+    w = Window.partitionBy("conv_id", "coarse").orderBy("at", "turn", "role", "text")
+    parts = (clean.withColumns({"coarse": coarse, "at": F.coalesce("turn", F.lit(0))})
              .withColumn("fine", F.floor((F.row_number().over(w) - 1) / part_turns))
              .groupBy("conv_id", "coarse", "fine")
-             .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")))
+             .agg(F.array_sort(F.collect_list(F.struct("at", "turn", "role", "text"))).alias("turns")))
     speakers = clean.where("role <> 'system'").select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
     rotated = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     pieces = F.transform("turns", lambda t: F.struct(
@@ -84,10 +85,10 @@ _SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
                   replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-n AS (SELECT *, floor(coalesce(turn, -1) / {PART_TURNS}) AS coarse,
-             (row_number() OVER (PARTITION BY conv_id, floor(coalesce(turn, -1) / {PART_TURNS})
-                                 ORDER BY turn NULLS FIRST, role, text) - 1) // {PART_TURNS} AS fine,
-             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
+n AS (SELECT *, floor(coalesce(turn, 0) / {PART_TURNS}) AS coarse,
+             (row_number() OVER (PARTITION BY conv_id, floor(coalesce(turn, 0) / {PART_TURNS})
+                                 ORDER BY coalesce(turn, 0), turn NULLS FIRST, role, text) - 1) // {PART_TURNS} AS fine,
+             row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, 0), turn NULLS FIRST, role, text) AS k FROM t),
 p AS (SELECT n.*, s.speaker, '{START}' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
              ELSE 'user name=' || role END || chr(10) AS head
       FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),

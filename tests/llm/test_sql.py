@@ -70,7 +70,10 @@ def test_url_rules(spark):
     tie = (("allow", "a.b", "/"), ("block", "b", "/cd"), ("block", "a.b", "/"))
     one = url_filter.judge_urls(spark.createDataFrame([(1, "http://a.b/cd")], "page_id long, url string"),
                                 url_filter.rules_table(spark, tie)).first()
-    assert (one["rule"], one["verdict"]) == ("a.b/", "block")
+    assert (one["rule"], one["verdict"]) == ("b/cd", "block")
+    both = url_filter.judge_urls(spark.createDataFrame([(1, "http://a.b/x")], "page_id long, url string"),
+                                 url_filter.rules_table(spark, tie)).first()
+    assert (both["rule"], both["verdict"]) == ("a.b/", "block")
     assert url_filter.judge_urls(df.limit(0), url_filter.rules_table(spark)).count() == 0
 
 
