@@ -21,6 +21,7 @@ class Config:
     k_recall: int = X.K_RECALL
     alpha: float = X.ALPHA
     top_k: int = X.TOP_K
+    vector_dim: int = 64
 
     REQUIRED_SECTIONS = ("database", "training", "artifacts", "search_tuning")
 

@@ -2,25 +2,14 @@
 
 Used to derive judged relevance (qrels) from benchmark passages embedded in
 documents. A brute-force check compares every passage with every document;
-instead each passage is anchored on one of its *interior* word tokens (a
-token with a separator on both sides inside the passage, hence a complete
-token of any document that contains the passage). The rarest such token
-(lowest document frequency) selects candidate documents through an
-equi-join; candidates are then verified with an exact substring test.
-No pairs outside the anchor's posting list are ever formed, and every true
-match is found (the anchor must occur in a containing document).
-
-Two plans:
-- a bounded passage set (the usual case: a benchmark or query table) uses the
-  *longest* interior token as anchor; the anchor set (counted, bounded) is a
-  literal array, each document intersects its distinct tokens with it, and
-  the few matching rows are verified in the same map stage — one pass over
-  the documents, no shuffle;
-- beyond that bound, the rarest interior token (by document frequency) is the
-  anchor and candidates are formed by joins.
-
-Passages with fewer than three word tokens have no interior token; they are
-matched by a substring filter over a bounded literal list (checked).
+instead each passage is anchored on something that any document containing it
+must contain, candidates come from an equi-join on the anchor, and an exact
+substring test verifies them. The anchor of a passage with three or more word
+tokens is its longest *interior* token (a separator on both sides inside the
+passage makes it a complete token of the document); that of a shorter passage
+is its first three characters (fewer, where it is shorter). Anchors meet the
+distinct tokens of the documents, so only matching (document, anchor) ids
+reach the verification; which side is broadcast is Spark's choice.
 """
 
 from __future__ import annotations
@@ -29,30 +18,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevo.functions.text import word_tokens
-from relevo.operators.util import BROADCAST_MAX_ROWS, spread
-from relevo.session import write_shared
+from relevo.operators.util import spread
 from relevo.sources import tables as T
 
-MAX_SHORT_PASSAGES = 1000
-MAX_LITERAL_ANCHORS = 20_000
+GRAM = 3
 
 
 def containment_pairs(passages: DataFrame, docs: DataFrame, pid: str = "pid", ptext: str = "ptext",
                       did: str = "doc_id", dtext: str = "text") -> DataFrame:
-    """``(pid, doc_id)`` for every document whose text contains the passage text."""
-    spark = passages.sparkSession
-    p = passages.select(F.col(pid).alias("pid"), F.col(ptext).alias("ptext"))
-    p = p.withColumn("_tok", word_tokens("ptext")).withColumn("_n", F.size("_tok"))
-    long_p = p.where(F.col("_n") >= 3).select(
-        "pid", "ptext", F.slice("_tok", 2, F.col("_n") - 2).alias("_inner"))
-    n_long = long_p.count()
-    small = n_long <= BROADCAST_MAX_ROWS
+    """``(pid, doc_id)`` for every document whose text contains the passage text.
+
+    NULL and empty passages are in no document.
+    """
+    p = (passages.select(F.col(pid).alias("pid"), F.col(ptext).alias("ptext")).where(F.length("ptext") > 0)
+         .withColumn("_tok", word_tokens("ptext")).withColumn("_n", F.size("_tok")))
     d = spread(docs.select(F.col(did).alias("doc_id"), F.col(dtext).alias("text")), "doc_id")
-    if n_long <= MAX_LITERAL_ANCHORS:
-        verified = _single_pass(long_p, d)
-    else:
-        verified = _rarest_anchor_joins(spark, long_p, d, small)
-    return verified.unionByName(_short_passages(p, d)) if _has_short(p) else verified
+    anchored = p.where(F.col("_n") >= 3).select("pid", "ptext", _longest(F.slice("_tok", 2, F.col("_n") - 2)).alias("term"))
+    found = _verified(d, F.array_distinct(word_tokens("text")), anchored)
+    short = p.where(F.col("_n") < 3).select("pid", "ptext", F.substring("ptext", 1, GRAM).alias("term"))
+    if short.isEmpty():  # character anchors cost a row per distinct gram of every document
+        return found
+    return found.unionByName(_verified(d, F.array_distinct(_grams(F.col("text"))), short))
 
 
 def _longest(tokens):
@@ -61,53 +47,19 @@ def _longest(tokens):
     return F.array_min(keyed)["t"]
 
 
-def _single_pass(long_p: DataFrame, d: DataFrame) -> DataFrame:
-    anchored = long_p.select("pid", "ptext", _longest("_inner").alias("term"))
-    anchors = [r["term"] for r in anchored.select("term").distinct().collect()]
-    if not anchors:
-        return d.select(F.lit(None).cast("long").alias("pid"), "doc_id").where(F.lit(False))
-    vocab = F.array(*[F.lit(a) for a in sorted(anchors)])
+def _grams(text):
+    """The pieces of one to ``GRAM`` characters of a text."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    return F.flatten(F.transform(at, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in range(1, GRAM + 1)])))
+
+
+def _verified(d: DataFrame, terms, anchored: DataFrame) -> DataFrame:
     # explode_outer + IS NOT NULL: a plain explode makes Catalyst add a
     # size(...) > 0 filter that would tokenise every text twice
-    hits = (d.select("doc_id", "text",
-                     F.explode_outer(F.array_intersect(F.array_distinct(word_tokens("text")), vocab)).alias("term"))
-            .where(F.col("term").isNotNull()))
-    return (hits.join(F.broadcast(anchored), "term")
-            .where(F.col("text").contains(F.col("ptext")))
-            .select("pid", "doc_id"))
-
-
-def _has_short(p: DataFrame) -> bool:
-    return p.where(F.col("_n") < 3).limit(1).count() > 0
-
-
-def _rarest_anchor_joins(spark, long_p: DataFrame, d: DataFrame, small: bool) -> DataFrame:
-    inner = long_p.select("pid", F.explode(F.array_distinct("_inner")).alias("term"))
-    vocab = inner.select("term").distinct().withColumn("_in", F.lit(True))
-    pairs = (d.select("doc_id", F.explode_outer(F.array_distinct(word_tokens("text"))).alias("term"))
-             .join(F.broadcast(vocab) if small else vocab, "term")
-             .select("doc_id", "term"))
-    pairs = write_shared(pairs, "containment-pairs")
-    dfreq = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # rarest interior token per passage; ties by the token itself
-    anchors = (inner.join(dfreq, "term")
-               .groupBy("pid").agg(F.min_by("term", F.struct("df", "term")).alias("term")))
-    cand = pairs.join(F.broadcast(anchors) if small else anchors, "term").select("pid", "doc_id")
-    texts = long_p.select("pid", "ptext")
-    return (cand.join(d, "doc_id")
-            .join(F.broadcast(texts) if small else texts, "pid")
-            .where(F.col("text").contains(F.col("ptext")))
-            .select("pid", "doc_id"))
-
-
-def _short_passages(p: DataFrame, d: DataFrame) -> DataFrame:
-    """Passages without an interior token: substring filter over a bounded literal list."""
-    short_rows = p.where(F.col("_n") < 3).select("pid", "ptext").limit(MAX_SHORT_PASSAGES + 1).collect()
-    if len(short_rows) > MAX_SHORT_PASSAGES:
-        raise ValueError(f"{len(short_rows)} passages without an interior token; limit {MAX_SHORT_PASSAGES}")
-    pats = F.array(*[F.struct(F.lit(r["pid"]).alias("pid"), F.lit(r["ptext"]).alias("p")) for r in short_rows])
-    hits = d.select("doc_id", F.explode(F.filter(pats, lambda s: F.col("text").contains(s["p"]))).alias("_h"))
-    return hits.select(F.col("_h.pid").alias("pid"), "doc_id")
+    hits = (d.select("doc_id", F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
+            .join(anchored.select("pid", "term").distinct(), "term").select("doc_id", "pid").distinct())
+    return (d.join(hits, "doc_id").join(anchored.select("pid", "ptext").distinct(), "pid")
+            .where(F.col("text").contains(F.col("ptext"))).select("pid", "doc_id"))
 
 
 def qrels_by_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,12 +61,9 @@ def params_frame(spark: SparkSession, params: dict | None = None) -> DataFrame:
 
 
 def impute_median(df: DataFrame, cols=("expertise_score", "utility_score")) -> DataFrame:
-    """Fill missing values with the column's exact median, or 0.0 if all missing."""
-    out = df
-    for c in cols:
-        med = exact_percentile(df, c, 0.5)
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0 if med is None else float(med))))
-    return out
+    """Fill missing values (NULL or NaN) with the column's exact median, or 0.0 if all missing."""
+    medians = {c: exact_percentile(df.select(c), c, 0.5) for c in cols}
+    return df.withColumns({c: F.coalesce(_finite(c), F.lit(float(m or 0.0))) for c, m in medians.items()})
 
 
 def apply_norm(df: DataFrame, params: DataFrame, mode: str = "serve",

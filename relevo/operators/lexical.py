@@ -1,21 +1,23 @@
 """Lexical retrieval for a whole table of queries.
 
-Index: postings ``(doc_id, dl, term, tf)`` built from the documents in one
-map stage (tokenise, explode) and one shuffle (tf per (doc, term), combined
-map-side). When only a query batch has to be answered the postings are
-restricted to the batch vocabulary *before* the shuffle (broadcast
-semi-join), so shuffle volume follows the matching postings, not the corpus.
+Index: postings ``(doc_id, dl, term, tf)``. A document's tokens sit in one
+row, so its term counts are run lengths of the sorted tokens: building the
+postings needs no shuffle. When only a query batch has to be answered they
+are restricted to the batch vocabulary by a semi-join.
 
 Scoring is BM25 with Lucene's defaults (k1=1.2, b=0.75):
 ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``,
 ``score = sum_t qtf * idf * tf / (tf + k1 * (1 - b + b * dl / avgdl))``.
-Scores are rounded to 6 decimals before ranking so that summation order
+Matching postings are partitioned by document once; scores are summed where
+they then are, and only the top k per query and task are shuffled again.
+Scores are rounded to 9 decimals before ranking so that summation order
 cannot reorder ties; ties are broken by ``doc_id``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +26,9 @@ from relevo.functions.fixed import BM25_B, BM25_K1, K_RECALL
 from relevo.functions.text import first_words, strip_tags
 from relevo.operators.analysis import corpus_stats, token_array
 from relevo.session import write_shared
-from relevo.operators.util import BROADCAST_MAX_ROWS, broadcast_if_small, spread, top_k
+from relevo.operators.util import let, spread, top_k
 
-SCORE_DIGITS = 6
+SCORE_DIGITS = 9
 
 
 @dataclass
@@ -53,75 +55,80 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def _maybe_broadcast(df: DataFrame, small: bool | None) -> DataFrame:
-    if small is None:
-        return broadcast_if_small(df)
-    return F.broadcast(df) if small else df
+def _runs(tokens):
+    """``(term, tf)`` of each distinct token: run lengths of the sorted array."""
+    def cut(t):
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(t, i).alias("term"),
+            (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("long").alias("tf"))))
 
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return let(F.array_sort(tokens), lambda t: F.when(F.size(t) > 0, cut(t)).otherwise(none))
 
-def _token_rows(docs: DataFrame, id_col: str, text_col: str, mode: str,
-                vocabulary: DataFrame | None, vocabulary_small: bool | None) -> DataFrame:
-    """``(doc_id, dl, term)``: one row per (kept) token plus one length marker
-    row per document (``term`` NULL), all from a single pass over the text."""
+
+def _term_rows(docs: DataFrame, id_col: str, text_col: str, mode: str, vocabulary: DataFrame | None) -> DataFrame:
+    """``(doc_id, dl, term, tf)``: one row per (kept) distinct term plus one
+    marker row per document (``term`` NULL) with its length, in one pass over the text."""
     text = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "doc_id")
-    toks = text.select("doc_id", token_array(F.col("_text"), mode).alias("_t"))
-    marker = F.array(F.lit(None).cast("string"))
-    rows = toks.select("doc_id", F.size("_t").cast("long").alias("dl"),
-                       F.explode(F.concat("_t", marker)).alias("term"))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+    toks = text.select("doc_id", let(token_array(F.col("_text"), mode), lambda t: F.struct(
+        F.size(t).cast("long").alias("dl"), F.concat(_runs(t), marker).alias("runs"))).alias("_t"))
+    rows = (toks.select("doc_id", F.col("_t.dl").alias("dl"), F.explode("_t.runs").alias("r"))
+            .select("doc_id", "dl", F.col("r.term").alias("term"), F.col("r.tf").alias("tf")))
     if vocabulary is not None:
-        vocab = _maybe_broadcast(vocabulary.select("term").distinct().withColumn("_in", F.lit(True)),
-                                 vocabulary_small)
-        rows = rows.join(vocab, "term", "left").where(F.col("term").isNull() | F.col("_in")).drop("_in")
+        vocab = vocabulary.select(F.col("term").alias("_known")).distinct()
+        rows = rows.join(vocab, F.col("term") == F.col("_known"), "left").where(
+            F.col("term").isNull() | F.col("_known").isNotNull()).drop("_known")
     return rows
 
 
 def build_postings(docs: DataFrame, id_col: str = "id", text_col: str = "body", mode: str = "word",
-                   vocabulary: DataFrame | None = None, vocabulary_small: bool | None = None) -> DataFrame:
-    """Postings ``(doc_id, dl, term, tf)`` (L2).
+                   vocabulary: DataFrame | None = None) -> DataFrame:
+    """Postings ``(doc_id, dl, term, tf)`` (L2), counted within each row.
 
-    ``vocabulary`` (a ``term`` column) restricts the postings to those terms
-    before the shuffle; it is broadcast when its size is proven small
-    (``vocabulary_small``) or, if that is unknown, after counting it.
+    ``vocabulary`` (a ``term`` column) restricts the postings to those terms.
     """
-    rows = _token_rows(docs, id_col, text_col, mode, vocabulary, vocabulary_small)
-    return (rows.where(F.col("term").isNotNull())
-            .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return _term_rows(docs, id_col, text_col, mode, vocabulary).where(F.col("term").isNotNull())
 
 
 def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "body", mode: str = "word",
-                vocabulary: DataFrame | None = None, vocabulary_small: bool | None = None,
-                materialize: bool = True) -> LexicalIndex:
+                vocabulary: DataFrame | None = None, materialize: bool = True) -> LexicalIndex:
     """Postings and corpus statistics from one pass over the documents.
 
-    The per-(doc, term) counts and the per-document length markers come out
-    of one aggregate; with ``materialize`` it is written as parquet to the
-    shared checkpoint folder, so scoring, document frequencies and statistics
-    all read the written postings (vectorised, column-pruned) instead of
+    With ``materialize`` the rows are written as parquet to the shared
+    checkpoint folder, so scoring, document frequencies and statistics all
+    read the written postings (vectorised, column-pruned) instead of
     re-tokenising the corpus, and a lost executor does not send the job back
     to the raw text.
     """
-    rows = _token_rows(docs, id_col, text_col, mode, vocabulary, vocabulary_small)
-    agg = rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = _term_rows(docs, id_col, text_col, mode, vocabulary)
     if materialize:
-        agg = write_shared(agg, "postings")
-    postings = agg.where(F.col("term").isNotNull())
-    lengths = agg.where(F.col("term").isNull()).select("dl")
-    return LexicalIndex(postings, corpus_stats(lengths))
+        rows = write_shared(rows, "postings")
+    return LexicalIndex(rows.where(F.col("term").isNotNull()),
+                        corpus_stats(rows.where(F.col("term").isNull()).select("dl")))
+
+
+def _idf(qtf, n_docs, df):
+    return qtf * F.log(F.lit(1.0) + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
+
+
+def _sum_scores(contrib: DataFrame) -> DataFrame:
+    return contrib.groupBy("query_id", "doc_id").agg(
+        F.round(F.sum("c"), SCORE_DIGITS).alias("score"), F.count(F.lit(1)).alias("matched"),
+        F.max("nq").alias("n_query_terms"))
 
 
-def bm25(qterms: DataFrame, index: LexicalIndex, k1: float = BM25_K1, b: float = BM25_B,
-         queries_small: bool | None = None) -> DataFrame:
-    """All matching ``(query_id, doc_id, score, matched, n_query_terms)`` pairs (L3).
+def bm25(qterms: DataFrame, index: LexicalIndex, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Matching ``(query_id, doc_id, score, matched, n_query_terms)`` pairs (L3).
 
     ``matched`` is the number of distinct query terms found in the document,
-    ``n_query_terms`` the number of distinct terms of the query.
-    The per-(query, term) weights are as many rows as ``qterms``; they are
-    broadcast to the postings when ``queries_small`` (or a count) allows,
-    so the postings are joined map-side and only per-(query, doc) partial
-    sums are shuffled.
+    ``n_query_terms`` the number of distinct terms of the query. The
+    per-(query, term) weights are written once, so Spark knows their size and
+    broadcasts them only below its own threshold. The postings are
+    partitioned by ``doc_id``, which the sum per (query, document) keeps:
+    with ``retrieve`` on top, pairs are cut to k per query before any shuffle.
     """
-    if queries_small is None:
-        queries_small = qterms.count() <= BROADCAST_MAX_ROWS
     n_docs = index.stats.select(F.col("n_docs").cast("double")).scalar()
     avgdl = index.stats.select("avgdl").scalar()
     post = index.postings
@@ -130,23 +137,14 @@ def bm25(qterms: DataFrame, index: LexicalIndex, k1: float = BM25_K1, b: float =
     else:
         dfreq = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     nq = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    weights = (qterms.withColumn("nq", nq).join(dfreq, "term")
-               .select("query_id", "term", "nq",
-                       (F.col("qtf") * F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5))
-                                             / (F.col("df") + F.lit(0.5)))).alias("w")))
-    weights = F.broadcast(weights) if queries_small else weights
+    weights = write_shared(qterms.withColumn("nq", nq).join(dfreq, "term").select(
+        "query_id", "term", "nq", _idf(F.col("qtf"), n_docs, F.col("df")).alias("w")), "weights")
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
-    contrib = post.join(weights, "term").select(
-        "query_id", "doc_id", "nq", (F.col("w") * F.col("tf") / (F.col("tf") + norm)).alias("c"))
-    return (contrib.groupBy("query_id", "doc_id")
-            .agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score"), F.count(F.lit(1)).alias("matched"),
-                 F.max("nq").alias("n_query_terms")))
+    return _sum_scores(post.repartition("doc_id").join(weights, "term").select(
+        "query_id", "doc_id", "nq", (F.col("w") * F.col("tf") / (F.col("tf") + norm)).alias("c")))
 
 
 # ---------------------------------------------------------------- persisted index
-MAX_LOOKUP_TERMS = 100_000
-
-
 def write_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "body",
                 mode: str = "word") -> str:
     """Build and persist a full inverted index under ``path`` (L2).
@@ -155,20 +153,17 @@ def write_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str =
     term, so a lookup of a few terms reads only the row groups whose term
     range covers them (parquet min/max statistics); ``dfreq``: ``(term, df)``
     sorted by term; ``stats``: one row ``(n_docs, total_terms, avgdl)``.
-    The per-(doc, term) aggregate is written once and the three tables are
-    derived from the written copy.
+    The term rows are written once and the three tables are derived from the
+    written copy.
     """
-    spark = docs.sparkSession
-    rows = _token_rows(docs, id_col, text_col, mode, None, None)
-    agg = write_shared(rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "index-build")
+    agg = write_shared(_term_rows(docs, id_col, text_col, mode, None), "index-build")
     post = agg.where(F.col("term").isNotNull())
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # range key (term, doc_id): a term holding a third of all postings still
-    # spreads over several partitions instead of landing in one task
-    (post.repartitionByRange(n_parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    # spreads over several partitions; AQE merges the small ones by their bytes
+    (post.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
      .select("term", "doc_id", "dl", "tf").write.mode("overwrite").parquet(f"{path}/postings"))
     (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-     .repartitionByRange(n_parts, "term").sortWithinPartitions("term")
+     .repartitionByRange("term").sortWithinPartitions("term")
      .write.mode("overwrite").parquet(f"{path}/dfreq"))
     corpus_stats(agg.where(F.col("term").isNull()).select("dl")).write.mode("overwrite").parquet(f"{path}/stats")
     return path
@@ -180,21 +175,10 @@ def open_index(spark, path: str) -> LexicalIndex:
 
 
 def lookup(index: LexicalIndex, qterms: DataFrame) -> LexicalIndex:
-    """Restrict a persisted index to the query vocabulary (inverted-index lookup).
-
-    The distinct query terms (counted, bounded) become an ``IN`` list that
-    reaches the parquet reader, which skips row groups outside the sorted
-    term ranges; the rest of the index is never read.
-    """
-    terms = qterms.select("term").distinct()
-    n = terms.count()
-    if n > MAX_LOOKUP_TERMS:
-        vocab = terms.withColumn("_in", F.lit(True))
-        keep = lambda df: df.join(vocab, "term").drop("_in")
-    else:
-        values = sorted(r["term"] for r in terms.collect())
-        keep = lambda df: df.where(F.col("term").isin(values))
-    return LexicalIndex(keep(index.postings), index.stats, keep(index.dfreq) if index.dfreq is not None else None)
+    """Restrict a persisted index to the query vocabulary (inverted-index lookup): a semi-join on the term."""
+    vocab = qterms.select("term").distinct()
+    return LexicalIndex(index.postings.join(vocab, "term", "left_semi"), index.stats,
+                        index.dfreq.join(vocab, "term", "left_semi") if index.dfreq is not None else None)
 
 
 def bm25_synonyms(qterms: DataFrame, synonyms: DataFrame, docs: DataFrame, id_col: str = "id",
@@ -204,34 +188,26 @@ def bm25_synonyms(qterms: DataFrame, synonyms: DataFrame, docs: DataFrame, id_co
     Each query term and its expansions form one group scored as a single
     pseudo-term: ``tf`` = sum of the members' tf in the document, ``df`` =
     the largest member df. A query term without a rule is its own group, so
-    without matching rules the scores equal ``bm25``. The synonym table and
-    the expanded query terms are bounded (counted) and broadcast.
+    without matching rules the scores equal ``bm25``.
     """
-    syn = F.broadcast(synonyms.select(F.col("lhs").alias("_lhs"), F.col("rhs").alias("_rhs")))
-    expanded = (qterms.join(syn, F.col("term") == F.col("_lhs"), "left")
-                .select("query_id", F.col("term").alias("grp"), F.coalesce("_rhs", "term").alias("term"), "qtf")
-                .distinct())
-    small = expanded.count() <= BROADCAST_MAX_ROWS
-    idx = build_index(docs, id_col, text_col, vocabulary=expanded, vocabulary_small=small)
+    syn = synonyms.select(F.col("lhs").alias("_lhs"), F.col("rhs").alias("_rhs"))
+    expanded = write_shared(qterms.join(syn, F.col("term") == F.col("_lhs"), "left").select(
+        "query_id", F.col("term").alias("grp"), F.coalesce("_rhs", "term").alias("term"), "qtf").distinct(), "expanded")
+    idx = build_index(docs, id_col, text_col, vocabulary=expanded)
     n_docs = idx.stats.select(F.col("n_docs").cast("double")).scalar()
     avgdl = idx.stats.select("avgdl").scalar()
     dfreq = idx.postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     groups = (expanded.join(dfreq, "term").groupBy("query_id", "grp")
               .agg(F.max("qtf").alias("qtf"), F.max("df").alias("df")))
     nq = expanded.select("query_id", "grp").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
-    weights = (groups.join(nq, "query_id")
-               .select("query_id", "grp", "nq",
-                       (F.col("qtf") * F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5))
-                                             / (F.col("df") + F.lit(0.5)))).alias("w")))
-    members = expanded.select("query_id", "grp", "term")
-    gtf = (idx.postings.join(F.broadcast(members) if small else members, "term")
-           .groupBy("query_id", "grp", "doc_id", "dl").agg(F.sum("tf").alias("tf")))
+    weights = groups.join(nq, "query_id").select("query_id", "grp", "nq", _idf(F.col("qtf"), n_docs, F.col("df")).alias("w"))
+    # one row per member term with its group's weight; groups are summed per document before saturation
+    members = write_shared(expanded.select("query_id", "grp", "term").join(weights, ["query_id", "grp"]), "members")
+    gtf = (idx.postings.repartition("doc_id").join(members, "term")
+           .groupBy("query_id", "grp", "doc_id", "dl", "nq", "w").agg(F.sum("tf").alias("tf")))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
-    contrib = gtf.join(F.broadcast(weights) if small else weights, ["query_id", "grp"]).select(
-        "query_id", "doc_id", "nq", (F.col("w") * F.col("tf") / (F.col("tf") + norm)).alias("c"))
-    return (contrib.groupBy("query_id", "doc_id")
-            .agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score"), F.count(F.lit(1)).alias("matched"),
-                 F.max("nq").alias("n_query_terms")))
+    return _sum_scores(gtf.select("query_id", "doc_id", "nq",
+                                  (F.col("w") * F.col("tf") / (F.col("tf") + norm)).alias("c")))
 
 
 def retrieve(scored: DataFrame, k: int = K_RECALL) -> DataFrame:
@@ -251,14 +227,9 @@ def multi_field_bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, floa
     Each field has its own statistics (as separate indexed fields do).
     """
     qt = query_terms(queries)
-    small = qt.count() <= BROADCAST_MAX_ROWS
     parts = []
     for field, weight in fields.items():
-        idx = build_index(docs, id_col, field, vocabulary=qt, vocabulary_small=small)
-        parts.append(bm25(qt, idx, k1, b, queries_small=small).select("query_id", "doc_id",
-                                                 (F.col("score") * F.lit(weight)).alias("s")))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return (allp.groupBy("query_id", "doc_id")
+        scored = bm25(qt, build_index(docs, id_col, field, vocabulary=qt), k1, b)
+        parts.append(scored.select("query_id", "doc_id", (F.col("score") * F.lit(weight)).alias("s")))
+    return (reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id")
             .agg(F.round(F.sum("s"), SCORE_DIGITS).alias("score")))

@@ -71,23 +71,30 @@ def diagnose(df: DataFrame, canary_scores: DataFrame | None = None) -> DataFrame
     per-label expertise means > 10) and, when canary scores are given, the
     relevant canary < 0.5 and the default-feature canary < 0.3.
     """
-    imb = class_imbalance(df).select(
-        F.lit("class_imbalance").alias("check"), F.col("imbalance_ratio").alias("value"),
-        F.lit(IMBALANCE_SEVERE).alias("threshold"), F.coalesce(F.col("severe"), F.lit(False)).alias("failed"))
-    fs = feature_stats(df)
-    no_eval = fs.select(F.lit("no_eval_data").alias("check"), F.col("n_rows").cast("double").alias("value"),
-                        F.lit(0.0).alias("threshold"), (F.col("n_rows") == 0).alias("failed"))
-    low_e = fs.select(F.lit("low_variance_expertise").alias("check"), F.col("std_expertise").alias("value"),
-                      F.lit(LOW_VARIANCE_STD).alias("threshold"),
-                      F.coalesce(F.col("std_expertise") < LOW_VARIANCE_STD, F.lit(False)).alias("failed"))
-    low_u = fs.select(F.lit("low_variance_utility").alias("check"), F.col("std_utility").alias("value"),
-                      F.lit(LOW_VARIANCE_STD).alias("threshold"),
-                      F.coalesce(F.col("std_utility") < LOW_VARIANCE_STD, F.lit(False)).alias("failed"))
-    scale = label_stats(df).agg(F.round(F.avg("avg_expertise"), DIGITS).alias("v")).select(
-        F.lit("feature_scale_mismatch").alias("check"), F.col("v").alias("value"),
-        F.lit(SCALE_MISMATCH_AVG).alias("threshold"),
-        F.coalesce(F.col("v") > SCALE_MISMATCH_AVG, F.lit(False)).alias("failed"))
-    out = imb.unionByName(no_eval).unionByName(low_e).unionByName(low_u).unionByName(scale)
+    # one pass: counts per class, the evaluation rows' statistics, and one sum and count per label value
+    label, e, u = F.col("label"), F.col("expertise_score"), F.col("utility_score")
+    r = lambda c: F.round(c, DIGITS)
+    per_label = df.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg(e)).alias("avg_e"), r(F.stddev_samp(e)).alias("std_e"),
+        r(F.stddev_samp(u)).alias("std_u"))
+    of = lambda v, c: F.coalesce(F.max(F.when(label == v, F.col(c))), F.lit(0))
+    a = per_label.agg(of(0, "n").alias("c0"), of(1, "n").alias("c1"), F.count(F.lit(1)).alias("groups"),
+                      F.max(F.when(label == 1, F.col("std_e"))).alias("std_e"),
+                      F.max(F.when(label == 1, F.col("std_u"))).alias("std_u"), r(F.avg("avg_e")).alias("scale"))
+    ratio = F.when(F.col("groups") > 1, F.greatest("c0", "c1") / (F.least("c0", "c1") + F.lit(1)).cast("double"))
+
+    def finding(name, value, threshold, failed):
+        return F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"),
+                        F.lit(threshold).cast("double").alias("threshold"),
+                        F.coalesce(failed, F.lit(False)).alias("failed"))
+
+    checks = F.array(
+        finding("class_imbalance", r(ratio), IMBALANCE_SEVERE, ratio > IMBALANCE_SEVERE),
+        finding("no_eval_data", F.col("c1"), 0.0, F.col("c1") == 0),
+        finding("low_variance_expertise", F.col("std_e"), LOW_VARIANCE_STD, F.col("std_e") < LOW_VARIANCE_STD),
+        finding("low_variance_utility", F.col("std_u"), LOW_VARIANCE_STD, F.col("std_u") < LOW_VARIANCE_STD),
+        finding("feature_scale_mismatch", F.col("scale"), SCALE_MISMATCH_AVG, F.col("scale") > SCALE_MISMATCH_AVG))
+    out = a.select(F.explode(checks).alias("f")).select("f.*")
     if canary_scores is not None:
         th = F.when(F.col("canary") == "relevant_high_features", F.lit(CANARY_RELEVANT_MIN)) \
               .when(F.col("canary") == "relevant_default_features", F.lit(CANARY_DEFAULT_MIN))

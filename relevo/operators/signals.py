@@ -5,10 +5,10 @@ Scale notes
 - Both signals are one ``groupBy`` on (author, subreddit): Spark plans a
   partial aggregate before the shuffle, so a hot author (say a third of all
   rows) is combined map-side and never lands whole in one task.
-- The global total is an uncorrelated scalar subquery over the same grouped
-  result; Spark evaluates it once and re-uses the aggregate exchange.
-- The enrichment join shuffles posts on (author, subreddit); a hot key is
-  split by AQE's skew-join handling (the signal side has one row per key).
+- The grouped table is written once; the global total (a scalar subquery) and
+  the rows are read from it, so the activity is scanned and shuffled once.
+- Both signals are combined into one table with a row per key, so posts are
+  joined once, and a hot key is split by AQE's skew-join handling.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from relevo.functions.fixed import MIN_UPVOTE_THRESHOLD
 from relevo.functions.text import has_any_keyword
+from relevo.session import write_shared
 
 
 # ln() may differ in the last bit between math libraries; 12 decimals are kept
@@ -61,7 +62,7 @@ def topical_reputation(activity: DataFrame, cutoff, min_upvotes: int = MIN_UPVOT
     ``activity_density`` is ``ln(post_count + 1)`` (12 decimals). Sorted by
     focus, descending.
     """
-    ua = user_activity(activity, cutoff)
+    ua = write_shared(user_activity(activity, cutoff), "user-activity")
     total = ua.agg(F.sum("total_upvotes").cast("double")).scalar()
     return (ua.where(F.col("total_upvotes") >= F.lit(min_upvotes))
             .select("author", "subreddit",
@@ -88,15 +89,26 @@ def enrich_posts(posts: DataFrame, reputation: DataFrame, utility: DataFrame) ->
     ``expertise_score`` = topical focus of the post's (author, subreddit),
     ``utility_score`` = its utility hit count; missing keys give 0.
     """
-    rep = reputation.select("author", "subreddit", F.col("topical_focus_score").alias("_focus"))
-    util = utility.select("author", "subreddit", F.col("utility_hit").alias("_hits"))
-    keys = ["author", "subreddit"]
-    return (posts.join(rep, keys, "left").join(util, keys, "left")
+    return (posts.join(author_signals(reputation, utility), ["author", "subreddit"], "left")
             .withColumn("expertise_score", F.coalesce(F.col("_focus"), F.lit(0.0)))
             .withColumn("utility_score", F.coalesce(F.col("_hits").cast("double"), F.lit(0.0)))
             .drop("_focus", "_hits"))
 
 
+def author_signals(reputation: DataFrame, utility: DataFrame) -> DataFrame:
+    """One row per (author, subreddit) with ``_focus`` and ``_hits`` (NULL where a signal is absent).
+
+    It is written once: read back, it meets the posts through an exchange of
+    its own, which is what lets AQE split the posts of a hot key.
+    """
+    rep = reputation.select("author", "subreddit", F.col("topical_focus_score").alias("_focus"),
+                            F.lit(None).cast("bigint").alias("_hits"))
+    util = utility.select("author", "subreddit", F.lit(None).cast("double").alias("_focus"),
+                          F.col("utility_hit").alias("_hits"))
+    both = rep.unionByName(util).groupBy("author", "subreddit")
+    return write_shared(both.agg(F.max("_focus").alias("_focus"), F.max("_hits").alias("_hits")), "author-signals")
+
+
 def head_row(df: DataFrame, tie_break: list[str]) -> DataFrame:
     """First row of a ranked result (T5); ``tie_break`` makes the pick deterministic."""
     return (df.orderBy(F.col("topical_focus_score").desc_nulls_last(), *tie_break).limit(1))

@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound on rows we are willing to ship to every executor. A side over
-# the bound is left to the planner (shuffle join; AQE may still broadcast it
-# if its runtime size is under spark.sql.adaptive.autoBroadcastJoinThreshold).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; otherwise return it unchanged."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def _row_number(df: DataFrame, partition, order, name: str) -> DataFrame:
     part = [partition] if isinstance(partition, str) else list(partition)
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
 
 
+def let(value, body):
+    """``body(value)`` with ``value`` computed once per row (a lambda variable:
+    the optimizer cannot inline it where a nested lambda would repeat it)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def rank_within(df: DataFrame, partition: list[str] | str, order: list, name: str = "rank") -> DataFrame:
     """1-based ``row_number`` (as bigint) within ``partition`` by ``order``."""
     return _row_number(df, partition, order, name).withColumn(name, F.col(name).cast("long"))
@@ -39,19 +33,13 @@ def top_k(df: DataFrame, k: int, partition: list[str] | str, order: list, name:
             .withColumn(name, F.col(name).cast("long")))
 
 
-def count_within(df: DataFrame, partition: list[str] | str, name: str = "n") -> DataFrame:
-    part = [partition] if isinstance(partition, str) else list(partition)
-    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*part)))
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer partitions than the cluster has cores.
+    """Hash-spread a table that is one or two files over the cores.
 
-    A table stored as one large row group is read by a single task; for
-    CPU-heavy text work that serialises the job. A many-file table on a
-    cluster already has enough splits and is returned unchanged (no shuffle).
+    A file with one large row group is read by a single task, which
+    serialises text work. Tables of more files are returned as they are: their
+    scan has splits of its own, and shuffling their texts would cost more.
     """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= parallelism:
+    if len(df.inputFiles()) > 2:
         return df
-    return df.repartition(parallelism, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)

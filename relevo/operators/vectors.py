@@ -1,11 +1,11 @@
-"""Vectors: batch embedding (V1), exact cosine top-k (V2), validation (V3).
+"""Vectors: batch embedding (V1), cosine top-k exact and approximate (V2), validation (V3).
 
 Exact k-nearest-neighbour search must compare every query with every
-vector; the work is organised so that no pair ever becomes a row: the
-query matrix (bounded, counted before it is shipped) is broadcast once,
-each vector partition is scored with one NumPy matrix product per Arrow
-batch, and only the per-partition top-k survive to the final per-query
-top-k window.
+vector. Both tables are cut into blocks of bounded size by a hash of the id;
+each pair of blocks is one task's unit, scored by NumPy matrix products over
+slices of the vectors, and gives its k best per query. No pair becomes a row,
+nothing is collected, and a final window picks the k best of all blocks.
+The approximate search hashes vectors to buckets of random projections first.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from relevo.operators.util import top_k
 
-MAX_QUERY_VECTORS = 100_000
-SCORE_DIGITS = 6
+SCORE_DIGITS = 9
+#: Rows of a block of queries and of a block of vectors, and vectors of one matrix product.
+QUERY_BLOCK, VECTOR_BLOCK, SLICE = 2_000, 20_000, 2_000
 
 
 def embed(df: DataFrame, text_col: str = "body", dim: int = 64, out: str = "vector", encoder=None) -> DataFrame:
@@ -64,48 +65,75 @@ def check_vectors(df: DataFrame, vec: str = "embedding", dim: int = 64) -> DataF
         "valid", F.col("dim_ok") & F.col("finite") & F.col("nonzero"))
 
 
+def _unit(column) -> np.ndarray:
+    m = np.array([np.asarray(v, dtype="float64") for v in column])
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, qid: str = "query_id", qvec: str = "vector",
         vid: str = "vec_id", vvec: str = "embedding") -> DataFrame:
     """Exact cosine top-k per query: ``(query_id, vec_id, score, rank)`` (V2).
 
-    Scores are rounded to 6 decimals before ranking; ties by ``vec_id``.
+    Scores are rounded to 9 decimals before ranking; ties by ``vec_id``.
     """
-    n = queries.count()
-    if n > MAX_QUERY_VECTORS:
-        raise ValueError(f"{n} query vectors exceed the broadcast bound {MAX_QUERY_VECTORS}; "
-                         "split the query table into batches")
-    rows = queries.select(qid, qvec).collect()
-    qids = np.array([r[0] for r in rows])
-    qmat = np.array([np.asarray(r[1], dtype="float64") for r in rows]) if rows else np.zeros((0, 1))
-    qn = np.linalg.norm(qmat, axis=1, keepdims=True)
-    qmat = np.divide(qmat, qn, out=np.zeros_like(qmat), where=qn > 0)
-    sc = vectors.sparkSession.sparkContext
-    bq = sc.broadcast((qids, qmat))
-    id_type = dict(queries.dtypes)[qid]
-
-    def score(batches):
+    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    v_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col(qid).alias("q"), F.col(qvec).alias("v"), own(qid, q_blocks).alias("i"),
+                          every(v_blocks).alias("j"))
+    right = vectors.select(F.col(vid).alias("id"), F.col(vvec).alias("v"), own(vid, v_blocks).alias("j"),
+                           every(q_blocks).alias("i"))
+
+    def best(q, v):
         import pandas as pd
 
-        ids, m = bq.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            v = np.stack(pdf[vvec].map(lambda a: np.asarray(a, dtype="float64")).to_numpy())
-            vn = np.linalg.norm(v, axis=1, keepdims=True)
-            v = np.divide(v, vn, out=np.zeros_like(v), where=vn > 0)
-            s = np.round(m @ v.T, SCORE_DIGITS)           # (queries, batch)
-            kk = min(k, s.shape[1])
-            vids = pdf[vid].to_numpy()
-            # keep a superset of the batch top-k per query: everything scoring
-            # at least the k-th best (ties kept; the final window breaks them)
-            kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1:kk]
-            qi, vj = np.nonzero(s >= kth)
-            yield pd.DataFrame({qid: ids[qi], vid: vids[vj], "score": s[qi, vj]})
-
-    partial = vectors.select(vid, vvec).mapInPandas(score, f"{qid} {id_type}, {vid} bigint, score double")
+        if not len(q) or not len(v):
+            return pd.DataFrame({qid: q["q"][:0], vid: v["id"][:0], "score": np.zeros(0)})
+        v = v.sort_values("id")
+        m, ids = _unit(q["v"]), v["id"].to_numpy()
+        score, pick = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), dtype=np.int64)
+        for at in range(0, len(v), SLICE):
+            s = np.round(m @ _unit(v["v"].iloc[at:at + SLICE]).T, SCORE_DIGITS)
+            score = np.concatenate([score, s], axis=1)
+            pick = np.concatenate([pick, np.broadcast_to(np.arange(at, at + s.shape[1]), s.shape)], axis=1)
+            # vectors are in id order, so a stable sort breaks ties by id
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            score, pick = np.take_along_axis(score, top, 1), np.take_along_axis(pick, top, 1)
+        return pd.DataFrame({qid: np.repeat(q["q"].to_numpy(), score.shape[1]), vid: ids[pick.ravel()],
+                             "score": score.ravel()})
+
+    types = dict(queries.dtypes)[qid], dict(vectors.dtypes)[vid]
+    partial = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(
+        best, f"{qid} {types[0]}, {vid} {types[1]}, score double")
     return top_k(partial, k, qid, [F.col("score").desc(), F.col(vid).asc()], "rank")
 
 
+def knn_approximate(queries: DataFrame, vectors: DataFrame, k: int = 10, qid: str = "query_id", qvec: str = "vector",
+                    vid: str = "vec_id", vvec: str = "embedding", bucket: float = 0.5, tables: int = 12,
+                    distance: float = 1.3, seed: int = 7) -> DataFrame:
+    """Approximate cosine top-k: random-projection buckets propose candidates, cosines rank them.
+
+    Unit vectors within ``distance`` of a query that share one of ``tables``
+    bucket numbers with it are compared; more tables raise recall and cost.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    def unit(df, i, v, name):
+        x = df.select(F.col(i).alias(name), array_to_vector(F.transform(v, lambda e: e.cast("double"))).alias("_v"))
+        return Normalizer(inputCol="_v", outputCol="_u").transform(x).select(name, "_u")
+
+    q, d = unit(queries, qid, qvec, qid), unit(vectors, vid, vvec, vid)
+    model = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket, numHashTables=tables,
+                                        seed=seed).fit(d)
+    near = model.approxSimilarityJoin(q, d, distance, "_d").select(
+        F.col(f"datasetA.{qid}").alias(qid), F.col(f"datasetB.{vid}").alias(vid),
+        F.round(1 - F.col("_d") * F.col("_d") / 2, SCORE_DIGITS).alias("score"))
+    return top_k(near, k, qid, [F.col("score").desc(), F.col(vid).asc()], "rank")
+
+
 def centroids(vectors: DataFrame, group: str = "label", vec: str = "embedding") -> DataFrame:
     """Mean vector per group: ``(group, vector)``; one value per dimension is
     aggregated (partial aggregation), so a large group is never gathered."""

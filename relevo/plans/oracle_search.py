@@ -28,7 +28,7 @@ def bm25_ctes(queries: str = "queries", corpus: str = "corpus", field: str = "bo
             FROM {p}qt qt JOIN {p}qn qn ON qt.query_id = qn.query_id JOIN {p}dfq dfq ON qt.term = dfq.term
             CROSS JOIN {p}st st"""),
         (f"{p}scored", f"""SELECT wq.query_id, post.doc_id,
-                   round(SUM(wq.w * post.tf / (post.tf + {k1} * ({1.0 - b} + {b} * post.dl / st.avgdl))), 6) AS score,
+                   round(SUM(wq.w * post.tf / (post.tf + {k1} * ({1.0 - b} + {b} * post.dl / st.avgdl))), 9) AS score,
                    COUNT(*) AS matched, MAX(wq.nq) AS n_query_terms
             FROM {p}post post JOIN {p}wq wq ON post.term = wq.term CROSS JOIN {p}st st
             GROUP BY wq.query_id, post.doc_id"""),

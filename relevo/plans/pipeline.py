@@ -15,15 +15,17 @@ from relevo.operators import features as N
 from relevo.operators import lexical as L
 from relevo.operators import signals as G
 from relevo.operators import training as M
+from relevo.operators import vectors as V
+from relevo.session import write_shared
 from relevo.sources import tables as T
 from relevo.sources.readers import coerce_documents
-from relevo.sources.sinks import latest_version, next_version, upsert_documents, write_features, write_norm_params
+from relevo.sources.sinks import latest_version, next_order, next_version, upsert_documents, write_features, write_norm_params
 
 
 def run_pipeline(spark: SparkSession, sf_dir: str, out: str, cfg: Config | None = None,
                  keywords=None, cutoff: str = T.FIXTURE_CUTOFF, train: bool = True) -> DataFrame:
     cfg = (cfg or Config()).validate()
-    keywords = keywords or T.FIXTURE_KEYWORDS
+    keywords = keywords or cfg.utility_keywords
     out = out.rstrip("/")
     posts = T.posts(spark, sf_dir)
 
@@ -38,11 +40,13 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out: str, cfg: Config | None
     table = spark.read.parquet(f"{out}/training_set")
 
     # stage 3: index (documents upserted by id, postings clustered by term)
-    docs = coerce_documents(table).withColumn("ingest_seq", F.lit(0))
     prev = latest_version(spark, f"{out}/documents")
-    existing = spark.read.parquet(prev) if prev else None
-    upsert_documents(existing, docs).write.mode("overwrite").parquet(next_version(spark, f"{out}/documents"))
-    L.write_index(table.select("id", "body"), f"{out}/index")
+    existing = spark.read.parquet(prev).drop("content_vector") if prev else None
+    docs = coerce_documents(table).withColumn("ingest_seq", F.lit(next_order(existing)).cast("bigint"))
+    store = next_version(spark, f"{out}/documents")
+    merged = write_shared(upsert_documents(existing, docs), "upserted")
+    V.embed(merged, "body", cfg.vector_dim, "content_vector").write.mode("overwrite").parquet(store)
+    L.write_index(spark.read.parquet(store).select("id", "body"), f"{out}/index")
 
     # stage 4: model
     if train:
@@ -50,7 +54,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out: str, cfg: Config | None
         params = N.fit_norm(clean)
         write_norm_params(params, f"{out}/feature_norm_params")
         normed = N.apply_norm(N.impute_median(clean), params, "train")
-        model, report = M.train_relevance_model(M.training_pairs(normed), epochs=cfg.epochs)
+        model, report = M.train_relevance_model(M.training_pairs(normed), epochs=cfg.epochs, val=cfg.val_split)
         M.save_model(model, f"{out}/models", cfg.version)
         report.write.mode("overwrite").parquet(f"{out}/training_report")
     return table

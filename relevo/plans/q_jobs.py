@@ -227,7 +227,7 @@ def q_run_pipeline(spark, sf):
     from relevo.plans.pipeline import run_pipeline
 
     out = _scratch(spark, "pipeline")
-    table = run_pipeline(spark, sf, out, train=True)
+    table = run_pipeline(spark, sf, out, keywords=T.FIXTURE_KEYWORDS, train=True)
     return table.select("id", "author", "subreddit", "label", "expertise_score", "utility_score")
 
 

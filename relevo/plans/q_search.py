@@ -12,13 +12,14 @@ from relevo.operators import features as N
 from relevo.operators import fusion as H
 from relevo.operators import lexical as L
 from relevo.operators.containment import qrels_by_containment
-from relevo.operators.util import BROADCAST_MAX_ROWS
 from relevo.plans import search as S
 from relevo.plans.oracle_search import (SUMMARY_SQL, bm25_ctes, cands_cte, per_query_ctes, proxy_ctes,
                                         ranked_ctes, search_ctes)
 from relevo.plans.oracle_views import FIRST8, with_views, words
+from relevo.plans.q_tables import HOLDOUT_SQL
 from relevo.plans.registry import register
 from relevo.sources import tables as T
+from relevo.sources.readers import holdout
 
 ALPHAS = [0.0, 0.2, 0.5, 0.8, 1.0]
 TITLE_BOOST = 2.0  # [ours] weight of the title field in multi-field scoring
@@ -35,12 +36,10 @@ def ranked(spark, sf, alpha=0.2, indexed: bool = False):
 
 
 def _index(spark, sf):
-    """Queries, their terms and an index restricted to the query vocabulary;
-    the query side is counted once and the bound reused for every broadcast."""
+    """Queries, their terms and an index restricted to the query vocabulary."""
     q = T.queries(spark, sf)
     qt = L.query_terms(q)
-    small = qt.count() <= BROADCAST_MAX_ROWS
-    return q, qt, L.build_index(T.corpus(spark, sf), "id", "body", vocabulary=qt, vocabulary_small=small), small
+    return q, qt, L.build_index(T.corpus(spark, sf), "id", "body", vocabulary=qt)
 
 
 # ---------------------------------------------------------------- analysis
@@ -80,7 +79,7 @@ def q_remove_stopwords(spark, sf):
 
 
 def _syn_sql():
-    pairs = A.parse_synonyms()
+    pairs = A.parse_synonyms(T.FIXTURE_SYNONYMS)
     return "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ") s(lhs, rhs)"
 
 
@@ -99,29 +98,34 @@ def q_expand_synonyms(spark, sf):
     bench = T.queries(spark, sf).select(F.concat(F.lit("b"), F.col("query_id").cast("string")).alias("query_id"),
                                         "query_text")
     qs = bench.unionByName(titles)
-    return A.expand_synonyms(L.query_terms(qs), A.synonym_table(spark)).select("query_id", "term", "qtf")
+    return A.expand_synonyms(L.query_terms(qs), A.synonym_table(spark, T.FIXTURE_SYNONYMS)).select("query_id", "term", "qtf")
 
 
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# the fixture texts hold no apostrophes: the first space of a text becomes an elided article or a possessive
+_ELIDED = "regexp_replace(body, ' ', ' l' || chr(39))"
+_OWNED = "regexp_replace(body, ' ', chr(39) || 's ')"
+
+
 @register("strip_elision", with_views(f"""
-    SELECT id, CASE WHEN lang = 'fr' THEN regexp_replace(body, {_sql_str(elision_pattern('fr'))}, '\\1', 'g')
-        ELSE body END AS body FROM corpus""", "corpus"))
+    SELECT id, CASE WHEN lang = 'fr' THEN regexp_replace({_ELIDED}, {_sql_str(elision_pattern('fr'))}, '\\1', 'g')
+        ELSE {_ELIDED} END AS body FROM corpus""", "corpus"))
 def q_strip_elision(spark, sf):
     from relevo.functions.text import strip_elision
-    c = T.corpus(spark, sf)
+    c = T.corpus(spark, sf).select("id", "lang", F.regexp_replace("body", "^([^ ]*) ", "$1 l'").alias("body"))
     return c.select("id", F.when(F.col("lang") == "fr", strip_elision("body", "fr")).otherwise(F.col("body"))
                     .alias("body"))
 
 
 @register("strip_possessive", with_views(f"""
-    SELECT id, CASE WHEN lang = 'en' THEN regexp_replace(body, {_sql_str(POSSESSIVE_PATTERN)}, '\\1', 'g')
-        ELSE body END AS body FROM corpus""", "corpus"))
+    SELECT id, CASE WHEN lang = 'en' THEN regexp_replace({_OWNED}, {_sql_str(POSSESSIVE_PATTERN)}, '\\1', 'g')
+        ELSE {_OWNED} END AS body FROM corpus""", "corpus"))
 def q_strip_possessive(spark, sf):
     from relevo.functions.text import strip_possessive
-    c = T.corpus(spark, sf)
+    c = T.corpus(spark, sf).select("id", "lang", F.regexp_replace("body", "^([^ ]*) ", "$1's ").alias("body"))
     return c.select("id", F.when(F.col("lang") == "en", strip_possessive("body")).otherwise(F.col("body"))
                     .alias("body"))
 
@@ -179,14 +183,15 @@ def q_build_postings(spark, sf):
 
 @register("bm25", with_views("SELECT * FROM scored", "queries", "corpus", extra=bm25_ctes()))
 def q_bm25(spark, sf):
-    _, qt, idx, small = _index(spark, sf)
-    return L.bm25(qt, idx, queries_small=small)
+    """All matching pairs: the operator's own output, which retrieval cuts to the top k."""
+    _, qt, idx = _index(spark, sf)
+    return L.bm25(qt, idx)
 
 
 @register("retrieve", with_views("SELECT * FROM cands", "queries", "corpus", extra=bm25_ctes() + [cands_cte(50)]))
 def q_retrieve(spark, sf):
-    _, qt, idx, small = _index(spark, sf)
-    return L.retrieve(L.bm25(qt, idx, queries_small=small), 50)
+    _, qt, idx = _index(spark, sf)
+    return L.retrieve(L.bm25(qt, idx), 50)
 
 
 @register("retrieve_indexed", with_views("SELECT * FROM cands", "queries", "corpus",
@@ -195,9 +200,7 @@ def q_retrieve_indexed(spark, sf):
     """L3 + L4 against the persisted corpus index (inverted-index lookup of the query terms)."""
     q = T.queries(spark, sf)
     qt = L.query_terms(q)
-    small = qt.count() <= BROADCAST_MAX_ROWS
-    idx = L.lookup(S.corpus_index(spark, sf), qt)
-    return L.retrieve(L.bm25(qt, idx, queries_small=small), 50)
+    return L.retrieve(L.bm25(qt, L.lookup(S.corpus_index(spark, sf), qt)), 50)
 
 
 def _bm25_syn_ctes():
@@ -222,7 +225,7 @@ def _bm25_syn_ctes():
                         g.qtf * ln(1.0 + (st.n_docs - g.df + 0.5) / (g.df + 0.5)) AS w
                  FROM grp g JOIN nq n ON n.query_id = g.query_id CROSS JOIN st"""),
         ("scored", """
-    SELECT query_id, doc_id, round(SUM(c), 6) AS score, COUNT(*) AS matched, MAX(nq) AS n_query_terms FROM (
+    SELECT query_id, doc_id, round(SUM(c), 9) AS score, COUNT(*) AS matched, MAX(nq) AS n_query_terms FROM (
       SELECT g.query_id, g.doc_id, w.nq,
              w.w * g.tf / (g.tf + 1.2 * (0.25 + 0.75 * g.dl / st.avgdl)) AS c
       FROM (SELECT e.query_id, e.grp, p.doc_id, p.dl, SUM(p.tf) AS tf
@@ -232,32 +235,39 @@ def _bm25_syn_ctes():
     ]
 
 
-def _bm25_syn_sql():
-    return with_views("SELECT * FROM scored", "queries", "corpus", extra=_bm25_syn_ctes())
-
-
-@register("bm25_synonyms", _bm25_syn_sql())
+@register("bm25_synonyms", with_views("SELECT * FROM cands", "queries", "corpus",
+                                      extra=_bm25_syn_ctes() + [cands_cte(50)]))
 def q_bm25_synonyms(spark, sf):
     qt = L.query_terms(T.queries(spark, sf))
-    return L.bm25_synonyms(qt, A.synonym_table(spark), T.corpus(spark, sf))
+    return L.retrieve(L.bm25_synonyms(qt, A.synonym_table(spark, T.FIXTURE_SYNONYMS), T.corpus(spark, sf)), 50)
+
+
+# benchmark queries, of which every third is made of terms that no text holds
+_MIXED_SQL = "SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'zq' || query_id ELSE query_text END AS query_text FROM queries"
 
 
 @register("queries_without_hits", with_views("""
-    SELECT * FROM queries q WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE c.query_id = q.query_id)""",
-                                             "queries", "corpus", extra=bm25_ctes() + [cands_cte(50)]))
+    SELECT * FROM mixed q WHERE NOT EXISTS (SELECT 1 FROM cands c WHERE c.query_id = q.query_id)""",
+                                             "queries", "corpus",
+                                             extra=[("mixed", _MIXED_SQL)] + bm25_ctes("mixed") + [cands_cte(50)]))
 def q_queries_without_hits(spark, sf):
-    q, qt, idx, small = _index(spark, sf)
-    return L.queries_without_hits(q, L.retrieve(L.bm25(qt, idx, queries_small=small), 50))
+    none = F.concat(F.lit("zq"), F.col("query_id").cast("string"))
+    q = T.queries(spark, sf).withColumn("query_text", F.when(F.col("query_id") % 3 == 0, none).otherwise(F.col("query_text")))
+    qt = L.query_terms(q)
+    idx = L.build_index(T.corpus(spark, sf), "id", "body", vocabulary=qt)
+    return L.queries_without_hits(q, L.retrieve(L.bm25(qt, idx), 50))
 
 
-@register("multi_field_bm25", with_views(f"""
-    SELECT query_id, doc_id, round(SUM(s), 6) AS score FROM (
-      SELECT query_id, doc_id, score * {TITLE_BOOST} AS s FROM t_scored
-      UNION ALL SELECT query_id, doc_id, score * 1.0 AS s FROM b_scored) u
-    GROUP BY query_id, doc_id""", "queries", "corpus",
-                                         extra=bm25_ctes(field="title", p="t_") + bm25_ctes(field="body", p="b_")))
+@register("multi_field_bm25", with_views("""
+    SELECT * FROM cands""", "queries", "corpus",
+                                         extra=bm25_ctes(field="title", p="t_") + bm25_ctes(field="body", p="b_") + [
+    ("both_fields", f"""SELECT query_id, doc_id, round(SUM(s), 9) AS score FROM (
+        SELECT query_id, doc_id, score * {TITLE_BOOST} AS s FROM t_scored
+        UNION ALL SELECT query_id, doc_id, score * 1.0 AS s FROM b_scored) u GROUP BY query_id, doc_id"""),
+    cands_cte(50, "both_fields")]))
 def q_multi_field_bm25(spark, sf):
-    return L.multi_field_bm25(T.queries(spark, sf), T.corpus(spark, sf), {"title": TITLE_BOOST, "body": 1.0})
+    scored = L.multi_field_bm25(T.queries(spark, sf), T.corpus(spark, sf), {"title": TITLE_BOOST, "body": 1.0})
+    return L.retrieve(scored, 50)
 
 
 # ---------------------------------------------------------------- hybrid ranking
@@ -288,7 +298,7 @@ def q_hybrid_search_indexed(spark, sf):
 def q_hybrid_search_synonyms(spark, sf):
     """H2 with query-time synonym expansion blended into BM25 (as the query analyzer does)."""
     r = S.ranked_candidates(T.queries(spark, sf), T.corpus(spark, sf).select("id", "body"), _features(spark, sf),
-                            S.serving_params(spark, sf), synonyms=A.synonym_table(spark))
+                            S.serving_params(spark, sf), synonyms=A.synonym_table(spark, T.FIXTURE_SYNONYMS))
     return _ranked_cols(r.where(F.col("hybrid_rank") <= 10))
 
 
@@ -367,6 +377,21 @@ def q_evaluate_rankings(spark, sf):
     return E.evaluate_rankings(ranked(spark, sf))
 
 
+# ---------------------------------------------------------------- hold-out evaluation (S4 -> L1 -> H2 -> E1-E5)
+_HOLDOUT_QUERIES = [("held", HOLDOUT_SQL), ("queries", f"""
+    SELECT id AS query_id, {FIRST8.format(x="regexp_replace(body, '<.*?>', '', 'g')")} AS query_text FROM held""")]
+
+
+@register("evaluate_holdout", with_views(SUMMARY_SQL, "corpus", "post_scores", extra=_HOLDOUT_QUERIES
+                                         + search_ctes() + proxy_ctes() + per_query_ctes()))
+def q_evaluate_holdout(spark, sf):
+    """Held-out positive posts as queries (first words of the body, tags stripped) against the whole corpus."""
+    held = holdout(T.post_scores(spark, sf))
+    r = S.ranked_candidates(L.query_from_body(held), T.corpus(spark, sf).select("id", "body"), _features(spark, sf),
+                            S.serving_params(spark, sf))
+    return E.evaluate_rankings(r)
+
+
 def _alpha_sql():
     parts = []
     for a in ALPHAS:
@@ -456,12 +481,10 @@ def q_latency_summary(spark, sf):
 def q_retrieve_documents(spark, sf):
     """Candidates with their stored fields: the candidate set (bounded by
     #queries x k) is joined back to the documents."""
-    _, qt, idx, small = _index(spark, sf)
-    cands = L.retrieve(L.bm25(qt, idx, queries_small=small), 50)
+    _, qt, idx = _index(spark, sf)
+    cands = L.retrieve(L.bm25(qt, idx), 50)
     docs = T.corpus(spark, sf).select(F.col("id").alias("doc_id"), "title", "body")
-    # at most k rows per query term row: bounded by the counted query side
-    joined = docs.join(F.broadcast(cands) if small else cands, "doc_id")
-    return joined.select("query_id", "doc_id", "lex_rank", "score", "title", "body")
+    return docs.join(cands, "doc_id").select("query_id", "doc_id", "lex_rank", "score", "title", "body")
 
 
 # ---------------------------------------------------------------- full evaluation report (E5 + G10)

@@ -36,27 +36,26 @@ def q_read_posts(spark, sf):
 
 @register("index_source", with_views("""
     SELECT id, title, body, expertise_score, utility_score FROM post_scores
-    WHERE body IS NOT NULL ORDER BY id LIMIT 10000""", "post_scores"))
+    WHERE body IS NOT NULL""", "post_scores"))
 def q_index_source(spark, sf):
-    return R.index_source(T.post_scores(spark, sf), 10000)
+    return R.index_source(T.post_scores(spark, sf))
 
 
 @register("training_source", with_views("""
-    SELECT body, expertise_score, utility_score, label FROM post_scores ORDER BY id LIMIT 5000""", "post_scores"))
+    SELECT body, expertise_score, utility_score, label FROM post_scores WHERE label IS NOT NULL""",
+                                      "post_scores"))
 def q_training_source(spark, sf):
-    return R.training_source(T.post_scores(spark, sf), 5000)
+    return R.training_source(T.post_scores(spark, sf))
 
 
-# fixture parameters for the hold-out window (the configured offset 5000
-# exceeds the fixture's positive rows)
-HOLDOUT_OFFSET, HOLDOUT_LIMIT = 100, 200
+HOLDOUT_SQL = f"""
+    SELECT * FROM post_scores WHERE label = 1
+      AND ((id % {M.SPLIT_MOD}) * {M.SPLIT_MULT} + 42) % {M.SPLIT_MOD} % 10000 < {round(X.VAL_SPLIT * 10000)}"""
 
 
-@register("holdout", with_views(f"""
-    SELECT * FROM post_scores WHERE label = 1 ORDER BY id LIMIT {HOLDOUT_LIMIT} OFFSET {HOLDOUT_OFFSET}""",
-                                "post_scores"))
+@register("holdout", with_views(HOLDOUT_SQL, "post_scores"))
 def q_holdout(spark, sf):
-    return R.holdout(T.post_scores(spark, sf), HOLDOUT_OFFSET, HOLDOUT_LIMIT)
+    return R.holdout(T.post_scores(spark, sf))
 
 
 @register("run_sql_file", with_views(f"""
@@ -203,11 +202,13 @@ def q_preview(spark, sf):
                     preview("body", 150, False, always_ellipsis=True).alias("console_150"))
 
 
+# the fixture queries hold no metacharacters: their first space becomes some
 @register("escape_query", with_views("""
-    SELECT query_id, regexp_replace(query_text, '([+\\-!(){}\\[\\]^"~*?:\\\\/])', '\\\\\\1', 'g') AS escaped
+    SELECT query_id, regexp_replace(regexp_replace(query_text, ' ', ' (a:b)/* '), '([+\\-!(){}\\[\\]^"~*?:\\\\/])', '\\\\\\1', 'g') AS escaped
     FROM queries""", "queries"))
 def q_escape_query(spark, sf):
-    return T.queries(spark, sf).select("query_id", escape_query("query_text").alias("escaped"))
+    text = F.regexp_replace("query_text", "^([^ ]*) ", "$1 (a:b)/* ")
+    return T.queries(spark, sf).select("query_id", escape_query(text).alias("escaped"))
 
 
 @register("strip_tags", "SELECT page_id, regexp_replace(html, '<.*?>', '', 'g') AS text FROM pages")
@@ -431,7 +432,7 @@ WITH x AS (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)
 m AS (SELECT label, pos, AVG(CAST(v AS DOUBLE)) AS m FROM x GROUP BY label, pos),
 c AS (SELECT label AS query_id, list(m ORDER BY pos) AS centroid FROM m GROUP BY label),
 s AS (SELECT c.query_id, e.vec_id,
-             round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.centroid), 6) AS score
+             round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.centroid), 9) AS score
       FROM c CROSS JOIN embeddings e)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) t
 WHERE rank <= 10"""

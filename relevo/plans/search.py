@@ -1,10 +1,9 @@
 """Batch hybrid search (H2): BM25 recall -> features -> pair scoring ->
 per-query min-max -> fusion -> hybrid ranking, for a whole query table.
 
-Shuffles: the postings aggregate (once, materialised), the per-(query, doc)
-score sum, and the per-query ranking windows. Candidates are bounded by
-``#queries * k_recall``; they are broadcast onto the feature table when
-that bound is under the broadcast limit, otherwise the join shuffles.
+Shuffles: the matching postings by document (scores are summed and cut to
+the per-task top-k where they then are), the cut per query, and the join of
+the candidates (at most ``k_recall`` a query) with their features.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from relevo.operators import features as N
 from relevo.operators import fusion as H
 from relevo.operators import lexical as L
 from relevo.operators import scoring as SC
-from relevo.operators.util import BROADCAST_MAX_ROWS, top_k
 
 
 def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame, params: DataFrame,
@@ -32,22 +30,18 @@ def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame
     """
     H.check_alpha(alpha)
     qt = L.query_terms(queries)
-    n_terms = qt.count()
-    small = n_terms <= BROADCAST_MAX_ROWS
     if synonyms is not None:
         scored = L.bm25_synonyms(qt, synonyms, corpus)
     else:
         if index is not None:
             idx = L.lookup(index, qt)
         else:
-            idx = L.build_index(corpus, "id", "body", vocabulary=qt, vocabulary_small=small)
-        scored = L.bm25(qt, idx, queries_small=small)
+            idx = L.build_index(corpus, "id", "body", vocabulary=qt)
+        scored = L.bm25(qt, idx)
     cands = L.retrieve(scored, k_recall)
     # extra feature columns (e.g. inputs of an ML scorer) travel with the candidates
     feats = features.withColumnRenamed("id", "doc_id")
-    # candidates: at most k_recall per query, and a query has >= 1 term row
-    cands_small = n_terms * k_recall <= BROADCAST_MAX_ROWS
-    cands = feats.join(F.broadcast(cands) if cands_small else cands, "doc_id")
+    cands = feats.join(cands, "doc_id")
     cands = N.apply_norm(cands, params, "serve", default=0.0)
     cands = SC.score_pairs(SC.pair_features(cands), scorer or SC.logistic_scorer())
     cands = H.fuse(N.minmax_per_query(cands, "score"), alpha)
@@ -55,8 +49,8 @@ def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame
 
 
 def source_key(spark, *paths: str) -> str:
-    """A short key of source files (path, size, modification time): derived
-    artefacts stored under it are rebuilt when a source changes."""
+    """A short key of all files of the sources (path, size, modification time):
+    derived artefacts stored under it are rebuilt when any file changes, comes or goes."""
     import hashlib
 
     jvm = spark.sparkContext._jvm
@@ -64,8 +58,12 @@ def source_key(spark, *paths: str) -> str:
     parts = []
     for src in paths:
         hp = jvm.org.apache.hadoop.fs.Path(src)
-        st = hp.getFileSystem(conf).getFileStatus(hp)
-        parts.append(f"{src}|{st.getLen()}|{st.getModificationTime()}")
+        files = hp.getFileSystem(conf).listFiles(hp, True)
+        found = []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath()}|{st.getLen()}|{st.getModificationTime()}")
+        parts += [src, *sorted(found)]
     return hashlib.sha1("||".join(parts).encode()).hexdigest()[:16]
 
 
@@ -119,7 +117,3 @@ def hybrid_search(queries: DataFrame, corpus: DataFrame, features: DataFrame, pa
     """Top-k hybrid results per query."""
     ranked = ranked_candidates(queries, corpus, features, params, scorer, k_recall, alpha)
     return ranked.where(F.col("hybrid_rank") <= k)
-
-
-def lexical_top(ranked: DataFrame, k: int = TOP_K) -> DataFrame:
-    return top_k(ranked, k, "query_id", [F.col("lex_rank")], "_r").drop("_r")

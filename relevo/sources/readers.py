@@ -3,15 +3,17 @@ application and row coercion (S1-S5, S8-S10, S12)."""
 
 from __future__ import annotations
 
-import json
 import os
+import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relevo.functions.fixed import DEFAULT_NORM_PARAMS
+from relevo.functions.fixed import DEFAULT_NORM_PARAMS, VAL_SPLIT
+from relevo.session import path_exists
 
 SQL_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "sql")
 
@@ -21,33 +23,43 @@ def read_posts(spark: SparkSession, path: str, cols=("author", "subreddit", "bod
     return spark.read.parquet(path).select(*cols)
 
 
-def index_source(df: DataFrame, limit: int | None = 10000) -> DataFrame:
-    """Rows to index (S2): five columns, non-NULL body, at most ``limit`` rows by id."""
-    x = df.where(F.col("body").isNotNull()).select("id", "title", "body", "expertise_score", "utility_score")
-    return x.orderBy("id").limit(limit) if limit is not None else x
+def index_source(df: DataFrame) -> DataFrame:
+    """Rows to index (S2): five columns, non-NULL body."""
+    return df.where(F.col("body").isNotNull()).select("id", "title", "body", "expertise_score", "utility_score")
 
 
-def training_source(df: DataFrame, limit: int | None = 5000) -> DataFrame:
-    """Training scan (S3): body, both features and label, at most ``limit`` rows by id."""
-    x = df.select("id", "body", "expertise_score", "utility_score", "label")
-    return x.orderBy("id").limit(limit).drop("id") if limit is not None else x.drop("id")
+def training_source(df: DataFrame, max_labelled_rows: int | None = None) -> DataFrame:
+    """Training scan (S3): body, both features and label of the labelled rows.
 
+    ``max_labelled_rows`` bounds the sample a classifier is fitted on (the
+    lowest ids); without it all labelled rows are read.
+    """
+    x = df.where(F.col("label").isNotNull()).select("id", "body", "expertise_score", "utility_score", "label")
+    return (x if max_labelled_rows is None else x.orderBy("id").limit(max_labelled_rows)).drop("id")
+
+
+def holdout(df: DataFrame, share: float = VAL_SPLIT, seed: int = 42) -> DataFrame:
+    """Positive hold-out rows (S4): ``label = 1`` in the validation share of the ids, which training never sees."""
+    from relevo.operators.training import split
 
-def holdout(df: DataFrame, offset: int = 5000, limit: int = 200) -> DataFrame:
-    """Positive hold-out rows (S4): ``label = 1`` ordered by id, skip ``offset``, take ``limit``."""
-    return df.where(F.col("label") == 1).orderBy("id").offset(offset).limit(limit)
+    return split(df.where(F.col("label") == 1), share, seed).where("is_validation").drop("is_validation")
 
 
 def read_with_fallback(spark: SparkSession, *sources) -> DataFrame:
     """First source that loads (S5). A source is a callable ``spark -> DataFrame``
     or a JSON path (a JSON array file or JSON lines) read with ``POSTS_SCHEMA``.
-    A missing path fails when the reader resolves it, and the next source is tried."""
+    Only a source that is not there (no such path or table) is passed over; any
+    other failure is raised, so that a fault never changes the source."""
     errors = []
     for src in sources:
         try:
             return src(spark) if isinstance(src, Callable) else read_posts_json(spark, src)
-        except Exception as e:  # noqa: BLE001 - try the next source
-            errors.append(f"{src}: {str(e).splitlines()[0][:200]}")
+        except FileNotFoundError as e:
+            errors.append(f"{src}: {e}")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+                raise
+            errors.append(f"{src}: {e.getCondition()}")
     raise FileNotFoundError("no data source available: " + "; ".join(errors))
 
 
@@ -81,8 +93,10 @@ DYNAMIC_SUFFIXES = {
     "_i": "int", "_l": "bigint", "_f": "float", "_d": "double", "_b": "boolean", "_s": "string",
     "_dt": "timestamp", "_t": "string", "_txt": "array<string>", "_is": "array<int>", "_ls": "array<bigint>",
     "_fs": "array<float>", "_ds": "array<double>", "_bs": "array<boolean>", "_ss": "array<string>",
-    "_dts": "array<timestamp>",
+    "_dts": "array<timestamp>", "_str": "array<string>", "_ws": "string",
 }
+# a text field in one language: *_txt_en, *_txt_fr, ...
+LANGUAGE_FIELD = re.compile(r"_txt_[a-z]{2,3}$")
 DECLARED_FIELDS = {"id": ("string", None), "expertise_score": ("double", 0.0), "utility_score": ("double", 0.0),
                    "content_vector": ("array<float>", None)}
 
@@ -92,6 +106,8 @@ def _field_type(name: str):
         return DECLARED_FIELDS[name]
     if name.startswith("attr_"):
         return ("array<string>", None)
+    if LANGUAGE_FIELD.search(name):
+        return ("string", None)
     best = max((s for s in DYNAMIC_SUFFIXES if name.endswith(s)), key=len, default=None)
     return (DYNAMIC_SUFFIXES[best], None) if best else (None, None)
 
@@ -131,14 +147,18 @@ def coerce_documents(df: DataFrame) -> DataFrame:
 
 
 def read_norm_params(spark: SparkSession, path: str) -> DataFrame:
-    """Normalisation parameters from JSON (S12); defaults when the file is absent."""
-    from relevo.operators.features import PARAM_SCHEMA, params_frame
-
-    if path and os.path.isfile(path):
-        with open(path) as f:
-            return params_frame(spark, json.load(f))
-    try:
-        # a folder written by write_norm_params (any file system)
-        return spark.read.schema(PARAM_SCHEMA).json(path).limit(1)
-    except Exception:  # noqa: BLE001 - absent parameters fall back to the defaults
+    """Normalisation parameters from JSON (S12), one object in a file or a folder
+    that ``write_norm_params`` wrote; the defaults when nothing is there.
+
+    What is there must be one complete set: malformed text raises, and so do
+    a missing value and a second row.
+    """
+    from relevo.operators.features import PARAM_COLS, PARAM_SCHEMA, params_frame
+
+    if not path or not path_exists(spark, path):
         return params_frame(spark, DEFAULT_NORM_PARAMS)
+    rows = (spark.read.schema(PARAM_SCHEMA).option("multiLine", path.endswith(".json")).option("mode", "FAILFAST")
+            .json(path).limit(2).collect())
+    if len(rows) != 1 or any(rows[0][c] is None for c in PARAM_COLS):
+        raise ValueError(f"{path} does not hold one complete set of normalisation parameters")
+    return params_frame(spark, rows[0].asDict())

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relevo.operators.util import top_k
+
 
 def write_posts_json(df: DataFrame, path: str) -> str:
     """Posts as JSON lines."""
@@ -32,13 +34,19 @@ def write_features(df: DataFrame, path: str, keys=("author", "subreddit"), mode:
     current = latest_version(spark, path)
     merged = df
     if current is not None:
-        old = spark.read.parquet(current)
-        merged = old.join(df.select(*keys).distinct(), list(keys), "left_anti").unionByName(df)
+        merged = replace_keys(spark.read.parquet(current), df, keys)
     target = _next_version(spark, path, current)
     merged.write.mode("overwrite").parquet(target)
     return target
 
 
+def replace_keys(old: DataFrame, new: DataFrame, keys) -> DataFrame:
+    """``old`` without the keys of ``new``, and ``new``; a NULL in a key equals a NULL."""
+    incoming = new.select(*[F.col(k).alias(f"_new_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys]
+    return old.join(incoming, same, "left_anti").unionByName(new)
+
+
 def _versions(spark, path: str) -> list[str]:
     jvm = spark.sparkContext._jvm
     hconf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -75,15 +83,22 @@ def upsert_documents(existing: DataFrame | None, incoming: DataFrame, key: str =
                      order: str = "ingest_seq") -> DataFrame:
     """Unique-key upsert (S11, W5): the row with the highest ``order`` per key wins.
 
-    Expressed as ``max(struct(order, ...))`` per key rather than a window:
-    the maximum is combined map-side, so a key with very many versions is
-    reduced before the shuffle instead of being sorted in one task. Equal
-    ``order`` values are resolved by the remaining columns (deterministic).
+    Of equal orders the incoming row wins, then the greatest remaining
+    columns (deterministic). ``row_number() = 1`` is cut per map task before
+    the shuffle, so a key with very many versions does not meet in one task.
     """
-    allr = incoming if existing is None else existing.unionByName(incoming)
-    rest = [c for c in allr.columns if c not in (key, order)]
-    best = allr.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_r"))
-    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in [order, *rest]])
+    new = incoming.withColumn("_incoming", F.lit(1))
+    allr = new if existing is None else existing.withColumn("_incoming", F.lit(0)).unionByName(new)
+    rest = [c for c in incoming.columns if c not in (key, order)]
+    best = top_k(allr, 1, key, [F.col(order).desc_nulls_last(), F.col("_incoming").desc(),
+                                *[F.col(c).desc_nulls_last() for c in rest]], "_rank")
+    return best.select(key, order, *rest)
+
+
+def next_order(existing: DataFrame | None, order: str = "ingest_seq") -> int:
+    """The order of a new run's rows: one above the highest stored."""
+    top = existing.agg(F.max(order)).first()[0] if existing is not None else None
+    return 0 if top is None else top + 1
 
 
 def write_norm_params(params: DataFrame, path: str) -> str:

@@ -21,6 +21,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 # Keyword list that exists in the fixture corpora (the configured list does
 # not occur there; it is exercised on synthetic posts instead).
 FIXTURE_KEYWORDS = ["that the", "is and"]
+# Synonym rules over words that occur in the fixture texts, of both kinds.
+FIXTURE_SYNONYMS = ["the => of", "and, in, to", "that => thing and"]
 # Training cut-off inside the fixture's event span (2024-01-01 .. 2024-01-30).
 FIXTURE_CUTOFF = "2024-01-20 00:00:00"
 
@@ -30,18 +32,9 @@ _LCG_EXPERTISE = (1103515245, 12345)
 _LCG_UTILITY = (22695477, 1)
 
 
-_READS: dict[tuple[str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. The DataFrame of a (session, path) pair is reused, so the
-    file listing and footer reads happen once per session, not per view."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId + ":" + str(id(spark)), path)
-    df = _READS.get(key)
-    if df is None:
-        df = _READS[key] = spark.read.parquet(path)
-    return df
+    """A driver table, listed anew for every view so that new files are seen."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevo.functions.text import has_any_keyword
-from relevo.sources.sinks import latest_version
+from relevo.sources.sinks import latest_version, replace_keys
 
 
 def utility_counts(posts: DataFrame, keywords) -> DataFrame:
@@ -34,9 +34,7 @@ def _merge_batch(sink: str):
         cur = latest_version(spark, sink, below=epoch_id)
         merged = batch
         if cur is not None:
-            old = spark.read.parquet(cur)
-            merged = old.join(batch.select("author", "subreddit"), ["author", "subreddit"],
-                              "left_anti").unionByName(batch)
+            merged = replace_keys(spark.read.parquet(cur), batch, ("author", "subreddit"))
         merged.write.mode("overwrite").parquet(target)
     return merge
 
