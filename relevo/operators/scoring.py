@@ -42,8 +42,13 @@ def logistic_scorer(weights: dict | None = None) -> Callable[[DataFrame], Column
 
 
 def pair_features(cands: DataFrame) -> DataFrame:
-    """Native pair features: ``coverage`` = matched query terms / query terms (SC2)."""
-    return cands.withColumn("coverage", F.col("matched").cast("double") / F.col("n_query_terms"))
+    """Native pair features (SC2): ``coverage`` = matched query terms / query terms and,
+    where the document's ``n_doc_terms`` is given, ``cosine`` of the two term sets."""
+    out = cands.withColumn("coverage", F.col("matched").cast("double") / F.col("n_query_terms"))
+    if "n_doc_terms" in cands.columns:
+        size = F.sqrt(F.col("n_query_terms") * F.col("n_doc_terms"))
+        out = out.withColumn("cosine", F.when(size > 0, F.col("matched") / size).otherwise(F.lit(0.0)))
+    return out
 
 
 def score_pairs(cands: DataFrame, scorer, out: str = "semantic", output_schema: str | None = None) -> DataFrame:
@@ -58,7 +63,7 @@ def score_pairs(cands: DataFrame, scorer, out: str = "semantic", output_schema:
         from pyspark.ml.functions import vector_to_array
 
         prob = vector_to_array(F.col("probability")).getItem(1)
-        drop = [c for c in ("rawPrediction", "probability", "prediction", "features") if c in scored.columns
+        drop = [c for c in ("raw", "rawPrediction", "probability", "prediction", "features") if c in scored.columns
                 and c not in cands.columns]
         return scored.withColumn(out, F.round(prob, SCORE_DIGITS)).drop(*drop)
     if getattr(scorer, "pandas_batch", False):

@@ -1,20 +1,21 @@
 """Relevance-model training on Spark ML (M1-M5).
 
 The reference fine-tunes a neural re-ranker in one process and keeps the
-epoch with the best validation log loss. Here the model is a Spark ML
-pipeline trained data-parallel; "epochs" become the iteration budget in a
-validation grid, and the best setting by validation log loss is kept.
+epoch with the best validation log loss. Here the model is a Spark ML network
+over features of the (query, document) pair, trained data-parallel; an epoch
+is a few optimiser iterations from the last weights, and the epoch with the
+best validation log loss is kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevo.functions.fixed import EPOCHS, MODEL_VERSION, VAL_SPLIT
-from relevo.functions.text import first_words
+from relevo.functions.text import first_words, word_tokens
 
-FEATURES = ["expertise_score", "utility_score", "log_body_len"]
+FEATURES = ["expertise_score", "utility_score", "coverage", "cosine", "log_body_len"]
 SPLIT_MOD = 2147483647
 SPLIT_MULT = 48271
 
@@ -42,22 +43,33 @@ def training_pairs(df: DataFrame) -> DataFrame:
 
 
 def model_frame(pairs: DataFrame) -> DataFrame:
-    """Numeric model inputs: both features plus ``log(1 + body length)``."""
-    return pairs.withColumn("log_body_len", F.log1p(F.length(F.coalesce("body", F.lit(""))).cast("double"))) \
-                .withColumn("label", F.col("label").cast("double"))
+    """Numeric model inputs of ``(query_text, body)`` pairs: both features, the
+    query's coverage by the body, the cosine of their term sets, and ``log(1 + body length)``."""
+    q, d = F.array_distinct(word_tokens("query_text")), F.array_distinct(word_tokens(F.coalesce("body", F.lit(""))))
+    both = F.size(F.array_intersect(q, d)).cast("double")
+    share = lambda n: F.when(n > 0, both / n).otherwise(F.lit(0.0))
+    return pairs.select("*", share(F.size(q)).alias("coverage"), share(F.sqrt(F.size(q) * F.size(d))).alias("cosine"),
+                        log_length("body").alias("log_body_len")).withColumn("label", F.col("label").cast("double"))
+
+
+def log_length(text: str):
+    return F.log1p(F.length(F.coalesce(text, F.lit(""))).cast("double"))
 
 
 def train_relevance_model(train_df: DataFrame, epochs: int = EPOCHS, val: float = VAL_SPLIT,
-                          hidden: int | None = None, seed: int = 42):
-    """Fit the relevance model, keeping the best iteration budget by validation
-    log loss (M3). ``hidden`` switches from logistic regression to a
-    multilayer perceptron ``[d, hidden, 2]``.
+                          hidden: int | None = None, seed: int = 42, steps: int = 4):
+    """Fit the relevance model epoch by epoch and keep the best by validation log loss (M3).
+
+    Each epoch continues from the last one's weights for ``steps`` optimiser
+    iterations over all training rows; ``hidden`` adds a hidden layer (without
+    it the network is a logistic regression). Inputs must be complete
+    (missing features imputed): a missing one raises.
 
     Returns ``(best_model, report)`` where ``report`` is a DataFrame of
-    ``(max_iter, val_log_loss)``.
+    ``(epoch, train_loss, val_log_loss, kept)``.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 
@@ -65,31 +77,28 @@ def train_relevance_model(train_df: DataFrame, epochs: int = EPOCHS, val: float
     tr, va = data.where(~F.col("is_validation")), data.where(F.col("is_validation"))
     evaluator = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label",
                                                   probabilityCol="probability")
-    results = []
-    best = None
-    budgets = sorted({max(1, int(round(epochs * f))) for f in (0.2, 0.5, 1.0)})
-    for it in budgets:
-        if hidden:
-            clf = MultilayerPerceptronClassifier(layers=[len(FEATURES), hidden, 2], maxIter=it, seed=seed)
-        else:
-            clf = LogisticRegression(maxIter=it, regParam=0.0)
-        pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="raw", handleInvalid="skip"),
-                                MinMaxScaler(inputCol="raw", outputCol="features"), clf])
-        model = pipe.fit(tr)
-        loss = evaluator.evaluate(model.transform(va))
-        results.append((it, float(loss)))
+    scale = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="raw", handleInvalid="error"),
+                             MinMaxScaler(inputCol="raw", outputCol="features")]).fit(tr)
+    scaled, held = scale.transform(tr), scale.transform(va)
+    layers = [len(FEATURES), *([hidden] if hidden else []), 2]
+    results, best, weights = [], None, None
+    for epoch in range(1, epochs + 1):
+        net = MultilayerPerceptronClassifier(layers=layers, maxIter=steps, seed=seed, tol=0.0)
+        model = (net if weights is None else net.setInitialWeights(weights)).fit(scaled)
+        weights = model.weights
+        loss = float(evaluator.evaluate(model.transform(held)))
+        results.append((epoch, float(model.summary().objectiveHistory[-1]), loss))
         if best is None or loss < best[1]:
-            best = (model, loss)
-    report = train_df.sparkSession.createDataFrame(results, "max_iter int, val_log_loss double")
-    return best[0], report
+            best = (model, loss, epoch)
+    report = train_df.sparkSession.createDataFrame(
+        [(*r, r[0] == best[2]) for r in results], "epoch int, train_loss double, val_log_loss double, kept boolean")
+    return PipelineModel([*scale.stages, best[0]]), report
 
 
-def training_report(model) -> list[float]:
-    """Objective history of the fitted classifier (M4), when it exposes one."""
-    last = model.stages[-1]
-    if hasattr(last, "summary") and last.hasSummary:
-        return list(last.summary.objectiveHistory)
-    return []
+def training_report(report: DataFrame) -> DataFrame:
+    """Losses per epoch in order, with the best validation loss so far (M4)."""
+    best = F.min("val_log_loss").over(Window.orderBy("epoch"))  # a row per epoch
+    return report.select("epoch", "train_loss", "val_log_loss", best.alias("best_so_far"), "kept").orderBy("epoch")
 
 
 def save_model(model, path: str, version: str = MODEL_VERSION) -> str:

@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from relevo.functions.text import word_tokens
 from relevo.operators import features as N
 from relevo.operators import quality as Q
 from relevo.operators import scoring as SC
@@ -114,20 +115,37 @@ def q_embed(spark, sf):
     return V.embed(T.corpus(spark, sf).select("id", "body"), "body", 64)
 
 
-def _head_weights(d: int, seed: int = 7) -> dict:
-    """Deterministic head weights for a ``d``-dimensional text vector ([ours])."""
-    rng = np.random.default_rng(seed)
-    h, m = 16, 8
-    return {"W1": rng.normal(0, 0.2, (h, d)), "b1": np.zeros(h), "W2": rng.normal(0, 0.2, (m, h + 2)),
-            "b2": np.zeros(m), "W3": rng.normal(0, 0.2, (1, m)), "b3": np.zeros(1)}
+HEAD_H, HEAD_M = 4, 3
 
 
-@register("fusion_head")
+def _head_weights(d: int, seed: int = 7) -> dict:
+    """Small whole-number head weights for a ``d``-dimensional text vector, by a rule SQL can repeat ([ours])."""
+    grid = lambda a, b: (np.arange(a)[:, None] * 7 + np.arange(b)[None, :] * 3) % 5 - 2
+    return {"W1": grid(HEAD_H, d), "b1": np.ones(HEAD_H), "W2": grid(HEAD_M, HEAD_H + 2), "b2": np.ones(HEAD_M),
+            "W3": grid(1, HEAD_M), "b3": np.zeros(1)}
+
+
+def _head_sql(d: int = 64) -> str:
+    """The head in SQL: text branch, layer-normed features, both rectified layers, output."""
+    w = {k: v.tolist() for k, v in _head_weights(d).items()}
+    unit = lambda row, x: " + ".join(f"({c}) * {x}[{i + 1}]" for i, c in enumerate(row) if c)
+    h = ", ".join(f"greatest({unit(r, 'v')} + {b}, 0.0)" for r, b in zip(w["W1"], w["b1"]))
+    m = ", ".join(f"greatest({unit(r, 'z')} + {b}, 0.0)" for r, b in zip(w["W2"], w["b2"]))
+    return f"""
+    SELECT vec_id, round({unit(w['W3'][0], 'm')}, 6) AS logit FROM (SELECT vec_id, [{m}] AS m FROM (
+      SELECT vec_id, list_concat([{h}], [(f1 - mu) / sqrt(var + 1e-5), (f2 - mu) / sqrt(var + 1e-5)]) AS z FROM (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, f1, f2, (f1 + f2) / 2 AS mu, ((f1 - f2) / 2) ** 2 AS var
+        FROM (SELECT vec_id, embedding, label / 10.0 AS f1,
+                     CAST(vec_id % 100 AS DOUBLE) / 100.0 AS f2 FROM embeddings) a) b) c) e"""
+
+
+@register("fusion_head", _head_sql())
 def q_fusion_head(spark, sf):
     vecs = T.vectors(spark, sf)
     feats = vecs.select("vec_id", "embedding", (F.col("label") / 10.0).alias("f1"),
-                        (F.size("embedding") / 100.0).alias("f2"))
-    return SC.fusion_head(feats, "embedding", ["f1", "f2"], _head_weights(64)).select("vec_id", "logit")
+                        ((F.col("vec_id") % 100) / 100.0).alias("f2"))
+    scored = SC.fusion_head(feats, "embedding", ["f1", "f2"], _head_weights(64))
+    return scored.select("vec_id", F.round("logit", 6).alias("logit"))
 
 
 def _training_table(spark, sf):
@@ -145,9 +163,8 @@ def q_train_relevance_model(spark, sf):
 
 @register("training_report")
 def q_training_report(spark, sf):
-    model, _ = M.train_relevance_model(_training_table(spark, sf), epochs=10)
-    hist = M.training_report(model)
-    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(hist)], "iteration int, objective double")
+    _, report = M.train_relevance_model(_training_table(spark, sf), epochs=10)
+    return M.training_report(report)
 
 
 @register("save_model")
@@ -163,14 +180,11 @@ def q_save_model(spark, sf):
 
 def _canary_sql() -> str:
     from relevo.functions.fixed import CANARIES
-    from relevo.plans.oracle_search import norm_expr
     from relevo.plans.oracle_views import words
 
     q = lambda t: "'" + t.replace("'", "''") + "'"
     vals = ", ".join(f"({q(n)}, {q(a)}, {q(b)}, CAST({e} AS DOUBLE), CAST({u} AS DOUBLE))"
                      for n, a, b, e, u in CANARIES)
-    e = norm_expr("coalesce(c.expertise_score, 0.0)", "p.expertise_min", "p.expertise_max")
-    u = norm_expr("coalesce(c.utility_score, 0.0)", "p.utility_min", "p.utility_max")
     return with_views(f"""
     SELECT canary, semantic,
            CASE WHEN canary = 'irrelevant_low_features' THEN '<0.5'
@@ -178,10 +192,9 @@ def _canary_sql() -> str:
            CASE WHEN canary = 'irrelevant_low_features' THEN semantic < 0.5
                 WHEN canary = 'relevant_high_features' THEN semantic > 0.5 ELSE semantic > 0.3 END AS passed
     FROM (SELECT canary, round(1.0 / (1.0 + exp(-(((-2.0 + 3.0 * coverage) + 1.0 * e) + 1.0 * u))), 9) AS semantic
-          FROM (SELECT c.canary, {e} AS e, {u} AS u,
+          FROM (SELECT c.canary, c.expertise_score AS e, c.utility_score AS u,
                        CAST(coalesce(m.matched, 0) AS DOUBLE) / nq.n AS coverage
-                FROM c JOIN nq ON nq.canary = c.canary LEFT JOIN m ON m.canary = c.canary
-                CROSS JOIN params p) f) s""", "post_scores", extra=PARAMS_CTES + [
+                FROM c JOIN nq ON nq.canary = c.canary LEFT JOIN m ON m.canary = c.canary) f) s""", extra=[
         ("c", f"SELECT * FROM (VALUES {vals}) v(canary, query_text, body, expertise_score, utility_score)"),
         ("qt", f"SELECT DISTINCT canary, unnest({words('query_text')}) AS term FROM c"),
         ("bt", f"SELECT DISTINCT canary, unnest({words('body')}) AS term FROM c"),
@@ -193,11 +206,8 @@ def _canary_sql() -> str:
 
 @register("score_canaries", _canary_sql())
 def q_score_canaries(spark, sf):
-    """Canary pairs with features normalised by parameters fitted on the table."""
-    params = N.fit_norm(N.drop_incomplete(T.post_scores(spark, sf), ("body", "label")))
-    canaries = Q.canary_frame(spark)
-    normed = N.apply_norm(canaries, params, "serve", default=0.0)
-    return _score_canary_frame(spark, normed)
+    """Canary pairs with their features as they are."""
+    return _score_canary_frame(spark, Q.canary_frame(spark))
 
 
 def _score_canary_frame(spark, canaries):
@@ -237,9 +247,7 @@ def q_run_pipeline(spark, sf):
           + _canary_sql() + ") c WHERE canary IN ('relevant_high_features', 'relevant_default_features')")
 def q_diagnose_with_canaries(spark, sf):
     """The findings report including the canary checks (D1 + D3)."""
-    params = N.fit_norm(N.drop_incomplete(T.post_scores(spark, sf), ("body", "label")))
-    canaries = _score_canary_frame(spark, N.apply_norm(Q.canary_frame(spark), params, "serve", default=0.0))
-    return Q.diagnose(T.post_scores(spark, sf), canaries)
+    return Q.diagnose(T.post_scores(spark, sf), _score_canary_frame(spark, Q.canary_frame(spark)))
 
 
 @register("hybrid_search_model")
@@ -249,7 +257,8 @@ def q_hybrid_search_model(spark, sf):
 
     model, _ = M.train_relevance_model(_training_table(spark, sf), epochs=10)
     lengths = T.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.log1p(F.length(F.coalesce("text", F.lit(""))).cast("double")).alias("log_body_len"))
+        F.col("doc_id").alias("id"), M.log_length("text").alias("log_body_len"),
+        F.size(F.array_distinct(word_tokens(F.coalesce("text", F.lit(""))))).alias("n_doc_terms"))
     feats = T.doc_scores(spark, sf).join(lengths, "id")
     ranked = S.ranked_candidates(T.queries(spark, sf), T.corpus(spark, sf).select("id", "body"), feats,
                                  S.serving_params(spark, sf), scorer=model)
