@@ -22,11 +22,6 @@ def clip01(x) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(x)))
 
 
-def dcg_gain(rel, rank) -> Column:
-    """``rel / log2(rank + 1)`` with 1-based ``rank`` (F-7)."""
-    return _c(rel) / F.log2(_c(rank) + F.lit(1))
-
-
 def lift_pct(new, base) -> Column:
     """Relative change in percent, ``(new - base) / (base + 1e-9) * 100`` (F-15)."""
     return (_c(new) - _c(base)) / (_c(base) + F.lit(EPS_LIFT)) * F.lit(100.0)
@@ -35,8 +30,3 @@ def lift_pct(new, base) -> Column:
 def affine_blend(a, b, alpha: float) -> Column:
     """``alpha * a + (1 - alpha) * b`` (F-14)."""
     return F.lit(alpha) * _c(a) + F.lit(1.0 - alpha) * _c(b)
-
-
-def safe_div(a, b) -> Column:
-    """Division that yields NULL for a zero or NULL divisor (F-5)."""
-    return F.try_divide(_c(a), _c(b))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from relevo.functions.fixed import ELISION_ARTICLES
+from relevo.functions.fixed import ELISION_ARTICLES, QUERY_METACHARACTERS
 
 # Word tokens: maximal runs of letters/digits (an approximation of UAX#29
 # word breaking; "don't" gives "don", "t").
@@ -47,7 +47,8 @@ def strip_tags(text) -> Column:
 
 def escape_query(text) -> Column:
     """Backslash-escape query metacharacters (F-11)."""
-    return F.regexp_replace(_c(text), r'([+\-!(){}\[\]^"~*?:\\/])', r"\\$1")
+    marks = "".join("\\" + c for c in QUERY_METACHARACTERS.split())
+    return F.regexp_replace(_c(text), f"([{marks}])", r"\\$1")
 
 
 def has_any_keyword(body, keywords) -> Column:

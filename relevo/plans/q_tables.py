@@ -131,19 +131,19 @@ def _synth_sql(seed: int = 42) -> str:
         titles.append(f"WHEN {i} THEN " + " || ".join(expr))
     (eh_lo, eh_hi), (uh_lo, uh_hi) = X.SYNTH_HIGH_RANGES
     (el_lo, el_hi), (ul_lo, ul_hi) = X.SYNTH_LOW_RANGES
+    place = {"t1": "t1", "t2": "t2",
+             "phrase": f"{lst(X.SYNTH_SOLUTION_PHRASES)}[x5 % {len(X.SYNTH_SOLUTION_PHRASES)} + 1]",
+             "snippet": f"{lst(X.SYNTH_CODE_SNIPPETS)}[x6 % {len(X.SYNTH_CODE_SNIPPETS)} + 1]"}
+    body = lambda tpl: " || ".join(
+        c for text, name in Y.template_parts(tpl) for c in ([_q(text)] if text else []) + ([place[name]] if name else []))
     return f"""
     WITH d AS (SELECT doc_id, {cols} FROM documents),
     t AS (SELECT *, {lst(X.SYNTH_TOPICS)}[x0 % {nt} + 1] AS t1,
                     {lst(X.SYNTH_TOPICS)}[(x0 % {nt} + 1 + x1 % {nt - 1}) % {nt} + 1] AS t2,
-                    ({u(3)} < {X.SYNTH_HIGH_RATIO}) AND ({u(4)} > 0.3) AS solution FROM d),
+                    ({u(3)} < {X.SYNTH_HIGH_RATIO}) AND ({u(4)} > {round(1 - X.SYNTH_SOLUTION_PROB, 9)}) AS solution FROM d),
     p AS (SELECT 'post_' || CAST(doc_id AS VARCHAR) AS id,
                  CASE x2 % {len(X.SYNTH_QUESTION_TEMPLATES)} {' '.join(titles)} END AS title,
-                 CASE WHEN solution THEN {lst(X.SYNTH_SOLUTION_PHRASES)}[x5 % {len(X.SYNTH_SOLUTION_PHRASES)} + 1]
-                        || chr(10) || chr(10) || 'When working with ' || t1 || ', you need to consider ' || t2
-                        || '. ' || chr(10) || chr(10)
-                        || {lst(X.SYNTH_CODE_SNIPPETS)}[x6 % {len(X.SYNTH_CODE_SNIPPETS)} + 1]
-                        || chr(10) || chr(10) || 'This approach handles edge cases and is production-tested.'
-                      ELSE 'I''m having issues with ' || t1 || '. Has anyone tried this? Any help would be appreciated.'
+                 CASE WHEN solution THEN {body(X.SYNTH_HIGH_BODY)} ELSE {body(X.SYNTH_LOW_BODY)}
                  END AS body,
                  round(CASE WHEN solution THEN {eh_lo} + {eh_hi - eh_lo!r} * {u(7)}
                             ELSE {el_lo} + {el_hi - el_lo!r} * {u(7)} END, 3) AS expertise_score,
