@@ -55,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     tokens = ordered.mapInArrow(_tokenise(tokenizer, end_id), f"doc_id {id_type}, shard int, n_tokens bigint, "
                                                               "shard_start bigint, tokens array<int>")
-    options = {"compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE,
+    options = {"compression": "snappy", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE,
                "parquet.page.row.count.limit": PAGE_ROWS, "parquet.writer.version": "v2",
                "parquet.enable.dictionary": "true"}
     options |= {f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "n_tokens", "shard_start")}

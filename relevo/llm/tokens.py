@@ -13,11 +13,11 @@ import public_tokenizers
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Two white-space characters side by side, or the character that marks unit ends below.
-_UNEVEN = re.compile(r"\s\s|\x00")
+_UNEVEN = re.compile(r"[\s\x00](?:(?<=\x00)|\s)")
 #: The only boundary used then: before one space between two other characters.
 _SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: A full stop or comma that may belong with what stands before it.
-_RUN = re.compile(r"[\W_][,.]")
+_RUN = re.compile(r"[,.](?<=[\W_][,.])")
 
 
 class ByteBpe:
