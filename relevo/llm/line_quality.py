@@ -3,10 +3,10 @@
 A host's boilerplate is found by counting, for every normalised line, the
 distinct documents of that host that hold it. Lines above the limits are
 removed, and a document that loses too much of its text is rejected as
-depleted. Exact and near copies of one document are one document to this
-count (they share the smallest hash of their three-word windows, nearly
-always), so that a copied document does not make its own lines boilerplate:
-copies are the duplicate operators' work. DataFrame functions only.
+depleted. Exact copies of one document are one document to this count, so that
+a copied document does not make its own lines boilerplate: copies are the
+duplicate operators' work. Documents that differ anywhere are different ones,
+however much boilerplate they share. DataFrame functions only.
 
 Hot lines: each line is first reduced to one row per (host, line, document)
 with map-side combining, so no key is gathered; the table of frequent lines
@@ -28,7 +28,7 @@ MIN_LEFT = 0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
 SALT = 16
 SYMBOLS = "#*$%&|<>"
-#: A document's family is told by its three-word windows that start with a word of this length.
+#: The SQL form counts families, told by three-word windows that start with a word of this length; the query does not.
 ANCHOR_CHARS = 8
 
 
@@ -50,30 +50,21 @@ def _repeat_words(hashes: Column) -> Column:
         let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), repeated))
 
 
-def _family(words: Column, text: Column) -> Column:
-    """Smallest MD5 of the windows that start with a long word; of the text where there are none."""
-    windows = F.transform(words, lambda w, i: F.when(
-        (F.length(w) >= ANCHOR_CHARS) & (i < F.size(words) - 2),
-        F.md5(F.concat(w, F.lit(" "), F.get(words, i + 1), F.lit(" "), F.get(words, i + 2)))))
-    return F.coalesce(F.array_min(windows), F.md5(text))
-
-
 def _line(normal: Column) -> Column:
     return F.struct(F.md5(normal).alias("h"),
                     (F.length(normal) - F.length(F.translate(normal, " ", "")) + 1).alias("n"))
 
 
 def profile(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per input row: its number, key, base counts, family and lines
-    ``(h, n)`` (hash of the normalised line and the words in it; lines without
-    a word are left out)."""
+    """One row per input row: its number, key, base counts, content (the text's
+    hash, the same for exact copies) and lines ``(h, n)`` (hash of the normalised
+    line and the words in it; lines without a word are left out)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def counted(words: Column) -> Column:
         hashes = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.slice(F.transform(
             h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))), 1, F.greatest(F.size(h) - 2, F.lit(0))))
-        return F.struct(F.size(words).cast("long").alias("n_words"), let(hashes, _repeat_words).alias("n_repeat_words"),
-                        _family(words, text).alias("family"))
+        return F.struct(F.size(words).cast("long").alias("n_words"), let(hashes, _repeat_words).alias("n_repeat_words"))
 
     def lined(lines: Column) -> Column:
         return F.struct(
@@ -82,12 +73,12 @@ def profile(docs: DataFrame, text_col: str = "text", host_col: str = "source") -
 
     return docs.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(host_col).alias("host"),
-        text_key(F.col(text_col)).alias("text_key"),
+        text_key(F.col(text_col)).alias("text_key"), F.md5(text).alias("content"),
         let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), counted).alias("w"),
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lined).alias("l"),
-    ).select("rid", "doc_id", "host", "text_key", "w.*", "word_chars", "n_symbols", "l.*")
+    ).select("rid", "doc_id", "host", "text_key", "content", "w.*", "word_chars", "n_symbols", "l.*")
 
 
 def normal_line(line: Column) -> Column:
@@ -97,10 +88,10 @@ def normal_line(line: Column) -> Column:
 
 def frequent_lines(profiles: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """``(host, h, n_docs)`` of the lines above the limits; a null host is a host of its own."""
-    seen = (profiles.select("host", "family", F.explode(F.array_distinct("lines.h")).alias("h"))
-            .groupBy("host", "h", "family").agg(F.lit(1).alias("one"))
+    seen = (profiles.select("host", "content", F.explode(F.array_distinct("lines.h")).alias("h"))
+            .groupBy("host", "h", "content").agg(F.lit(1).alias("one"))
             .groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs))
-    hosts = (profiles.groupBy("host", "family").agg(F.lit(1).alias("one"))
+    hosts = (profiles.groupBy("host", "content").agg(F.lit(1).alias("one"))
              .groupBy(F.col("host").alias("host_")).agg(F.count("*").alias("host_docs")))
     return (seen.join(hosts, F.col("host").eqNullSafe(F.col("host_")))
             .where(F.col("n_docs") > F.col("host_docs") * max_share).select("host", "h", "n_docs"))
@@ -118,7 +109,7 @@ def judge(profiles: DataFrame, frequent: DataFrame, min_left: float = MIN_LEFT)
             .groupBy("rid").agg(F.sum("n").cast("long").alias("removed_words"), F.collect_set("h").alias("removed")))
     removed = F.coalesce("removed_words", F.lit(0).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return (profiles.drop("lines", "family").join(lost, "rid", "left")
+    return (profiles.drop("lines", "content").join(lost, "rid", "left")
             .withColumns({"removed_words": removed, "base_failed": failed})
             .withColumn("kept", ~F.col("base_failed")
                         & (F.col("n_words") - F.col("removed_words") >= F.col("n_words") * min_left)))

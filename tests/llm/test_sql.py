@@ -46,6 +46,17 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert texts[0] == own(0) and texts[300].startswith("Cookie") and 100 not in texts and len(texts) == 61
 
 
+def test_pages_that_share_long_words_in_a_footer_only_are_depleted(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(45))
+    footer = " ".join(f"boilerplate{j}" for j in range(60))
+    rows = [(i, f"{own(i)}\n{footer}", "en", "h", 1) for i in range(30)] + [(100, f"{own(100)} {own(101)}", "en", "h", 1)]
+    rows += [(200 + i, f"{own(i)}\n{footer}", "en", "copies", 1) for i in [0] * 30]
+    docs = odd_docs(spark, rows)
+    got = [(r["doc_id"], r["removed_words"], r["kept"]) for r in line_quality.line_quality(docs).orderBy("doc_id").collect()]
+    assert got == [(i, 60, False) for i in range(30)] + [(100, 0, True)] + [(200, 0, True)] * 30
+    assert {r["doc_id"] for r in line_quality.keep_quality(docs).collect()} == {100, 200}
+
+
 def test_quality_of_odd_rows(spark):
     docs = odd_docs(spark)
     assert line_quality.line_quality(docs).count() == docs.count()
