@@ -219,6 +219,23 @@ def test_set_join_odd(spark):
     assert prefix_join.near_duplicates(odd_docs(spark, [])).count() == 0
 
 
+def test_stage_joins_five_word_sets_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(200)]
+    edited = lambda at: " ".join("new" + w if i in at else w for i, w in enumerate(words))
+    block = lambda name, n: " ".join(words[:100] + [f"{name}{i}" for i in range(n)] + words[100:])
+    alone = " ".join(f"alone{i}" for i in range(200))
+    pairs = [(1, " ".join(words)), (2, edited({40, 80, 120, 160})), (3, block("in", 40)), (4, block("more", 52)), (5, alone)]
+    similar = lambda a, b, size: len(shingles(a, size) & shingles(b, size)) / len(shingles(a, size) | shingles(b, size))
+    for _, t in pairs[1:3]:
+        assert similar(pairs[0][1], t, 5) >= 0.8 and similar(pairs[0][1], t, 4) < 0.85
+    assert 0.75 < similar(pairs[0][1], pairs[3][1], 5) < 0.8
+    frame = odd_docs(spark, [(*p, "en", "s", 1) for p in pairs])
+    stage = dict(corpus_pipeline.STAGES)["ngram_join"]
+    assert sorted(r["doc_id"] for r in stage(spark, frame, SF_SMALL).collect()) == [1, 4, 5]
+    root = set_components(pairs)
+    assert sorted(rows(prefix_join.near_duplicates(frame), "doc_id", "component_id")) == sorted(root.items())
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)]
