@@ -70,8 +70,8 @@ def reduce_dominated(counts: Counter, capacity: int) -> tuple[Patterns, Counter]
                 elif (partner == room or sum(small[:2]) > room or len(small) < 2
                       or ((len(small) < 3 or sum(small) > room)
                           and partner >= _best_pair(sizes, left - Counter({s: 1}), room))):
-                    # in bulk where the same set stays dominant: an exact fit always does
-                    times = 1 if partner != room else (n // 2 if partner == s else min(n, left[partner]))
+                    # all at once: fewer documents only weaken the alternatives, so the same set stays dominant
+                    times = n // 2 if partner == s else min(n, left[partner])
                     chosen = (s, partner)
                 else:
                     break

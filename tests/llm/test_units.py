@@ -164,6 +164,12 @@ def test_dominance_is_safe():
         assert sum(t for _, t in fixed) + best(list(rest.elements()), 20) == best(items, 20), items
 
 
+def test_dominant_pairs_are_fixed_at_once():
+    fixed, rest = packing.reduce_dominated(Counter({700: 30_000, 300: 30_001, 990: 5}), 1024)
+    assert sum(n for p, n in fixed if p == (700, 300)) == 30_000 and len(fixed) < 10
+    assert Counter(x for p, n in fixed for x in p * n) + rest == Counter({700: 30_000, 300: 30_001, 990: 5})
+
+
 def test_word_hashes_of_long_texts():
     text = "Some wOrds\tand more\n" * 40_000
     assert len(text) > BLOCK
