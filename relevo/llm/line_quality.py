@@ -28,8 +28,6 @@ MIN_LEFT = 0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
 SALT = 16
 SYMBOLS = "#*$%&|<>"
-#: The SQL form counts families, told by three-word windows that start with a word of this length; the query does not.
-ANCHOR_CHARS = 8
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -162,16 +160,15 @@ w AS (SELECT rid, i, ws[i] AS w, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] A
             FROM (SELECT rid, regexp_extract_all(text, '{WORD}') AS ws FROM d))),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM w WHERE whole) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
-wc AS (SELECT rid, count(*) AS n, sum(length(w)) AS chars,
-              min(md5(g)) FILTER (whole AND length(w) >= {ANCHOR_CHARS}) AS family FROM w GROUP BY rid),
+wc AS (SELECT rid, count(*) AS n, sum(length(w)) AS chars FROM w GROUP BY rid),
 l AS (SELECT rid, x, trim(translate(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), '{UPPER}', '{LOWER}')) AS h
       FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{WORD}')),
 lc AS (SELECT rid, count(*) - count(DISTINCT x) AS dup FROM l GROUP BY rid),
-f AS (SELECT d.rid, d.host, coalesce(wc.family, md5(d.text)) AS family FROM d LEFT JOIN wc USING (rid)),
-hosts AS (SELECT host, count(DISTINCT family) AS docs FROM f GROUP BY host),
-freq AS (SELECT f.host, h FROM l JOIN f USING (rid) JOIN hosts ON hosts.host IS NOT DISTINCT FROM f.host
-         GROUP BY f.host, h, hosts.docs
-         HAVING count(DISTINCT family) > {MIN_DOCS} AND count(DISTINCT family) > hosts.docs * {MAX_SHARE}),
+c AS (SELECT rid, host, md5(text) AS content FROM d),
+hosts AS (SELECT host, count(DISTINCT content) AS docs FROM c GROUP BY host),
+freq AS (SELECT c.host, h FROM l JOIN c USING (rid) JOIN hosts ON hosts.host IS NOT DISTINCT FROM c.host
+         GROUP BY c.host, h, hosts.docs
+         HAVING count(DISTINCT content) > {MIN_DOCS} AND count(DISTINCT content) > hosts.docs * {MAX_SHARE}),
 lost AS (SELECT l.rid, sum(length(l.h) - length(replace(l.h, ' ', '')) + 1) AS n
          FROM l JOIN d USING (rid) JOIN freq ON freq.host IS NOT DISTINCT FROM d.host AND freq.h = l.h GROUP BY l.rid),
 a AS (SELECT d.doc_id, coalesce(wc.n, 0)::BIGINT AS n_words, coalesce(wc.chars, 0)::BIGINT AS word_chars,

@@ -1,5 +1,6 @@
 """Operators that SQL can express, against their oracles, and their odd inputs."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,12 @@ def test_pages_that_share_long_words_in_a_footer_only_are_depleted(spark):
     got = [(r["doc_id"], r["removed_words"], r["kept"]) for r in line_quality.line_quality(docs).orderBy("doc_id").collect()]
     assert got == [(i, 60, False) for i in range(30)] + [(100, 0, True)] + [(200, 0, True)] * 30
     assert {r["doc_id"] for r in line_quality.keep_quality(docs).collect()} == {100, 200}
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toPandas())
+    cur = con.execute(ORACLES["op2_line_frequency"])
+    cols = [d[0] for d in cur.description]
+    query = line_quality.line_quality(docs).select(*cols)
+    assert not compare(query.columns, [tuple(r) for r in query.collect()], cols, cur.fetchall())
 
 
 def test_quality_of_odd_rows(spark):
