@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevo.llm.common import read
-from relevo.llm.tokens import BYTE_BPE, byte_bpe, text_blocks
+from relevo.llm.tokens import BYTE_BPE, byte_bpe, sized_blocks
 from relevo.session import write_shared
 
 CAPACITY, END_ID = 1024, 2
@@ -132,19 +132,22 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> Patterns:
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
-        end = np.array([end_id], dtype="<u4")
-        for b in text_blocks(batches):
-            rows = []
-            for row, x in enumerate(byte_bpe(path).encode(b["text"].to_pylist())):
-                ids = np.concatenate([x, end])
-                first = (len(ids) - 1) % capacity + 1
-                cuts = [0, *range(first, len(ids) + 1, capacity)]
-                rows += [(row, k, s, e - s, zlib.crc32(ids[s:e].tobytes()))
-                         for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:]))]
-            row, piece, start, length, crc = (np.array(c, dtype=np.int64) for c in zip(*rows))
+        for b in sized_blocks(batches):
+            ids, edges = byte_bpe(path).encode(b["text"])
+            n = np.diff(edges) + 1  # with the end id
+            pieces = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = ((n - 1) % capacity + 1)[row]
+            start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+            stop = first + piece * capacity
+            ended = np.insert(ids, edges[1:], np.uint32(end_id)).astype("<u4", copy=False)
+            at = memoryview(ended).cast("B")
+            base = 4 * (edges[:-1] + np.arange(len(n)))[row]
+            crc = [zlib.crc32(at[s:e]) for s, e in zip((base + 4 * start).tolist(), (base + 4 * stop).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
-                 pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                [b["doc_id"].take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(stop - start),
+                 pa.array(crc, type=pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
     return run
 
 
@@ -160,11 +163,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: as few sequences of at most ``capacity`` as the method finds.
 
     ``length`` must be 1 to ``capacity``. Rows that repeat a piece each get a
-    place. Lengths with many pieces are ranked in salted groups.
+    place. A piece of ``capacity`` fills a sequence of its own, numbered by its
+    row; other lengths with many pieces are ranked in salted groups.
     """
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALT))
-    counted = pieces.groupBy("length", salt.alias("salt")).agg(F.count("*").alias("n"))
+    rest = pieces.where(F.col("length") < capacity)
+    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
+    salt = F.pmod(F.xxhash64(*order), F.lit(SALT))
+    counted = rest.groupBy("length", salt.alias("salt")).agg(F.count("*").alias("n"))
     groups = counted.collect()  # at most capacity x SALT rows
     sizes: Counter = Counter()
     base = []
@@ -183,13 +189,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bases = F.broadcast(spark.createDataFrame(base, "length_ bigint, salt_ bigint, base bigint"))
     plan = F.broadcast(spark.createDataFrame(
         slots, "length_ bigint, first bigint, stop bigint, sequence bigint, offset bigint"))
-    w = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = (pieces.withColumn("salt", salt).withColumn("k", F.row_number().over(w) - 1)
+    w = Window.partitionBy("length", "salt").orderBy(*order)
+    ranked = (rest.withColumn("salt", salt).withColumn("k", F.row_number().over(w) - 1)
               .join(bases, (F.col("length") == F.col("length_")) & (F.col("salt") == F.col("salt_")))
               .withColumn("k", F.col("k") + F.col("base")).drop("length_", "salt_", "base", "salt"))
     placed = ranked.join(plan, (F.col("length") == F.col("length_")) & (F.col("k") >= F.col("first"))
                          & (F.col("k") < F.col("stop")))
-    return placed.select(*pieces.columns, (F.col("sequence") + F.col("k") - F.col("first")).alias("sequence_id"), "offset")
+    full = pieces.where(F.col("length") == capacity).select(
+        *pieces.columns, (F.lit(at) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.select(*pieces.columns, (F.col("sequence") + F.col("k") - F.col("first")).alias("sequence_id"),
+                         "offset").union(full)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

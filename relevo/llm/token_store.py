@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevo.llm.common import read
-from relevo.llm.tokens import BYTE_BPE, byte_bpe, text_blocks
+from relevo.llm.tokens import BYTE_BPE, byte_bpe, sized_blocks
 from relevo.session import shared_path
 
 #: Bytes of a row group and of a page, and rows of a page.
@@ -30,15 +30,13 @@ END_ID = 0
 def _tokenise(path: str, end_id: int):
     def run(batches):
         shard, at = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4")
-        for b in text_blocks(batches):
-            ids = [np.concatenate([x, end]) for x in byte_bpe(path).encode(b["text"].to_pylist())]
-            n = np.array([len(x) for x in ids], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n)])
+        for b in sized_blocks(batches):
+            ids, edges = byte_bpe(path).encode(b["text"])
+            offsets = edges + np.arange(len(edges))
+            flat = np.insert(ids, edges[1:], np.uint32(end_id)).astype("<u4", copy=False)
             yield pa.RecordBatch.from_arrays([
-                b["doc_id"], pa.array(np.full(len(ids), shard, dtype=np.int32)), pa.array(n),
-                pa.array(at + offsets[:-1]),
-                pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(np.concatenate(ids).view("<i4")))],
+                b["doc_id"], pa.array(np.full(b.num_rows, shard, dtype=np.int32)), pa.array(np.diff(offsets)),
+                pa.array(at + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(flat.view("<i4")))],
                 names=["doc_id", "shard", "n_tokens", "shard_start", "tokens"])
             at += int(offsets[-1])
     return run

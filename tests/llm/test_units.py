@@ -5,13 +5,15 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
+from tokenizers import Tokenizer
 
 from relevo.llm import ctw, line_dedup, packing, piece_codec, sketch, trie
 from relevo.llm.hashing import BLOCK, window_hashes, word_hashes
-from relevo.llm.tokens import ByteBpe
+from relevo.llm.tokens import BYTE_BPE, ByteBpe, sized_blocks
 from tests.llm.helpers import Groups, edit_distance
 
 SIGNS = ["a", "foo", "The", " ", " ", "\n", "\t", "  ", ".", ",", ". ", ", ", ".\n", "'s", '"', ")", "3", "14", "é", "ß", "日本", "_",
@@ -24,10 +26,24 @@ def texts(seed, n, longest=14):
 
 
 def test_units_give_the_whole_texts_ids():
-    bpe = ByteBpe(cache_chars=2000)
-    for t in texts(1, 4000):
-        assert bpe.encode([t])[0].tolist() == bpe.tokenizer.encode(t, add_special_tokens=False).ids, t
-    assert [len(x) for x in bpe.encode([None, ""])] == [0, 0]
+    for plain in (False, True):
+        bpe, sample = ByteBpe(plain=plain, cache_units=500), [None, "", "<|endoftext|>", "a  <|endoftext|>  b", *texts(1, 6000)]
+        library = Tokenizer.from_file(BYTE_BPE)
+        library.encode_special_tokens = plain
+        for at in range(0, len(sample), 50):
+            part = sample[at:at + 50]
+            ids, edges = bpe.encode(pa.array(part, type=pa.string()))
+            for t, a, b in zip(part, edges, edges[1:]):
+                assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+        assert bpe.old and len(bpe.known) < 2000
+        assert [len(x) for x in bpe.encode(pa.array([], type=pa.string()))] == [0, 1]
+
+
+def test_blocks_of_bytes_keep_every_row():
+    batch = pa.RecordBatch.from_pydict({"text": ["é" * 40, None, "", "a" * 500, "b", "c" * 99]})
+    cut = list(sized_blocks([batch, batch.slice(2, 3), batch.slice(0, 0)], 100))
+    assert [b.num_rows for b in cut] == [3, 1, 2, 1, 1, 1]
+    assert [t for b in cut for t in b["text"].to_pylist()] == batch["text"].to_pylist() + batch["text"].to_pylist()[2:5]
 
 
 def test_pieces_and_spans():
