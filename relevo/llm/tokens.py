@@ -142,7 +142,7 @@ class ByteBpe(Units):
     a text that holds one is a single unit.
     """
 
-    def __init__(self, path: str = BYTE_BPE, plain: bool = False, cache_units: int = 300_000):
+    def __init__(self, path: str = BYTE_BPE, plain: bool = False, cache_units: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -185,7 +185,7 @@ def text_blocks(batches, rows: int = 128):
             yield b.slice(at, rows)
 
 
-def sized_blocks(batches, size: int = 4 << 20, column: str = "text"):
+def sized_blocks(batches, size: int = 2 << 20, column: str = "text"):
     """Record batches cut to about ``size`` bytes of text (one text at least)."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False))

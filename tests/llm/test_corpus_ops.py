@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from relevo.llm import ctw, line_dedup, packing, piece_codec, prefix_join, sketch, token_store
+from relevo.llm import alignment, ctw, line_dedup, packing, piece_codec, prefix_join, ranked_search, sketch, token_store
 from relevo.llm.components import components
 from relevo.llm.registry import QUERIES
 from relevo.llm.tokens import BYTE_BPE
@@ -27,7 +28,6 @@ def docs():
 @pytest.fixture(scope="module")
 def bpe():
     t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -418,3 +418,155 @@ def test_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame, SF_SMALL).columns == frame.columns
         assert stage(spark, odd_docs(spark, []), SF_SMALL).count() == 0
+
+
+def test_line_texts_are_filtered_before_they_are_shuffled(spark):
+    docs = odd_docs(spark).select("doc_id", "text")
+    member = spark.createDataFrame([(1, 1)], "node bigint, root bigint")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = line_dedup.member_lines(docs, member)._jdf.queryExecution().executedPlan().toString()
+        texts = [x for x in plan.splitlines() if "content" in x or "getbit" in x]
+        first = next(i for i, x in enumerate(texts) if "getbit" in x)  # the tree is printed from its root
+        assert any("Exchange" in x for x in plan.splitlines()[:plan.splitlines().index(texts[first])])
+        assert "SortMergeJoin" not in plan and not any("Exchange" in x for x in texts[first:])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+# op13
+
+def aligned_by_library(pairs):
+    """Counts, links and group texts of each ``(id, text)`` from the libraries' own tokens, one at a time."""
+    a_lib = Tokenizer.from_file(BYTE_BPE)
+    a_lib.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.PIECE_MODEL)
+    shown = alignment.byte_level_bytes(BYTE_BPE)
+    a_bytes = lambda i: bytes(shown[0][shown[1][i]:shown[1][i] + shown[2][i]])
+    b_bytes = lambda i: bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
+    docs, linked_ids = [], Counter()
+    for i, text in pairs:
+        whole = (" " + (text or "")).encode()
+        a = a_lib.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = sp.encode(text) if text else []
+        if b"".join(map(a_bytes, a)) != whole or b"".join(map(b_bytes, b)) != whole:
+            a, b = [], []
+        ends = lambda ids, size: [sum(map(len, map(size, ids[:1])))] if len(ids) == 1 else list(np.cumsum([len(size(x)) for x in ids]))
+        a_ends, b_ends = ends(a, a_bytes), ends(b, b_bytes)
+        at = {e: k for k, e in enumerate(b_ends)}
+        cut = [(k, at[e]) for k, e in enumerate(a_ends) if e in at]
+        groups, p, q = [], 0, 0
+        for x, y in cut:
+            groups.append(",".join(map(str, a[p:x + 1])) + "|" + ",".join(map(str, b[q:y + 1])))
+            p, q = x + 1, y + 1
+        links = [(a[x], b[y]) for x, y in cut]
+        linked_ids.update(links)
+        docs.append((i, len(a), len(b), links, ";".join(groups)))
+    top = Counter()
+    for (_, y), n in linked_ids.items():
+        top[y] = max(top[y], n)
+    return [(i, n_a, n_b, len(links), len(links), sum(linked_ids[p] == top[p[1]] for p in links), sum(linked_ids[p] for p in links),
+             sha(g) if n_a else "") for i, n_a, n_b, links, g in docs]
+
+
+ALIGNED = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def test_alignment(spark, docs):
+    assert sorted(rows(QUERIES["op13_galloping_alignment"](spark, SF_SMALL), *ALIGNED)) == aligned_by_library(docs)
+
+
+def test_alignment_of_odd_rows(spark, monkeypatch):
+    got = Counter(rows(alignment.alignment_report(odd_docs(spark)), *ALIGNED))
+    assert got == Counter(aligned_by_library([r[:2] for r in ODD]))
+    assert alignment.alignment_report(odd_docs(spark, [])).count() == 0
+    full = {r["doc_id"]: r for r in alignment.align_tokens(odd_docs(spark)).where("doc_id IN (1, 4, 8)").collect()}
+    assert full[1]["a_ids"] == [] and full[1]["ends"] == []
+    text = " " + next(t for i, t, *_ in ODD if i == 8)
+    assert full[8]["a_stops"][-1] == len(full[8]["a_ids"]) and full[8]["b_stops"][-1] == len(full[8]["b_ids"])
+    assert full[8]["ends"][-1] == len(text.encode()) and len(full[4]["ends"]) == len(full[4]["b_stops"])
+
+
+def test_pairs_are_counted_over_all_chunks(spark, docs, monkeypatch):
+    rows_of = [d for d in docs if len(d[1]) < 400][:60] + [(10**6 + k, "the same words again.") for k in range(40)]
+    frame = spark.createDataFrame(rows_of, "doc_id bigint, text string").repartition(5)
+    assert sorted(rows(alignment.alignment_report(frame), *ALIGNED)) == sorted(aligned_by_library(rows_of))
+
+
+def test_galloping_finds_what_sets_find():
+    rng = np.random.default_rng(3)
+    for lane in (1, 2, 64):
+        alignment.LANE, before = lane, alignment.LANE
+        for _ in range(40):
+            lists = [[np.unique(rng.integers(0, rng.integers(1, 900), rng.integers(0, 300))) for _ in range(7)] for _ in "ab"]
+            flat = [np.concatenate(x) for x in lists]
+            edges = [np.concatenate([[0], np.cumsum([len(y) for y in x])]) for x in lists]
+            ia, ib = alignment.common_ends(flat[0], edges[0], flat[1], edges[1])
+            want = [(edges[0][k] + i, edges[1][k] + j) for k, (x, y) in enumerate(zip(*lists))
+                    for i, v in enumerate(x) for j in np.flatnonzero(y == v)]
+            assert list(zip(ia, ib)) == want
+        alignment.LANE = before
+
+
+# op11
+
+def ranked_by_scoring_all(docs, items, k=50):
+    """Best documents of each item by scoring every document, one at a time."""
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    terms = {n: Counter(re.findall(ranked_search.TERM, lower(t))) for n, (_, t) in enumerate(docs)}
+    n_docs, n_terms = sum(1 for c in terms.values() if c), sum(sum(c.values()) for c in terms.values())
+    out = []
+    for item, text in items:
+        weights = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
+                   for t in set(re.findall(ranked_search.TERM, lower(text))) if (df := sum(t in c for c in terms.values()))}
+        scores = []
+        for n, c in terms.items():
+            m = 50 + 50 * sum(c.values()) * n_docs // n_terms if n_terms else 0
+            s = sum(w * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t, w in weights.items() if t in c)
+            if s > 0:
+                scores.append((-s, docs[n][0] is None, docs[n][0] or 0))
+        out += [(item, r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def test_ranked_search_of_odd_rows(spark, monkeypatch):
+    items = [(1, "Word same line; of text"), (2, None), (3, "..."), (4, "ñandú 日本語 and5 word3 nowhere"), (1, "Word same line; of text"),
+             (None, "tail id")]
+    asked = spark.createDataFrame([(*i, "clash", 1) for i in items], "item_id long, text string, doc_id string, number int")
+    want = Counter(ranked_by_scoring_all([r[:2] for r in ODD], items, 5))
+    for block in (200_000, 3):
+        monkeypatch.setattr(ranked_search, "BLOCK_TERMS", block)
+        assert Counter(rows(ranked_search.rank_documents(odd_docs(spark), asked, 5), "item_id", "rank", "doc_id", "score")) == want
+    assert ranked_search.rank_documents(odd_docs(spark, []), asked).count() == 0
+    assert ranked_search.rank_documents(odd_docs(spark), asked.limit(0)).count() == 0
+
+
+def test_ranked_search_of_ties_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ranked_search, "SHARD_DOCS", 37)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"t{min(40, int(x))}" for x in rng.zipf(1.5, rng.integers(0, 30))) for _ in range(60)]
+    pairs = [(int(i), texts[rng.integers(0, 60)]) for i in rng.permutation(400)]
+    items = [(k, " ".join(f"t{x}" for x in rng.integers(1, 42, 6))) for k in range(15)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    got = ranked_search.rank_documents(docs, spark.createDataFrame(items, "item_id long, text string"), 20)
+    assert sorted(rows(got, "item_id", "rank", "doc_id", "score")) == sorted(ranked_by_scoring_all(pairs, items, 20))
+
+
+def test_search_scores_far_fewer_than_all():
+    rng = np.random.default_rng(5)
+    docs = [np.flatnonzero(rng.random(5000) < p) for p in (0.9, 0.5, 0.02, 0.01, 0.0004)]
+    sizes = np.array([len(d) for d in docs])
+    impacts = rng.integers(1, 1000, sizes.sum())
+    shard = ranked_search.Shard(np.concatenate(docs), impacts, np.cumsum(sizes) - sizes, sizes)
+    weights = np.array([10, 300, 4000, 5000, 9000])
+    full, at = np.zeros(5000, dtype=np.int64), 0
+    for d, w in zip(docs, weights):
+        full[d] += impacts[at:at + len(d)] * w
+        at += len(d)
+    taken, find = [], shard.find
+    shard.find = lambda low, high, doc: taken.append(len(doc)) or find(low, high, doc)
+    for batch in (1, 2, 5, 7, 64):
+        taken.clear()
+        scores, places = shard.search(np.arange(5), weights, 10, batch)
+        order = np.lexsort((np.arange(5000), -full))[:10]
+        assert scores.tolist() == full[order].tolist() and places.tolist() == order.tolist() and sum(taken) < 1200
