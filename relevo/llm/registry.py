@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relevo.llm import (alignment, ctw, line_dedup, line_quality, packing, perspectives, piece_codec, prefix_join, ranked_search,
-                        sketch, token_store, url_filter)
+                        secret_tagger, sketch, token_store, url_filter)
 from relevo.session import ensure_checkpoint_dir
 
 _MODULES = (line_dedup, line_quality, piece_codec, packing, token_store, url_filter, ctw, sketch, prefix_join,
-            perspectives, ranked_search, alignment)
+            perspectives, ranked_search, secret_tagger, alignment)
 
 
 def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
