@@ -1,65 +1,90 @@
 """Exact passage containment: which documents contain a passage verbatim.
 
 Used to derive judged relevance (qrels) from benchmark passages embedded in
-documents. A brute-force check compares every passage with every document;
-instead each passage is anchored on something that any document containing it
-must contain, candidates come from an equi-join on the anchor, and an exact
-substring test verifies them. The anchor of a passage with three or more word
-tokens is its longest *interior* token (a separator on both sides inside the
-passage makes it a complete token of the document); that of a shorter passage
-is its first three characters (fewer, where it is shorter). Anchors meet the
-distinct tokens of the documents, so only matching (document, anchor) ids
-reach the verification; which side is broadcast is Spark's choice.
+documents. All passages are looked for at once: an Aho-Corasick automaton
+over them reads each document one time, where the document is, and reports
+every passage that ends at a character, nested and overlapping ones too. So
+no text is shuffled and a passage that most documents hold costs its hits
+only. The passages are cut into blocks of bounded size, with an automaton
+for each, so what a task is sent and holds does not grow with their number.
+Hits are ``(document, passage key)`` and meet the passage ids by key.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relevo.functions.text import word_tokens
 from relevo.operators.util import spread
+from relevo.session import write_shared
 from relevo.sources import tables as T
 
-GRAM = 3
+#: Characters of the passages of one automaton (a longer passage has one of its own).
+BLOCK_CHARS = 1_000_000
+#: The automaton of the last block a Python worker met.
+_built: dict[str, object] = {}
+
+
+def _key(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()[:32]
+
+
+def _automaton(name: str, texts: list[str]):
+    if name not in _built:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for t in texts:
+            made.add_word(t, _key(t))
+        made.make_automaton()
+        _built.clear()
+        _built[name] = made
+    return _built[name]
+
+
+def _scan(texts: list[str]):
+    """Distinct passages of every document: ``(doc_id, key)``."""
+    name = uuid.uuid4().hex
+
+    def run(batches):
+        found = _automaton(name, texts)
+        for b in batches:
+            rows, keys = [], []
+            for row, text in enumerate(b["text"].to_pylist()):
+                hits = {key for _, key in found.iter(text)} if text else ()
+                rows += [row] * len(hits)
+                keys += hits
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(rows, type=pa.int64())), pa.array(keys, type=pa.string())],
+                                             names=["doc_id", "key"])
+    return run
 
 
 def containment_pairs(passages: DataFrame, docs: DataFrame, pid: str = "pid", ptext: str = "ptext",
                       did: str = "doc_id", dtext: str = "text") -> DataFrame:
-    """``(pid, doc_id)`` for every document whose text contains the passage text.
+    """``(pid, doc_id)`` for every document row whose text contains the passage text.
 
-    NULL and empty passages are in no document.
+    NULL and empty passages are in no document; NULL and empty texts hold none.
     """
-    p = (passages.select(F.col(pid).alias("pid"), F.col(ptext).alias("ptext")).where(F.length("ptext") > 0)
-         .withColumn("_tok", word_tokens("ptext")).withColumn("_n", F.size("_tok")))
-    d = spread(docs.select(F.col(did).alias("doc_id"), F.col(dtext).alias("text")), "doc_id")
-    anchored = p.where(F.col("_n") >= 3).select("pid", "ptext", _longest(F.slice("_tok", 2, F.col("_n") - 2)).alias("term"))
-    found = _verified(d, F.array_distinct(word_tokens("text")), anchored)
-    short = p.where(F.col("_n") < 3).select("pid", "ptext", F.substring("ptext", 1, GRAM).alias("term"))
-    if short.isEmpty():  # character anchors cost a row per distinct gram of every document
-        return found
-    return found.unionByName(_verified(d, F.array_distinct(_grams(F.col("text"))), short))
-
-
-def _longest(tokens):
-    """Longest token of an array (ties: alphabetically first)."""
-    keyed = F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("k"), t.alias("t")))
-    return F.array_min(keyed)["t"]
-
-
-def _grams(text):
-    """The pieces of one to ``GRAM`` characters of a text."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.flatten(F.transform(at, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in range(1, GRAM + 1)])))
-
-
-def _verified(d: DataFrame, terms, anchored: DataFrame) -> DataFrame:
-    # explode_outer + IS NOT NULL: a plain explode makes Catalyst add a
-    # size(...) > 0 filter that would tokenise every text twice
-    hits = (d.select("doc_id", F.explode_outer(terms).alias("term")).where(F.col("term").isNotNull())
-            .join(anchored.select("pid", "term").distinct(), "term").select("doc_id", "pid").distinct())
-    return (d.join(hits, "doc_id").join(anchored.select("pid", "ptext").distinct(), "pid")
-            .where(F.col("text").contains(F.col("ptext"))).select("pid", "doc_id"))
+    p = write_shared(passages.select(F.col(pid).alias("pid"), F.col(ptext).alias("ptext")).where(F.length("ptext") > 0)
+                     .withColumn("key", F.substring(F.sha2("ptext", 256), 1, 32)), "passages")
+    unique = p.select("key", "ptext").dropDuplicates(["key"])
+    blocks = -(-(unique.agg(F.sum(F.length("ptext"))).first()[0] or 0) // BLOCK_CHARS)
+    kind = docs.schema[did].dataType.simpleString()
+    texts = spread(docs.select(F.col(did).alias("doc_id"), F.col(dtext).alias("text")), "doc_id")
+    hits = []
+    for block in range(max(1, blocks)):
+        mine = unique if blocks <= 1 else unique.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
+        held = [r["ptext"] for r in mine.select("ptext").collect()]  # bounded by the block
+        if held:
+            hits.append(texts.mapInArrow(_scan(held), f"doc_id {kind}, key string"))
+    if not hits:
+        return texts.join(p, F.lit(False)).select("pid", "doc_id")
+    return reduce(DataFrame.union, hits).join(p.select("pid", "key"), "key").select("pid", "doc_id")
 
 
 def qrels_by_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,13 +33,18 @@ def top_k(df: DataFrame, k: int, partition: list[str] | str, order: list, name:
             .withColumn(name, F.col(name).cast("long")))
 
 
+#: Tables up to this size are hash-spread before text work.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a table that is one or two files over the cores.
+    """Hash-spread a small table over the cores.
 
     A file with one large row group is read by a single task, which
-    serialises text work. Tables of more files are returned as they are: their
-    scan has splits of its own, and shuffling their texts would cost more.
+    serialises text work. Tables estimated at more than ``SPREAD_BYTES`` are
+    returned as they are: their scan has splits of its own, and shuffling
+    their texts would cost more.
     """
-    if len(df.inputFiles()) > 2:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
