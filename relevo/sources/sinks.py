@@ -62,6 +62,17 @@ def _versions(spark, path: str) -> list[str]:
     return sorted(out, key=lambda n: int(n[2:]))
 
 
+def versions(spark, path: str) -> list[int]:
+    """Numbers of the committed versions under ``path``, ascending."""
+    return [int(n[2:]) for n in _versions(spark, path)]
+
+
+def delete_path(spark, path: str) -> None:
+    """Delete a folder of a sink that nothing refers to any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def latest_version(spark, path: str, below: int | None = None) -> str | None:
     v = _versions(spark, path)
     if below is not None:
