@@ -7,8 +7,14 @@ exploded when a relational step (join, aggregate) needs them.
 
 from __future__ import annotations
 
+import glob
+import os
 import re
+import zipfile
+from functools import lru_cache
 
+import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,23 +51,39 @@ def analyze(df: DataFrame, id_col: str, text_col: str, mode: str = "word",
     return x.withColumn("pos", F.col("pos").cast("long"))
 
 
+#: Language codes and the names of the lists that come with Spark ML.
+STOP_LISTS = {"fr": "french", "de": "german", "es": "spanish"}
+
+
+@lru_cache(maxsize=1)
+def stop_lists() -> tuple[tuple[str, str], ...]:
+    """``(lang, term)`` of all languages: the fixed English list, and Spark ML's default lists of the others
+    (read from its jar, so no session is needed)."""
+    jar = glob.glob(os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
+    out = [("en", w) for w in STOPWORDS_EN]
+    with zipfile.ZipFile(jar) as z:
+        for lang, name in STOP_LISTS.items():
+            text = z.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode()
+            out += [(lang, w) for w in sorted({x.strip().lower() for x in text.splitlines() if x.strip()})]
+    return tuple(out)
+
+
 def stopword_table(spark: SparkSession, words=None, lang: str = "en") -> DataFrame:
-    """A ``(lang, term)`` stop table; default is the English list (A2)."""
-    words = STOPWORDS_EN if words is None else words
-    return spark.createDataFrame([(lang, w.lower()) for w in words], "lang string, term string")
+    """A ``(lang, term)`` stop table; default are the lists of all languages, else ``words`` of ``lang`` (A2)."""
+    rows = list(stop_lists()) if words is None else [(lang, w.lower()) for w in words]
+    return spark.createDataFrame(rows, "lang string, term string")
 
 
 def remove_stopwords(tokens: DataFrame, stops: DataFrame, lang_col: str | None = None) -> DataFrame:
-    """Drop tokens found in the stop table, ignoring case (A2).
+    """Drop tokens found in the stop table, ignoring case (A2); with ``lang_col``, in the list of their language.
 
-    The stop table is a fixed resource list (bounded), so it is broadcast and
-    the anti-join runs map-side without shuffling the token stream.
+    Whether the stop table is broadcast is Spark's choice by its size.
     """
     s = stops.select(F.lower("term").alias("_stop"), F.col("lang").alias("_slang")).distinct()
     cond = F.col("term") == F.col("_stop")
     if lang_col:
         cond = cond & (F.col(lang_col) == F.col("_slang"))
-    return tokens.join(F.broadcast(s), cond, "left_anti")
+    return tokens.join(s, cond, "left_anti")
 
 
 def parse_synonyms(rules=None) -> list[tuple[str, str]]:
@@ -97,15 +119,81 @@ def synonym_table(spark: SparkSession, rules=None) -> DataFrame:
 def expand_synonyms(query_terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Replace each query term by its synonym expansion; unmatched terms stay (A3).
 
-    ``query_terms`` has ``(query_id, term, ...)``; the synonym table is a fixed
-    resource (bounded) and is broadcast.
+    ``query_terms`` has ``(query_id, term, ...)``; whether the synonym table is
+    broadcast is Spark's choice by its size. Rules of several words:
+    ``expand_phrases``.
     """
-    syn = F.broadcast(synonyms.select(F.col("lhs").alias("_lhs"), F.col("rhs").alias("_rhs")))
+    syn = synonyms.select(F.col("lhs").alias("_lhs"), F.col("rhs").alias("_rhs"))
     joined = query_terms.join(syn, F.col("term") == F.col("_lhs"), "left")
     return (joined.withColumn("term", F.coalesce(F.col("_rhs"), F.col("term")))
             .drop("_lhs", "_rhs"))
 
 
+def parse_phrases(rules=None) -> dict[tuple[str, ...], list[tuple[str, ...]]]:
+    """Synonym rules with whole word sequences: left side -> its alternatives, in the order of the rules.
+
+    ``a b, c`` is an equivalence group; ``a b => c d, e`` replaces the sequence
+    ``a b`` by ``c d`` or ``e``. Rules with the same left side add up.
+    """
+    out: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    for rule in SYNONYM_RULES if rules is None else rules:
+        rule = rule.strip()
+        if not rule or rule.startswith("#"):
+            continue
+        sides = [[tuple(part.lower().split()) for part in side.split(",") if part.strip()] for side in rule.split("=>", 1)]
+        for left in sides[0]:
+            known = out.setdefault(left, [])
+            known += [right for right in sides[-1] if right not in known]
+    return out
+
+
+def _trie(rules: dict) -> dict:
+    root: dict = {}
+    for left, rights in rules.items():
+        node = root
+        for word in left:
+            node = node.setdefault(word, {})
+        node[None] = rights
+    return root
+
+
+def expand_phrases(df: DataFrame, rules=None, id_col: str = "query_id", text_col: str = "query_text", mode: str = "word") -> DataFrame:
+    """Synonym rules of several words, positions kept (A3): ``(id, pos, span, alt, part, term)``.
+
+    Texts are read from the left; at each token the longest left side that
+    matches is taken (a trie over the words of all rules) and the reading goes on after it. A
+    match of ``span`` tokens at ``pos`` gives the ``part``-th word of its ``alt``-th
+    alternative a row each; another token is its own. Null and empty texts give no row.
+    """
+    root = _trie(parse_phrases(rules))
+
+    def expand(tokens: list[str]):
+        at = 0
+        while at < len(tokens):
+            node, span, rights, k = root, 1, [(tokens[at],)], at
+            while k < len(tokens) and (node := node.get(tokens[k])) is not None:
+                k += 1
+                if None in node:
+                    span, rights = k - at, node[None]
+            for alt, right in enumerate(rights):
+                for part, term in enumerate(right):
+                    yield at, span, alt, part, term
+            at += span
+
+    def run(batches):
+        for b in batches:
+            rows = [(row, *x) for row, tokens in enumerate(b["tokens"].to_pylist()) for x in expand(tokens or [])]
+            row, pos, span, alt, part, term = zip(*rows) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays(
+                [b[id_col].take(pa.array(row, type=pa.int64())), pa.array(pos, type=pa.int64()), pa.array(span, type=pa.int64()),
+                 pa.array(alt, type=pa.int32()), pa.array(part, type=pa.int32()), pa.array(term, type=pa.string())],
+                names=[id_col, "pos", "span", "alt", "part", "term"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, token_array(F.col(text_col), mode).alias("tokens")).mapInArrow(
+        run, f"{id_col} {kind}, pos bigint, span bigint, alt int, part int, term string")
+
+
 def distinct_terms(text, mode: str = "word"):
     """De-duplicated tokens of a text."""
     return F.array_distinct(token_array(text, mode))

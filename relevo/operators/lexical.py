@@ -29,6 +29,8 @@ from relevo.session import write_shared
 from relevo.operators.util import let, spread, top_k
 
 SCORE_DIGITS = 9
+#: (query, term) rows from which candidates are pruned by bounds, and the share by which a bound may be off through rounding.
+PRUNE_FROM, SLACK = 20_000, 1e-9
 
 
 @dataclass
@@ -119,59 +121,177 @@ def _sum_scores(contrib: DataFrame) -> DataFrame:
         F.max("nq").alias("n_query_terms"))
 
 
-def bm25(qterms: DataFrame, index: LexicalIndex, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Matching ``(query_id, doc_id, score, matched, n_query_terms)`` pairs (L3).
-
-    ``matched`` is the number of distinct query terms found in the document,
-    ``n_query_terms`` the number of distinct terms of the query. The
-    per-(query, term) weights are written once, so Spark knows their size and
-    broadcasts them only below its own threshold. The postings are
-    partitioned by ``doc_id``, which the sum per (query, document) keeps:
-    with ``retrieve`` on top, pairs are cut to k per query before any shuffle.
-    """
+def _weights(qterms: DataFrame, index: LexicalIndex) -> DataFrame:
+    """``(query_id, term, nq, w)``, written once, so Spark knows its size and broadcasts it only below its own threshold."""
     n_docs = index.stats.select(F.col("n_docs").cast("double")).scalar()
-    avgdl = index.stats.select("avgdl").scalar()
-    post = index.postings
     if index.dfreq is not None:
         dfreq = index.dfreq.select("term", F.col("df").cast("double").alias("df"))
     else:
-        dfreq = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+        dfreq = index.postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     nq = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    weights = write_shared(qterms.withColumn("nq", nq).join(dfreq, "term").select(
+    return write_shared(qterms.withColumn("nq", nq).join(dfreq, "term").select(
         "query_id", "term", "nq", _idf(F.col("qtf"), n_docs, F.col("df")).alias("w")), "weights")
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
-    return _sum_scores(post.repartition("doc_id").join(weights, "term").select(
+
+
+def _share(index: LexicalIndex, k1: float, b: float):
+    """The part of a term's weight that a posting earns, between 0 and 1."""
+    avgdl = index.stats.select("avgdl").scalar()
+    return F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl))
+
+
+def _bm25(weights: DataFrame, index: LexicalIndex, k1: float, b: float) -> DataFrame:
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / index.stats.select("avgdl").scalar())
+    return _sum_scores(index.postings.repartition("doc_id").join(weights, "term").select(
         "query_id", "doc_id", "nq", (F.col("w") * F.col("tf") / (F.col("tf") + norm)).alias("c")))
 
 
+def bm25(qterms: DataFrame, index: LexicalIndex, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Matching ``(query_id, doc_id, score, matched, n_query_terms)`` pairs (L3).
+
+    ``matched`` is the number of distinct query terms found in the document,
+    ``n_query_terms`` the number of distinct terms of the query. The postings
+    are partitioned by ``doc_id``; while the weights are small enough to be
+    broadcast, the sum per (query, document) keeps that partitioning, and
+    with ``retrieve`` on top, pairs are cut to k per query before any shuffle.
+    For query tables beyond that, see ``top_documents``.
+    """
+    return _bm25(_weights(qterms, index), index, k1, b)
+
+
+def top_documents(qterms: DataFrame, index: LexicalIndex, k: int = K_RECALL, k1: float = BM25_K1, b: float = BM25_B,
+                  seeds: int = 2, weights: DataFrame | None = None) -> DataFrame:
+    """``retrieve(bm25(...), k)`` without summing the documents that cannot be among a query's best k (L3, L4).
+
+    A term earns a query at most its weight times the largest share among its
+    postings. (1) The ``seeds`` terms with the highest such bounds are summed
+    first: the k-th best of these partial scores is a score that the k best
+    reach. (2) A query's terms are ordered by their bounds, lowest first; the
+    leading ones whose bounds together stay below that score are optional: a
+    document with no other term is out. (3) The other, essential terms
+    are summed, and documents that cannot reach the score with all optional terms
+    added are cut. (4) Only for those left are the optional terms looked up, by
+    (document, term). Equal to the full sum for any k; no cap on candidates.
+    """
+    w = _weights(qterms, index) if weights is None else weights
+    post = index.postings.select("doc_id", "term", _share(index, k1, b).alias("share"))
+    bound = F.col("w") * F.col("top")
+    bounded = write_shared(w.join(post.groupBy(F.col("term").alias("t")).agg(F.max("share").alias("top")),
+                                  F.col("term") == F.col("t")).select("query_id", "term", "nq", "w", bound.alias("u")), "bounds")
+    first = top_k(bounded, seeds, "query_id", [F.col("u").desc(), F.col("term")], "r").select("query_id", "term", "w")
+    partial = (post.join(first, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("share")).alias("s")))
+    reached = (top_k(partial, k, "query_id", [F.col("s").desc(), F.col("doc_id")], "r").groupBy(F.col("query_id").alias("q"))
+               .agg(F.when(F.count("*") >= k, F.min("s") * (1 - SLACK)).otherwise(0.0).alias("least")))
+    so_far = F.sum("u").over(Window.partitionBy("query_id").orderBy("u", "term").rowsBetween(Window.unboundedPreceding, 0))
+    split = write_shared(bounded.withColumn("below", so_far).join(reached, F.col("query_id") == F.col("q"), "left").select(
+        "query_id", "term", "nq", "w", "u", F.coalesce("least", F.lit(0.0)).alias("least"),
+        (F.col("below") >= F.coalesce("least", F.lit(0.0))).alias("essential")), "terms")
+    optional = split.where(~F.col("essential"))
+    spare = optional.groupBy(F.col("query_id").alias("q")).agg(F.sum("u").alias("spare"))
+    essential = split.where("essential").join(spare, F.col("query_id") == F.col("q"), "left").select(
+        "query_id", "term", "nq", "w", "least", F.coalesce("spare", F.lit(0.0)).alias("spare"))
+    summed = (post.join(essential, "term").groupBy("query_id", "doc_id")
+              .agg(F.sum(F.col("w") * F.col("share")).alias("s"), F.count(F.lit(1)).alias("m"), F.max("nq").alias("n_query_terms"),
+                   F.max("least").alias("least"), F.max("spare").alias("spare")))
+    left = write_shared(summed.where(F.col("s") + F.col("spare") >= F.col("least")).drop("least", "spare"), "candidates")
+    asked = left.select("query_id", "doc_id").join(optional.select("query_id", "term", "w"), "query_id")
+    more = (asked.join(post, ["doc_id", "term"]).groupBy(F.col("query_id").alias("q"), F.col("doc_id").alias("d"))
+            .agg(F.sum(F.col("w") * F.col("share")).alias("s2"), F.count(F.lit(1)).alias("m2")))
+    total = (left.join(more, (F.col("query_id") == F.col("q")) & (F.col("doc_id") == F.col("d")), "left").select(
+        "query_id", "doc_id", F.round(F.col("s") + F.coalesce("s2", F.lit(0.0)), SCORE_DIGITS).alias("score"),
+        (F.col("m") + F.coalesce("m2", F.lit(0))).alias("matched"), "n_query_terms"))
+    return retrieve(total, k)
+
+
+def search(qterms: DataFrame, index: LexicalIndex, k: int = K_RECALL, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Top-k candidates of every query (L3 + L4): the full sum for small query tables, ``top_documents`` for
+    tables of more than ``PRUNE_FROM`` (query, term) rows. The results are the same."""
+    w = _weights(qterms, index)
+    if w.count() > PRUNE_FROM:
+        return top_documents(qterms, index, k, k1, b, weights=w)
+    return retrieve(_bm25(w, index, k1, b), k)
+
+
 # ---------------------------------------------------------------- persisted index
 def write_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "body",
                 mode: str = "word") -> str:
-    """Build and persist a full inverted index under ``path`` (L2).
+    """Build and persist a full inverted index under ``path`` (L2): its version 0.
 
-    ``postings``: ``(term, doc_id, dl, tf)`` range-partitioned and sorted by
+    ``postings/v=0``: ``(term, doc_id, dl, tf)`` range-partitioned and sorted by
     term, so a lookup of a few terms reads only the row groups whose term
-    range covers them (parquet min/max statistics); ``dfreq``: ``(term, df)``
-    sorted by term; ``stats``: one row ``(n_docs, total_terms, avgdl)``.
+    range covers them (parquet min/max statistics); ``dfreq/v=0``: ``(term, df)``
+    sorted by term; ``stats/v=0``: one row ``(n_docs, total_terms, avgdl)``.
     The term rows are written once and the three tables are derived from the
-    written copy.
+    written copy. ``update_index`` adds versions.
     """
     agg = write_shared(_term_rows(docs, id_col, text_col, mode, None), "index-build")
     post = agg.where(F.col("term").isNotNull())
+    _write_postings(post, f"{path}/postings/v=0")
+    _write_dfreq(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{path}/dfreq/v=0")
+    corpus_stats(agg.where(F.col("term").isNull()).select("dl")).write.mode("overwrite").parquet(f"{path}/stats/v=0")
+    return path
+
+
+def _write_postings(post: DataFrame, path: str) -> None:
     # range key (term, doc_id): a term holding a third of all postings still
     # spreads over several partitions; AQE merges the small ones by their bytes
     (post.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-     .select("term", "doc_id", "dl", "tf").write.mode("overwrite").parquet(f"{path}/postings"))
-    (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-     .repartitionByRange("term").sortWithinPartitions("term")
-     .write.mode("overwrite").parquet(f"{path}/dfreq"))
-    corpus_stats(agg.where(F.col("term").isNull()).select("dl")).write.mode("overwrite").parquet(f"{path}/stats")
+     .select("term", "doc_id", "dl", "tf").write.mode("overwrite").parquet(path))
+
+
+def _write_dfreq(dfreq: DataFrame, path: str) -> None:
+    dfreq.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def update_index(spark, path: str, changed: DataFrame, deleted: DataFrame | None = None, id_col: str = "id",
+                 text_col: str = "body", mode: str = "word") -> str:
+    """Bring a persisted index up to date from its changed documents alone.
+
+    ``changed``: new and altered documents, one row each; ``deleted``: ids
+    (``id_col``) that are gone. Only these texts are read. Their postings are appended as a
+    new version; ``gone/v=N`` lists their ids, and older postings of these ids
+    are left out by an anti-join when the index is opened. Document
+    frequencies and statistics change by the difference between their new and
+    their old postings. The statistics are written last: until then
+    readers see the version before, and a failed update is simply run again.
+    """
+    from relevo.sources.sinks import latest_version
+
+    n = int(latest_version(spark, f"{path}/stats").rsplit("v=", 1)[1]) + 1
+    now = open_index(spark, path)
+    rows = write_shared(_term_rows(changed, id_col, text_col, mode, None), "index-update")
+    ids = changed.select(F.col(id_col).alias("doc_id"))
+    if deleted is not None:
+        ids = ids.union(deleted.select(F.col(id_col).alias("doc_id")))
+    (ids.distinct().withColumn("below", F.lit(n))).write.mode("overwrite").parquet(f"{path}/gone/v={n}")
+    gone = spark.read.parquet(f"{path}/gone/v={n}").select("doc_id")
+    old = write_shared(now.postings.join(gone, "doc_id", "left_semi"), "index-replaced")
+    new = rows.where(F.col("term").isNotNull())
+    _write_postings(new, f"{path}/postings/v={n}")
+    by = lambda df, sign: df.groupBy("term").agg((F.count(F.lit(1)) * sign).alias("df"))
+    _write_dfreq(now.dfreq.unionByName(by(new, 1)).unionByName(by(old, -1)).groupBy("term")
+                 .agg(F.sum("df").alias("df")).where(F.col("df") > 0), f"{path}/dfreq/v={n}")
+    lengths = lambda df, sign: df.agg(F.lit(sign) * F.count(F.lit(1)), F.lit(sign) * F.coalesce(F.sum("dl"), F.lit(0))).first()
+    before = now.stats.first()
+    parts = [(before["n_docs"], before["total_terms"] or 0), lengths(rows.where("term IS NULL AND dl > 0"), 1),
+             lengths(old.select("doc_id", "dl").distinct(), -1)]
+    docs, terms = (sum(p[k] for p in parts) for k in (0, 1))
+    (spark.createDataFrame([(docs, terms, terms / docs if docs else None)], "n_docs bigint, total_terms bigint, avgdl double")
+     .coalesce(1).write.mode("overwrite").parquet(f"{path}/stats/v={n}"))
     return path
 
 
 def open_index(spark, path: str) -> LexicalIndex:
-    return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"),
-                        spark.read.parquet(f"{path}/dfreq"))
+    """The newest complete version of a persisted index."""
+    from relevo.sources.sinks import latest_version
+
+    stats = latest_version(spark, f"{path}/stats")
+    n = int(stats.rsplit("v=", 1)[1])
+    post = spark.read.option("basePath", f"{path}/postings").parquet(*[f"{path}/postings/v={v}" for v in range(n + 1)])
+    if n:
+        gone = (spark.read.parquet(*[f"{path}/gone/v={v}" for v in range(1, n + 1)])
+                .groupBy(F.col("doc_id").alias("_gone")).agg(F.max("below").alias("_below")))
+        post = post.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("v") < F.col("_below")), "left_anti")
+    return LexicalIndex(post.drop("v"), spark.read.parquet(stats), spark.read.parquet(f"{path}/dfreq/v={n}"))
 
 
 def lookup(index: LexicalIndex, qterms: DataFrame) -> LexicalIndex:

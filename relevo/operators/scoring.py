@@ -42,13 +42,13 @@ def logistic_scorer(weights: dict | None = None) -> Callable[[DataFrame], Column
 
 
 def pair_features(cands: DataFrame) -> DataFrame:
-    """Native pair features (SC2): ``coverage`` = matched query terms / query terms and,
-    where the document's ``n_doc_terms`` is given, ``cosine`` of the two term sets."""
+    """Native pair features (SC2): ``coverage`` = matched query terms / query terms; where the document's
+    ``n_doc_terms`` is given, ``cosine`` of the two term sets; where its length ``dl`` is given, ``log_length``."""
     out = cands.withColumn("coverage", F.col("matched").cast("double") / F.col("n_query_terms"))
     if "n_doc_terms" in cands.columns:
         size = F.sqrt(F.col("n_query_terms") * F.col("n_doc_terms"))
         out = out.withColumn("cosine", F.when(size > 0, F.col("matched") / size).otherwise(F.lit(0.0)))
-    return out
+    return out.withColumn("log_length", F.log(F.col("dl") + F.lit(1.0))) if "dl" in cands.columns else out
 
 
 def score_pairs(cands: DataFrame, scorer, out: str = "semantic", output_schema: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from relevo.operators import vectors as V
 from relevo.plans.oracle_search import PARAMS_CTES
 from relevo.plans.q_tables import _DIAGNOSE_SQL as DIAGNOSE_SQL
 from relevo.plans.q_tables import _ENRICH_SQL as ENRICH_SQL
-from relevo.plans.oracle_views import with_views
+from relevo.plans.oracle_views import with_views, words
 from relevo.plans.registry import register
 from relevo.session import shared_path
 from relevo.sources import readers as R
@@ -110,9 +110,23 @@ def q_stream_utility(spark, sf):
 
 
 # ---------------------------------------------------------------- models (V1, SC3, M3-M5, D3)
-@register("embed")
+_EMBED_SQL = with_views(f"""
+    SELECT c.id, CAST(i AS INTEGER) AS pos, coalesce(CASE WHEN s.norm > 0 THEN round(v.x / s.norm, 9) ELSE 0.0 END, 0.0) AS value
+    FROM corpus c CROSS JOIN range(64) r(i) LEFT JOIN v ON v.id = c.id AND v.slot = i LEFT JOIN s ON s.id = c.id""", "corpus", extra=[
+    ("tk", f"SELECT id, term, COUNT(*) AS tf FROM (SELECT id, unnest({words('body')}) AS term FROM corpus) t GROUP BY id, term"),
+    ("idf", f"""SELECT term, CAST(floor(ln((n + 1) / (COUNT(*) + 1)) * {V.IDF_SCALE}) AS BIGINT) AS idf
+                FROM tk, (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM corpus) c GROUP BY term, n"""),
+    ("v", """SELECT id, CAST('0x' || substr(md5(tk.term), 1, 7) AS BIGINT) % 64 AS slot,
+                    SUM(tf * idf * CASE WHEN CAST('0x' || substr(md5(tk.term), 8, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS x
+             FROM tk JOIN idf ON idf.term = tk.term GROUP BY ALL"""),
+    ("s", "SELECT id, sqrt(SUM(CAST(x AS DOUBLE) * CAST(x AS DOUBLE) ORDER BY slot)) AS norm FROM v GROUP BY id")])
+
+
+@register("embed", _EMBED_SQL)
 def q_embed(spark, sf):
-    return V.embed(T.corpus(spark, sf).select("id", "body"), "body", 64)
+    """Vectors of all texts, an element a row."""
+    made = V.embed(T.corpus(spark, sf).select("id", "body"), "body", 64)
+    return made.select("id", F.posexplode("vector").alias("pos", "value"))
 
 
 HEAD_H, HEAD_M = 4, 3
@@ -241,6 +255,50 @@ def q_run_pipeline(spark, sf):
     return table.select("id", "author", "subreddit", "label", "expertise_score", "utility_score")
 
 
+_runs: dict[tuple[str, str], str] = {}
+
+
+def _pipeline_out(spark, sf: str) -> str:
+    """The output folder of one pipeline run over ``sf``; the queries that read it back share the run."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _runs:
+        from relevo.plans.pipeline import run_pipeline
+
+        out = _scratch(spark, "pipeline")
+        run_pipeline(spark, sf, out, keywords=T.FIXTURE_KEYWORDS, train=False)
+        _runs[key] = out
+    return _runs[key]
+
+
+@register("pipeline_documents", with_views("SELECT CAST(id AS VARCHAR) AS id, title, body FROM posts", "posts"))
+def q_pipeline_documents(spark, sf):
+    """The document store that the pipeline wrote."""
+    return spark.read.parquet(K.latest_version(spark, f"{_pipeline_out(spark, sf)}/documents")).select("id", "title", "body")
+
+
+@register("pipeline_postings", with_views(f"""
+    SELECT doc_id, dl, term, COUNT(*) AS tf
+    FROM (SELECT CAST(id AS VARCHAR) AS doc_id, len(toks) AS dl, unnest(toks) AS term
+          FROM (SELECT id, {words('body')} AS toks FROM corpus) x) t
+    GROUP BY doc_id, dl, term""", "corpus"))
+def q_pipeline_postings(spark, sf):
+    """The inverted index that the pipeline wrote."""
+    from relevo.operators import lexical as L
+
+    return L.open_index(spark, f"{_pipeline_out(spark, sf)}/index").postings.select("doc_id", "dl", "term", "tf")
+
+
+@register("pipeline_params", with_views(
+    "SELECT expertise_min, expertise_max, utility_min, utility_max FROM params", "posts",
+    extra=[("enriched", f"SELECT * FROM ({ENRICH_SQL}) e"),
+           ("post_scores", "SELECT e.id, e.label, e.expertise_score, e.utility_score, p.body FROM enriched e JOIN posts p ON p.id = e.id"),
+           *PARAMS_CTES]))
+def q_pipeline_params(spark, sf):
+    """The normalisation parameters that the pipeline wrote."""
+    return R.read_norm_params(spark, f"{_pipeline_out(spark, sf)}/feature_norm_params").select(
+        "expertise_min", "expertise_max", "utility_min", "utility_max")
+
+
 @register("diagnose_with_canaries", "SELECT * FROM (" + DIAGNOSE_SQL + ") d UNION ALL SELECT 'canary_' || canary, semantic, "
           "CAST(CASE WHEN canary = 'relevant_high_features' THEN 0.5 ELSE 0.3 END AS DOUBLE), "
           "semantic < CASE WHEN canary = 'relevant_high_features' THEN 0.5 ELSE 0.3 END FROM ("

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relevo.functions.fixed import STOPWORDS_EN
 from relevo.functions.text import POSSESSIVE_PATTERN, elision_pattern
 from relevo.operators import analysis as A
 from relevo.operators import evaluation as E
@@ -64,7 +63,8 @@ def q_analyze_keyword(spark, sf):
     return A.analyze(T.paths(spark, sf), "page_id", "path", mode="keyword")
 
 
-_STOP_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('en', '{w}')" for w in STOPWORDS_EN) + ") s(lang, term)"
+_STOP_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{lang}', '{w.replace(chr(39), chr(39) * 2)}')" for lang, w in A.stop_lists()) + ") s(lang, term)"
 
 
 @register("remove_stopwords", with_views(f"""
@@ -83,6 +83,32 @@ def _syn_sql():
     return "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ") s(lhs, rhs)"
 
 
+_PHRASES = A.parse_phrases(T.FIXTURE_PHRASES)
+_PHRASE_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{' '.join(left)}', {alt}, {part}, '{term}')" for left, rights in sorted(_PHRASES.items())
+    for alt, right in enumerate(rights) for part, term in enumerate(right)) + ") s(lhs, alt, part, term)"
+_LEFT_SIDES = "[" + ", ".join(f"'{' '.join(left)}'" for left in sorted(_PHRASES)) + "]"
+_MATCHED = f"""list_max(list_transform(range(1, {max(map(len, _PHRASES)) + 1}), lambda k: CASE WHEN i + k - 1 <= len(toks)
+    AND list_contains({_LEFT_SIDES}, array_to_string(list_slice(toks, i, i + k - 1), ' ')) THEN k ELSE 0 END))"""
+
+
+@register("expand_phrases", f"""
+    WITH RECURSIVE corpus AS (SELECT doc_id AS id, text AS body FROM documents), rules AS ({_PHRASE_SQL}),
+    t AS (SELECT id, {words('body')} AS toks FROM corpus),
+    -- i: first token of a step (1-based), n: tokens of the rule that matches there (0: none)
+    step AS (SELECT id, toks, CAST(1 AS BIGINT) AS i FROM t WHERE len(toks) > 0),
+    walk AS (
+        SELECT id, toks, i, {_MATCHED} AS n FROM step
+        UNION ALL
+        SELECT id, toks, i, {_MATCHED} AS n FROM (SELECT id, toks, i + greatest(n, 1) AS i FROM walk) w WHERE i <= len(toks))
+    SELECT id, i - 1 AS pos, greatest(n, 1) AS span, coalesce(r.alt, 0) AS alt, coalesce(r.part, 0) AS part,
+           coalesce(r.term, toks[i]) AS term
+    FROM walk LEFT JOIN rules r ON n > 0 AND r.lhs = array_to_string(list_slice(toks, i, i + n - 1), ' ')""")
+def q_expand_phrases(spark, sf):
+    """Rules of several words over all texts, positions kept."""
+    return A.expand_phrases(T.corpus(spark, sf).select("id", "body"), T.FIXTURE_PHRASES, "id", "body")
+
+
 @register("expand_synonyms", with_views(f"""
     SELECT q.query_id, coalesce(s.rhs, q.term) AS term, q.qtf
     FROM (SELECT query_id, term, COUNT(*) AS qtf FROM
@@ -194,6 +220,13 @@ def q_retrieve(spark, sf):
     return L.retrieve(L.bm25(qt, idx), 50)
 
 
+@register("retrieve_pruned", with_views("SELECT * FROM cands", "queries", "corpus", extra=bm25_ctes() + [cands_cte(50)]))
+def q_retrieve_pruned(spark, sf):
+    """L3 + L4 with candidates cut by score bounds, the plan for large query tables."""
+    _, qt, idx = _index(spark, sf)
+    return L.top_documents(qt, idx, 50)
+
+
 @register("retrieve_indexed", with_views("SELECT * FROM cands", "queries", "corpus",
                                          extra=bm25_ctes() + [cands_cte(50)]))
 def q_retrieve_indexed(spark, sf):
@@ -320,10 +353,20 @@ def q_score_pairs(spark, sf):
     return ranked(spark, sf).select("query_id", "doc_id", "coverage", "expertise_score", "utility_score", "semantic")
 
 
-@register("pair_features", with_views("""SELECT query_id, doc_id, matched, n_query_terms, coverage FROM feat""",
-                                      "queries", "corpus", "post_scores", extra=search_ctes()))
+@register("pair_features", with_views("""
+    SELECT f.query_id, f.doc_id, f.matched, f.n_query_terms, f.coverage,
+           round(f.matched / sqrt(f.n_query_terms * len(list_distinct(dt.toks))), 12) AS cosine,
+           round(ln(len(dt.toks) + 1.0), 12) AS log_length
+    FROM feat f JOIN dt ON dt.doc_id = f.doc_id""", "queries", "corpus", "post_scores", extra=search_ctes()))
 def q_pair_features(spark, sf):
-    return ranked(spark, sf).select("query_id", "doc_id", "matched", "n_query_terms", "coverage")
+    """Pair features of all candidates; the documents' sizes travel with their stored features."""
+    tokens = A.token_array(F.col("body"))
+    sizes = T.corpus(spark, sf).select(F.col("id").alias("_id"), F.size(tokens).alias("dl"),
+                                       F.size(F.array_distinct(tokens)).alias("n_doc_terms"))
+    feats = _features(spark, sf).join(sizes, F.col("id") == F.col("_id")).drop("_id")
+    r = S.ranked_candidates(T.queries(spark, sf), T.corpus(spark, sf).select("id", "body"), feats, S.serving_params(spark, sf))
+    return r.select("query_id", "doc_id", "matched", "n_query_terms", "coverage", F.round("cosine", 12).alias("cosine"),
+                    F.round("log_length", 12).alias("log_length"))
 
 
 @register("compare_rankings", with_views("""

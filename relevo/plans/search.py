@@ -31,14 +31,13 @@ def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame
     H.check_alpha(alpha)
     qt = L.query_terms(queries)
     if synonyms is not None:
-        scored = L.bm25_synonyms(qt, synonyms, corpus)
+        cands = L.retrieve(L.bm25_synonyms(qt, synonyms, corpus), k_recall)
     else:
         if index is not None:
             idx = L.lookup(index, qt)
         else:
             idx = L.build_index(corpus, "id", "body", vocabulary=qt)
-        scored = L.bm25(qt, idx)
-    cands = L.retrieve(scored, k_recall)
+        cands = L.search(qt, idx, k_recall)
     # extra feature columns (e.g. inputs of an ML scorer) travel with the candidates
     feats = features.withColumnRenamed("id", "doc_id")
     cands = feats.join(cands, "doc_id")
@@ -107,7 +106,7 @@ def corpus_index(spark, sf_dir: str) -> L.LexicalIndex:
 
     key = source_key(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     path = shared_path(spark, "index", f"documents-{key}")
-    if not path_exists(spark, f"{path}/stats/_SUCCESS"):
+    if not path_exists(spark, f"{path}/stats/v=0/_SUCCESS"):
         L.write_index(T.corpus(spark, sf_dir).select("id", "body"), path)
     return L.open_index(spark, path)
 

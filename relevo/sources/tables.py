@@ -23,6 +23,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 FIXTURE_KEYWORDS = ["that the", "is and"]
 # Synonym rules over words that occur in the fixture texts, of both kinds.
 FIXTURE_SYNONYMS = ["the => of", "and, in, to", "that => thing and"]
+#: Rules of several words over words of the fixtures.
+FIXTURE_PHRASES = ["of the => about that thing, from", "of the in => inside", "de la, du", "the => that", "in, und der, dans le"]
 # Training cut-off inside the fixture's event span (2024-01-01 .. 2024-01-30).
 FIXTURE_CUTOFF = "2024-01-20 00:00:00"
 
