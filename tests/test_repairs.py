@@ -49,6 +49,7 @@ def test_upsert_prefers_the_incoming_row(spark):
 
 
 def test_second_pipeline_run_replaces_changed_documents(spark, tmp_path):
+    from relevo.operators.lexical import open_index
     from relevo.plans.pipeline import run_pipeline
 
     src, out = tmp_path / "sf", str(tmp_path / "out")
@@ -64,7 +65,7 @@ def test_second_pipeline_run_replaces_changed_documents(spark, tmp_path):
     rows = {r["id"]: r for r in store.collect()}
     assert len(rows) == docs.count() and rows["3"]["body"] == "aaa changed body"
     assert rows["3"]["ingest_seq"] == 1 and rows["100"]["ingest_seq"] == 0 and len(rows["100"]["content_vector"]) == 64
-    postings = spark.read.parquet(f"{out}/index/postings")
+    postings = open_index(spark, f"{out}/index").postings
     assert postings.select("doc_id").distinct().count() == store.where("body <> ''").count()
 
 
