@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -211,3 +212,13 @@ def test_kt_probability():
     for a, b in ((0, 0), (3, 1), (300, 5000), (0, 255), (256, 256)):
         want = math.lgamma(a + .5) + math.lgamma(b + .5) - 2 * math.lgamma(.5) - math.lgamma(a + b + 1)
         assert abs(ctw.log_kt(np.array([a * 1.0]), np.array([b * 1.0]))[0] - want) < 1e-9 * max(1, abs(want))
+
+
+def test_many_lines_that_share_a_segment_are_told_apart_quickly():
+    rng = random.Random(9)
+    lines = {k: "https://example.org/page" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(16)) for k in range(6000)}
+    lines |= {10_000 + k: lines[k][:30] + "#" + lines[k][31:] for k in range(0, 6000, 100)}
+    began = time.process_time()
+    links = line_dedup.linked_lines(lines)
+    assert sorted(tuple(sorted(x)) for x in links) == [(k, 10_000 + k) for k in range(0, 6000, 100)]
+    assert time.process_time() - began < 30
