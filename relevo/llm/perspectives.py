@@ -6,8 +6,10 @@ the characters to train on, which are the speaker's own words and end marks.
 System turns are context: they are nobody's perspective and keep their role.
 
 A long conversation is rendered in parts of at most ``PART_TURNS`` turns, one
-row each, whose offsets run on from part to part, so that no task ever holds
-a whole conversation. DataFrame functions only.
+row each, whose offsets run on from part to part. Texts are only ever grouped
+by part; the offsets are summed over narrow rows, one a part. (Turns of one
+conversation whose numbers fall into one range of ``PART_TURNS`` are ordered in
+one window: all of them, where they share one number.) DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,14 +18,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevo.llm.common import let, read
+from relevo.session import write_shared
 
 PART_TURNS = 256
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+#: Characters that end a line; a name holds none of them.
+LINE_ENDS = "\n\v\f\r\u0085\u2028\u2029"
+
+
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit("<|im_"), F.lit("<| im_"))
+
+
 def _header(role: Column, speaker: Column) -> Column:
+    name = _unmarked(F.translate(role, LINE_ENDS, " " * len(LINE_ENDS)))
     return (F.when(role == "system", F.lit("system")).when(role == speaker, F.lit("assistant"))
-            .otherwise(F.concat(F.lit("user name="), role)))
+            .otherwise(F.concat(F.lit("user name="), name)))
 
 
 def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
@@ -35,12 +47,14 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataF
     are one conversation of their own; a null turn stands just before turn 0;
     turns with equal numbers are ordered by role and text, and repeated rows
     stay repeated. Start and end marks inside
-    a text are broken by a space. Conversations without a participant other
+    a text or a name are broken by a space, and line ends in a name are spaces, so neither can
+    look like another header (the names of two speakers may read alike then; ``speaker`` is
+    the role as it is). Conversations without a participant other
     than ``system`` give no row.
     """
     clean = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("<| im_")).alias("text"))
+        _unmarked(F.coalesce("text", F.lit(""))).alias("text"))
     coarse = F.floor(F.coalesce("turn", F.lit(0)) / part_turns)
     w = Window.partitionBy("conv_id", "coarse").orderBy("at", "turn", "role", "text")
     parts = (clean.withColumns({"coarse": coarse, "at": F.coalesce("turn", F.lit(0))})
@@ -65,13 +79,17 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataF
         pieces, lambda ps: F.struct(
             F.concat_ws("", F.transform(ps, lambda p: F.concat(p["head"], p["text"], tail, F.lit("\n")))).alias("rendered"),
             F.aggregate(ps, zero, step).alias("m"))).alias("r"))
+    done = write_shared(done.select("conv_id", "speaker", "coarse", "fine", "n_turns", "r.rendered", F.col("r.m.at").alias("size"),
+                                    F.col("r.m.mask").alias("mask")), "renderings")
+    # the running sums see a narrow row a part; the texts meet them by the part's own key
     order = Window.partitionBy("conv_id", "speaker").orderBy("coarse", "fine")
-    before = F.coalesce(F.sum("r.m.at").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    return done.select(
-        "conv_id", "speaker", (F.row_number().over(order) - 1).alias("part"), before.alias("start"), "n_turns",
-        F.col("r.rendered").alias("rendered"), F.col("r.m.mask").alias("mask")).withColumn(
-        "mask", F.transform("mask", lambda m: F.struct((m["begin"] + F.col("start")).alias("begin"),
-                                                       (m["end"] + F.col("start")).alias("end"))))
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    keys = "conv_id", "speaker", "coarse", "fine"
+    placed = done.select(*keys, "size").select(
+        *[F.col(k).alias(f"at_{k}") for k in keys], (F.row_number().over(order) - 1).alias("part"), before.alias("start"))
+    same = [F.col(k).eqNullSafe(F.col(f"at_{k}")) for k in keys]
+    return done.join(placed, same).select("conv_id", "speaker", "part", "start", "n_turns", "rendered", F.transform(
+        "mask", lambda m: F.struct((m["begin"] + F.col("start")).alias("begin"), (m["end"] + F.col("start")).alias("end"))).alias("mask"))
 
 
 def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +99,7 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", F.transform("mask", lambda m: F.concat_ws("-", m["begin"], m["end"]))).alias("mask"))
 
 
+_SQL_ENDS = " || ".join(f"chr({ord(c)})" for c in LINE_ENDS)
 _SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
                   replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations),
@@ -90,7 +109,7 @@ n AS (SELECT *, floor(coalesce(turn, 0) / {PART_TURNS}) AS coarse,
                                  ORDER BY coalesce(turn, 0), turn NULLS FIRST, role, text) - 1) // {PART_TURNS} AS fine,
              row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, 0), turn NULLS FIRST, role, text) AS k FROM t),
 p AS (SELECT n.*, s.speaker, '{START}' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
-             ELSE 'user name=' || role END || chr(10) AS head
+             ELSE 'user name=' || replace(translate(role, {_SQL_ENDS}, '{' ' * len(LINE_ENDS)}'), '<|im_', '<| im_') END || chr(10) AS head
       FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id),
 o AS (SELECT *, sum(length(head) + length(text) + {len(END) + 1}) OVER (PARTITION BY conv_id, speaker ORDER BY k) AS stop FROM p),
 g AS (SELECT conv_id, speaker, coarse, fine, count(*)::INTEGER AS n_turns,
