@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from relevo.functions.arith import clip01
 from relevo.functions.fixed import (DEFAULT_NORM_PARAMS, DEGENERATE_EXPERTISE_RANGE, DEGENERATE_UTILITY_RANGE,
                                     EPS_SERVE, EPS_TRAIN)
-from relevo.operators.stats import exact_percentile
+from relevo.operators.stats import exact_percentiles
 
 PARAM_COLS = ("expertise_min", "expertise_max", "utility_min", "utility_max")
 PARAM_SCHEMA = "expertise_min double, expertise_max double, utility_min double, utility_max double"
@@ -61,8 +61,11 @@ def params_frame(spark: SparkSession, params: dict | None = None) -> DataFrame:
 
 
 def impute_median(df: DataFrame, cols=("expertise_score", "utility_score")) -> DataFrame:
-    """Fill missing values (NULL or NaN) with the column's exact median, or 0.0 if all missing."""
-    medians = {c: exact_percentile(df.select(c), c, 0.5) for c in cols}
+    """Fill missing values (NULL or NaN) with the column's exact median, or 0.0 if all missing.
+
+    The medians of all columns are found in the same passes.
+    """
+    medians = exact_percentiles(df.select(*cols), dict.fromkeys(cols, 0.5))
     return df.withColumns({c: F.coalesce(_finite(c), F.lit(float(m or 0.0))) for c, m in medians.items()})
 
 

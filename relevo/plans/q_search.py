@@ -11,6 +11,7 @@ from relevo.operators import features as N
 from relevo.operators import fusion as H
 from relevo.operators import lexical as L
 from relevo.operators.containment import qrels_by_containment
+from relevo.operators.stats import rank_error, sketch_percentiles
 from relevo.plans import search as S
 from relevo.plans.oracle_search import (SUMMARY_SQL, bm25_ctes, cands_cte, per_query_ctes, proxy_ctes,
                                         ranked_ctes, search_ctes)
@@ -517,6 +518,30 @@ def q_latency_summary(spark, sf):
     return E.latency_summary(T.latency(spark, sf), "latency_ms", 0.99)
 
 
+_SHARES = (0.5, 0.9, 0.99)
+
+
+@register("latency_sketch", f"""
+    SELECT event_type, COUNT(value) AS n, CAST(p AS DOUBLE) AS p, TRUE AS within_error
+    FROM events CROSS JOIN (VALUES {", ".join(f"({p})" for p in _SHARES)}) s(p) GROUP BY event_type, p""")
+def q_latency_sketch(spark, sf):
+    """Sketched percentiles of each event type, held against the values' real ranks: a value below which, or up
+    to which, the asked share of the rows lies within twice the sketch's stated rank error."""
+    latency = T.table(spark, sf, "events").select("event_type", F.col("value").alias("latency_ms"))
+    kept = sketch_percentiles(latency, "latency_ms", list(_SHARES), by=("event_type",)).select(
+        F.col("event_type").alias("type"), "quantiles")
+    error = 2 * rank_error()
+    of = [F.element_at("quantiles", i + 1) for i in range(len(_SHARES))]
+    ranks = (latency.join(kept, F.col("event_type").eqNullSafe(F.col("type"))).groupBy("event_type")
+             .agg(F.count("latency_ms").alias("n"), *[
+                 F.array(F.count_if(F.col("latency_ms") < q), F.count_if(F.col("latency_ms") <= q)).alias(f"r{i}")
+                 for i, q in enumerate(of)]))
+    each = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"r{i}").alias("r")) for i, p in enumerate(_SHARES)])
+    return ranks.select("event_type", "n", F.inline(each)).select(
+        "event_type", "n", "p", ((F.col("r")[0] <= (F.col("p") + error) * F.col("n")) &
+                                 (F.col("r")[1] >= (F.col("p") - error) * F.col("n"))).alias("within_error"))
+
+
 # ---------------------------------------------------------------- pass-through with score
 @register("retrieve_documents", with_views("""
     SELECT c.query_id, c.doc_id, c.lex_rank, c.score, d.title, d.body

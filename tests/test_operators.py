@@ -18,7 +18,7 @@ def test_exact_percentile_matches_numpy(spark):
     for p in (0.0, 0.5, 0.99, 1.0):
         assert exact_percentile(df, "x", p) == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-12)
     # force the narrowing recursion with a tiny candidate budget
-    assert exact_percentile(df, "x", 0.37, accuracy=100, max_candidates=50) == pytest.approx(
+    assert exact_percentile(df, "x", 0.37, k=64, max_candidates=50) == pytest.approx(
         float(np.percentile(vals, 37)), abs=1e-12)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from relevo.operators import containment as C
 from relevo.operators import lexical as L
+from relevo.operators import stats
 from relevo.operators import vectors as V
 from relevo.sources import tables as T
 from tests.conftest import SF_SMALL
@@ -222,3 +223,51 @@ def test_reputation_file_reads_its_table_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert "ReusedExchange" in plan or final.count("FileScan") == 1
+
+
+def _columns(seed=5, n=6000):
+    rng = np.random.default_rng(seed)
+    return {"skewed": rng.lognormal(0, 3, n), "tied": rng.choice([1.0, 2.0, 7.5], n, p=[0.05, 0.9, 0.05]),
+            "same": np.full(n, 4.25), "mixed": np.where(rng.random(n) < 0.4, -1.0, rng.normal(size=n))}
+
+
+@pytest.mark.parametrize("k", [200, stats.SKETCH_K])
+def test_sketched_ranks_are_within_the_stated_error(spark, k):
+    values, ps = _columns(), [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*values.values())], [*values]).repartition(7)
+    df = df.union(spark.createDataFrame([(None, float("nan"), None, None)], df.schema))
+    for name, v in values.items():
+        got = stats.sketch_percentiles(df, name, ps, k=k).first()
+        assert got["n"] == len(v)
+        for p, q in zip(ps, got["quantiles"]):
+            assert (v < q).mean() - 1.5 * stats.rank_error(k) <= p <= (v <= q).mean() + 1.5 * stats.rank_error(k)
+    by = stats.sketch_percentiles(df, "skewed", [0.5], by=("tied",)).collect()
+    assert {r["tied"] for r in by if r["n"]} == {1.0, 2.0, 7.5} and len(by) == 4
+    assert all((r["quantiles"] is None) == (r["n"] == 0) for r in by)
+
+
+@pytest.mark.parametrize("max_candidates, k", [(stats.MAX_CANDIDATES, stats.SKETCH_K), (40, 256)])
+def test_percentiles_of_many_columns_share_their_passes(spark, monkeypatch, max_candidates, k):
+    values = _columns()
+    df = spark.createDataFrame([(*map(float, r), None) for r in zip(*values.values())],
+                               ", ".join(f"{c} double" for c in values) + ", empty double").cache()
+    passes = []
+    for name in ("_sketched", "_picked"):
+        real = getattr(stats, name)
+        monkeypatch.setattr(stats, name, lambda *a, real=real, name=name: passes.append(name) or real(*a))
+    for p in (0.0, 0.123, 0.5, 0.99, 1.0):
+        passes.clear()
+        got = stats.exact_percentiles(df, {c: p for c in df.columns}, k, max_candidates)
+        assert got.pop("empty") is None
+        for c, v in got.items():
+            assert v == pytest.approx(float(np.quantile(values[c], p)), abs=1e-12), (c, p)
+        assert max_candidates == 40 or passes == ["_sketched", "_picked"]
+        assert len(passes) < 8
+
+
+def test_brackets_that_miss_their_ranks_are_opened(spark, monkeypatch):
+    v = np.arange(1000.0)
+    df = spark.createDataFrame([(float(x),) for x in v], "x double")
+    for wrong in ((900.0, 950.0), (10.0, 20.0)):
+        monkeypatch.setattr(stats, "_narrowed", lambda *a, wrong=wrong: (wrong, 0.0))
+        assert stats.exact_percentiles(df, {"x": 0.5})["x"] == 499.5
