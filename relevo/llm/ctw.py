@@ -313,20 +313,22 @@ def _score(tokens: int, distinct: int, docs: int, bits: int):
             keys, n = windows(texts[i:i + 128])
             value = w_values[np.searchsorted(w_keys, keys)]
             scores = np.add.reduceat(value, np.cumsum(n) - n)
-            for t, s in zip(texts[i:i + 128], scores.tolist()):
+            for t, s, size in zip(texts[i:i + 128], scores.tolist(), n.tolist()):
                 c = t_values[np.searchsorted(t_keys, word_hashes(t))]
                 rows.append((len(c) + 1, int((c > 0).sum()) + bool(docs),
-                             float(np.log10(c + 1).sum() - len(c) * unit) + end, s))
-        n, known, base, score = zip(*rows)
+                             float(np.log10(c + 1).sum() - len(c) * unit) + end, s, -s / math.log10(2) / size))
+        n, known, base, score, length = zip(*rows)
         return pa.table({"doc_id": chunk["doc_id"], "held_out": chunk["held_out"], "n_tokens": pa.array(n, type=pa.int64()),
                          "n_known": pa.array(known, type=pa.int64()), "train_tokens": pa.array([total] * len(rows), type=pa.int64()),
-                         "base_score": pa.array(base), "score": pa.array(score)})
+                         "base_score": pa.array(base), "score": pa.array(score), "bits_per_byte": pa.array(length)})
     return run
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """Scores of every row of ``(doc_id, text, held_out)`` by the model of those not held out.
 
+    ``score`` is the log10 probability of the text, ``bits_per_byte`` its code
+    length divided by the bytes that are coded, the end byte among them.
     A null text is empty: its only token is its end. Rows that repeat an id
     count and are scored each. Without training texts every bit has
     probability one half. An empty table gives no row.
@@ -356,7 +358,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         _score(totals["tokens"], totals["distinct"], sizes["train"], bits),
         f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
-        "score double")
+        "score double, bits_per_byte double")
 
 
 def _as_double(batches):

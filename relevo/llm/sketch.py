@@ -25,8 +25,9 @@ from relevo.llm.tokens import text_blocks
 #: Shingles of five words; one hash in FRACTION is kept; hashes have BITS bits.
 SHINGLE, FRACTION, BITS = 5, 4, 48
 LIMIT = (1 << BITS) // FRACTION
-#: Documents of a sorted range; tasks stream over ranges, so this only sets how evenly they are dealt.
-ROWS_PER_SHARD = 2000
+#: Documents of a sorted range and the most ranges (the larger of large tables hold more documents); tasks
+#: stream over ranges, so these only set how evenly they are dealt and what the driver holds.
+ROWS_PER_SHARD, MAX_SHARDS = 2000, 8192
 
 
 def sketch(text: str | None, shingle: int = SHINGLE, limit: int = LIMIT) -> np.ndarray:
@@ -69,17 +70,24 @@ def _follow(docs: DataFrame, rows_per_shard: int) -> DataFrame:
     """``docs`` (``key``, ``rid``, ...) in shards of consecutive ``(key, rid)``, each sorted, with the row that
     follows a shard repeated at its end (``ahead``); the first row of all follows the last.
 
-    The shards' bounds and first rows' numbers reach the driver: a few bytes for ``rows_per_shard`` rows.
+    A key that spans several shards is cut between them by ``rid``. The shards' bounds and first rows' numbers
+    reach the driver: some bytes for each of at most ``MAX_SHARDS`` shards, whatever the input.
     """
-    k = max(1, docs.count() // rows_per_shard)
-    cuts = docs.approxQuantile("key", [i / k for i in range(1, k)], 0.2 / k) if k > 1 else []
-    bounds = np.unique(np.array(cuts, dtype=np.int64))
+    k = min(max(1, docs.count() // rows_per_shard), MAX_SHARDS)
+    shares = [i / k for i in range(1, k)]
+    cuts = docs.approxQuantile("key", shares, 0.2 / k) if k > 1 else []
+    bounds = np.sort(np.array(cuts, dtype=np.int64))
+    again = np.unique(bounds[1:][bounds[1:] == bounds[:-1]])
+    inner = docs.where(F.col("key").isin(again.tolist())).approxQuantile("rid", shares, 0.2 / k) if len(again) else []
+    rid_bounds = np.sort(np.array(inner, dtype=np.int64))
 
     @F.pandas_udf("int")
-    def shard_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right"), dtype="int32")
+    def shard_of(key: pd.Series, rid: pd.Series) -> pd.Series:
+        left, right = (np.searchsorted(bounds, key.to_numpy(), side=side) for side in ("left", "right"))
+        share = np.searchsorted(rid_bounds, rid.to_numpy(), side="right") * (right - left) // (len(rid_bounds) + 1)
+        return pd.Series(np.where(right - left > 1, left + 1 + share, right), dtype="int32")
 
-    numbered = docs.withColumn("shard", shard_of("key"))
+    numbered = docs.withColumn("shard", shard_of("key", "rid"))
     firsts = numbered.select("shard", "key", "rid").groupBy("shard").agg(F.min(F.struct("key", "rid")).alias("f")).collect()
     order = sorted((r["shard"], r["f"]["rid"]) for r in firsts)
     before = {rid: order[i - 1][0] for i, (_, rid) in enumerate(order)}

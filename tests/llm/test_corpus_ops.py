@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -165,6 +166,41 @@ def test_sketches_over_many_shards(spark, docs):
     assert sorted(rows(got, "doc_id", "n_chars", "edited_sha256")) == edits(docs)
 
 
+def test_sketches_estimate_the_jaccard_similarity_of_shingles(spark, docs):
+    got = {r["doc_id"]: r for r in QUERIES["op8_scaled_sketch"](spark, SF_SMALL).collect()}
+
+    def shingles(t):
+        ws = (t or "").encode().split()
+        return {tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    def similar(a, b):
+        a, b = shingles(a), shingles(b)
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    wrong = 0
+    for k, (i, t) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        edited = t[:len(t) - len(t) // 4] + after[:len(t) // 4]
+        for have, other in ((got[i]["near_next"], after), (got[i]["near_edited"], edited)):
+            n = max(1, len(shingles(t) | shingles(other)) / sketch.FRACTION)
+            want = similar(t, other)
+            wrong += abs(have - want) > 4 * math.sqrt(max(want * (1 - want), 0.02) / n) + 1 / n
+        assert got[i]["near_next"] == (1.0 if t == after else got[i]["near_next"])
+    assert wrong <= len(docs) // 50
+
+
+@pytest.mark.parametrize("most", [sketch.MAX_SHARDS, 5])
+def test_a_repeated_id_is_dealt_to_many_shards(spark, monkeypatch, most):
+    monkeypatch.setattr(sketch, "MAX_SHARDS", most)
+    pairs = [(i, f"first {i} of them") for i in range(40)] + [(50, f"copy {i} of an id " * (1 + i % 3)) for i in range(3000)]
+    pairs += [(60 + i, f"last {i} of them") for i in range(500)]
+    frame = spark.createDataFrame(pairs, "doc_id long, text string").coalesce(1)
+    keyed = frame.select(F.col("doc_id").alias("key"), F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    sizes = [r["count"] for r in sketch._follow(keyed, 100).groupBy("shard").count().collect()]
+    assert len(sizes) <= most and max(sizes) < 3 * len(pairs) / len(sizes)
+    assert sorted(rows(sketch.compare_edits(frame, rows_per_shard=100), "doc_id", "n_chars", "edited_sha256")) == sorted(edits(pairs))
+
+
 def test_sketches_odd(spark):
     frame = odd_docs(spark).repartition(1)
     got = rows(sketch.compare_edits(frame, rows_per_shard=3), "doc_id", "n_chars")
@@ -362,8 +398,10 @@ def test_context_tree(spark, monkeypatch):
     got = ctw.score_texts(frame).collect()
     tree = plain_tree([t for (_, t), h in zip(pairs, held) if not h])
     key = lambda r: (str(r[0]), *(round(x, 6) for x in r[1:]))
-    want = sorted(key((i, *b, tree(t))) for (i, t), b in zip(pairs, base_scores(pairs, held)))
-    have = sorted(key(tuple(r[c] for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"))) for r in got)
+    size = lambda t: len(b" ".join((t or "").encode().split())) + 1
+    want = sorted(key((i, *b, tree(t), -tree(t) / math.log10(2) / size(t))) for (i, t), b in zip(pairs, base_scores(pairs, held)))
+    have = sorted(key(tuple(r[c] for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")))
+                  for r in got)
     assert len(have) == len(want)
     for a, b in zip(have, want):
         assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=1e-6, atol=1e-6)
@@ -387,6 +425,7 @@ def test_context_tree_query(spark, docs):
     # held-out text is told from text of other statistics
     bits = [-r["score"] / math.log10(2) / r["n_tokens"] for r in got.values() if r["held_out"]]
     assert np.median(bits) < 20
+    assert np.median([r["bits_per_byte"] for r in got.values() if r["held_out"]]) < 4
 
 
 # pipeline
