@@ -169,24 +169,35 @@ def _training_table(spark, sf):
     return M.training_pairs(N.apply_norm(N.impute_median(clean), params, "train")).checkpoint(eager=True)
 
 
+_fits: dict[tuple[str, str], tuple] = {}
+
+
+def _fit(spark, sf):
+    """``(training table, model, report)`` of a new fit over ``sf``; the queries that use a fitted model share it."""
+    table = _training_table(spark, sf)
+    _fits[spark.sparkContext.applicationId, sf] = table, *M.train_relevance_model(table, epochs=10)
+    return _fits[spark.sparkContext.applicationId, sf]
+
+
+def _fitted(spark, sf):
+    return _fits.get((spark.sparkContext.applicationId, sf)) or _fit(spark, sf)
+
+
 @register("train_relevance_model")
 def q_train_relevance_model(spark, sf):
-    _, report = M.train_relevance_model(_training_table(spark, sf), epochs=10)
-    return report
+    return _fit(spark, sf)[2]
 
 
 @register("training_report")
 def q_training_report(spark, sf):
-    _, report = M.train_relevance_model(_training_table(spark, sf), epochs=10)
-    return M.training_report(report)
+    return M.training_report(_fitted(spark, sf)[2])
 
 
 @register("save_model")
 def q_save_model(spark, sf):
     from pyspark.ml import PipelineModel
 
-    table = _training_table(spark, sf)
-    model, _ = M.train_relevance_model(table, epochs=10)
+    table, model, _ = _fitted(spark, sf)
     path = M.save_model(model, _scratch(spark, "models"), "1.0.1")
     loaded = PipelineModel.load(path)
     return SC.score_pairs(M.model_frame(table), loaded).select("id", "label", "semantic")
@@ -313,7 +324,7 @@ def q_hybrid_search_model(spark, sf):
     """H2 with the pair scorer being the Spark ML model trained by M3 (SC1 model path)."""
     from relevo.plans import search as S
 
-    model, _ = M.train_relevance_model(_training_table(spark, sf), epochs=10)
+    model = _fitted(spark, sf)[1]
     lengths = T.table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"), M.log_length("text").alias("log_body_len"),
         F.size(F.array_distinct(word_tokens(F.coalesce("text", F.lit(""))))).alias("n_doc_terms"))
