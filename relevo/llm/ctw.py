@@ -36,8 +36,8 @@ from relevo.llm.tokens import text_blocks
 from relevo.session import write_shared
 
 DEPTH = 5
-#: Documents counted or scored together.
-CHUNK_DOCS = 6000
+#: Documents, and bytes of their texts, that are scored together on average.
+CHUNK_DOCS, CHUNK_BYTES = 6000, 24 << 20
 HALF = math.log(0.5)
 _TABLE = 256
 _LG_HALF = np.array([math.lgamma(n + 0.5) - math.lgamma(0.5) for n in range(_TABLE)])
@@ -334,8 +334,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     probability one half. An empty table gives no row.
     """
     docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    sizes = docs.agg(F.count("*").alias("n"), F.count(F.when(~F.col("held_out"), 1)).alias("train")).first()
-    chunks = max(1, -(-sizes["n"] // CHUNK_DOCS))
+    sizes = docs.agg(F.count("*").alias("n"), F.count(F.when(~F.col("held_out"), 1)).alias("train"),
+                     F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    chunks = max(1, -(-sizes["n"] // CHUNK_DOCS), -(-sizes["bytes"] // CHUNK_BYTES))
     bits = max(0, (chunks - 1).bit_length())
     counted = docs.select("text", "held_out").mapInArrow(_count(bits), "kind int, bucket int, keys binary, counts binary")
     merged = write_shared(counted.groupBy("kind", "bucket").applyInArrow(

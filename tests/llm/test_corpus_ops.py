@@ -390,8 +390,10 @@ def base_scores(pairs, held):
     return [(len(ts), sum(c[x] > 0 for x in ts), sum(c.values()), sum(math.log10(c[x] + 1) - unit for x in ts)) for ts in tokens]
 
 
-def test_context_tree(spark, monkeypatch):
-    monkeypatch.setattr(ctw, "CHUNK_DOCS", 3)
+@pytest.mark.parametrize("docs_each, bytes_each", [(3, ctw.CHUNK_BYTES), (ctw.CHUNK_DOCS, 60)])
+def test_context_tree(spark, monkeypatch, docs_each, bytes_each):
+    monkeypatch.setattr(ctw, "CHUNK_DOCS", docs_each)
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", bytes_each)
     pairs = [(r[0], r[1]) for r in ODD if len(r[1] or "") < 1000] + [(50 + i, f"the thing {i % 3} and the rest ñ") for i in range(8)]
     held = [i % 4 == 1 for i in range(len(pairs))]
     frame = spark.createDataFrame([(*p, h, "clash") for p, h in zip(pairs, held)], "doc_id long, text string, held_out boolean, kind string")
