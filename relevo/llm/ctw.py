@@ -293,6 +293,14 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
                      "bucket": asked["bucket"], "found": _binary(found)})
 
 
+def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Values of the asked keys; searched in ascending order, in which neighbours lie close together in memory."""
+    order = np.argsort(asked)
+    out = np.empty(len(asked))
+    out[order] = values[np.searchsorted(keys, asked[order])]
+    return out
+
+
 def _score(tokens: int, distinct: int, docs: int, bits: int):
     """Scores of a chunk's documents. ``tokens`` and ``distinct`` are of the training words, ``docs`` the training texts."""
     total = tokens + docs
@@ -311,10 +319,10 @@ def _score(tokens: int, distinct: int, docs: int, bits: int):
         rows = []
         for i in range(0, len(texts), 128):
             keys, n = windows(texts[i:i + 128])
-            value = w_values[np.searchsorted(w_keys, keys)]
-            scores = np.add.reduceat(value, np.cumsum(n) - n)
-            for t, s, size in zip(texts[i:i + 128], scores.tolist(), n.tolist()):
-                c = t_values[np.searchsorted(t_keys, word_hashes(t))]
+            scores = np.add.reduceat(_look_up(w_keys, w_values, keys), np.cumsum(n) - n)
+            words = [word_hashes(t) for t in texts[i:i + 128]]
+            counts = np.split(_look_up(t_keys, t_values, np.concatenate(words)), np.cumsum([len(w) for w in words[:-1]]))
+            for c, s, size in zip(counts, scores.tolist(), n.tolist()):
                 rows.append((len(c) + 1, int((c > 0).sum()) + bool(docs),
                              float(np.log10(c + 1).sum() - len(c) * unit) + end, s, -s / math.log10(2) / size))
         n, known, base, score, length = zip(*rows)
