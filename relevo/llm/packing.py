@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevo.llm.common import read
-from relevo.llm.tokens import BYTE_BPE, byte_bpe, sized_blocks
+from relevo.llm.tokens import BYTE_BPE, ENCODE_BYTES, ENCODE_UNITS, byte_bpe, sized_blocks
 from relevo.session import write_shared
 
 CAPACITY, END_ID = 1024, 2
@@ -132,8 +132,8 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> Patterns:
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
-        for b in sized_blocks(batches):
-            ids, edges = byte_bpe(path).encode(b["text"])
+        for b in sized_blocks(batches, ENCODE_BYTES):
+            ids, edges = byte_bpe(path, cache_units=ENCODE_UNITS).encode(b["text"])
             n = np.diff(edges) + 1  # with the end id
             pieces = -(-n // capacity)
             row = np.repeat(np.arange(len(n)), pieces)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevo.llm.common import read
-from relevo.llm.tokens import BYTE_BPE, byte_bpe, sized_blocks
+from relevo.llm.tokens import BYTE_BPE, ENCODE_BYTES, ENCODE_UNITS, byte_bpe, sized_blocks
 from relevo.session import shared_path
 
 #: Bytes of a row group and of a page, and rows of a page.
@@ -30,8 +30,8 @@ END_ID = 0
 def _tokenise(path: str, end_id: int):
     def run(batches):
         shard, at = TaskContext.get().partitionId(), 0
-        for b in sized_blocks(batches):
-            ids, edges = byte_bpe(path).encode(b["text"])
+        for b in sized_blocks(batches, ENCODE_BYTES):
+            ids, edges = byte_bpe(path, cache_units=ENCODE_UNITS).encode(b["text"])
             offsets = edges + np.arange(len(edges))
             flat = np.insert(ids, edges[1:], np.uint32(end_id)).astype("<u4", copy=False)
             yield pa.RecordBatch.from_arrays([

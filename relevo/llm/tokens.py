@@ -13,6 +13,9 @@ import pyarrow.compute as pc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+#: Bytes of text that op4 and op5 encode together, and units that they keep: more units of a larger block are alike.
+ENCODE_BYTES, ENCODE_UNITS = 4 << 20, 300_000
+
 _OTHER, _LETTER, _DIGIT, _SIGN, _WHITE = range(5)
 
 
@@ -173,9 +176,9 @@ class ByteBpe(Units):
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str = BYTE_BPE, plain: bool = False) -> ByteBpe:
+def byte_bpe(path: str = BYTE_BPE, plain: bool = False, cache_units: int = 200_000) -> ByteBpe:
     """One encoder per Python worker and vocabulary."""
-    return ByteBpe(path, plain)
+    return ByteBpe(path, plain, cache_units)
 
 
 def text_blocks(batches, rows: int = 128):
