@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import numpy as np
+
 import duckdb
 
 from tests.conftest import SF_SMALL
@@ -52,16 +54,21 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def removed_lines(docs, allowed):
-    """Numbers of the lines of each ``(id, text)`` that repeat an earlier one, by comparing all pairs of lines."""
+def removed_lines(docs, allowed, found=lambda a, b: True):
+    """Numbers of the lines of each ``(id, text)`` that repeat an earlier one, by comparing all pairs of lines;
+    ``found``: whether a pair of near copies, the shorter first, is one that the method promises."""
     at = [(i, k, s) for i, t in sorted(docs, key=lambda d: d[0]) for k, x in enumerate((t or "").split("\n"))
           if (s := x.strip(" \t\n\v\f\r"))]
     texts = sorted({s for _, _, s in at})
     groups = Groups(texts)
+    counts = np.zeros((len(texts), 256), dtype=np.int32)  # characters by their last bits: a bound on the distance
+    for row, x in zip(counts, texts):
+        np.add.at(row, np.frombuffer(x.encode("utf-32-le"), "<u4") % counts.shape[1], 1)
     for i, a in enumerate(texts):
-        for b in texts[:i]:
+        far = np.abs(counts[:i] - counts[i]).sum(axis=1).tolist()
+        for b, f in zip(texts, far):
             k = allowed(min(len(a), len(b)))
-            if k and abs(len(a) - len(b)) <= k and sum(a.count(c) != b.count(c) for c in set(a + b)) <= 2 * k:
+            if k and f <= 2 * k and groups.find(a) != groups.find(b) and found(*sorted((a, b), key=len)):
                 if edit_distance(a, b) <= k:
                     groups.join(a, b)
     seen, out = set(), defaultdict(list)

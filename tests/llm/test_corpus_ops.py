@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from relevo.llm import alignment, ctw, line_dedup, packing, piece_codec, prefix_join, ranked_search, sketch, token_store
 from relevo.llm.components import components
+from relevo.llm.hashing import span_hashes
 from relevo.llm.registry import QUERIES
 from relevo.llm.tokens import BYTE_BPE
 from tests.conftest import SF_SMALL
@@ -290,22 +292,56 @@ def allowed(n):
     return int(line_dedup.edits_allowed(n))
 
 
+@lru_cache(maxsize=None)
+def selected(line):
+    """Places of each selected substring: the least by its hash of every ``WINDOW`` in a row."""
+    grams = [line[k:k + line_dedup.GRAM] for k in range(len(line) - line_dedup.GRAM + 1)]
+    value = {g: int(span_hashes(np.frombuffer(g.encode("utf-32-le"), "<u4"), np.array([0]), np.array([len(g)]))[0]) for g in grams}
+    out = defaultdict(set)
+    for k in range(len(grams) - line_dedup.WINDOW + 1):
+        window = grams[k:k + line_dedup.WINDOW]
+        least = min(value[g] >> 32 for g in window)
+        for at, g in enumerate(window, k):
+            if value[g] >> 32 == least:
+                out[g].add(at)
+    return out
+
+
+def bands(line, at, n, t):
+    """Bands of length and place that ``t`` edits can reach from the place ``at`` of a line of ``n`` characters."""
+    return {(b, cell) for m in range(max(line_dedup.LONG_LINE, n - t), n + 1)
+            for b in [int(np.searchsorted(line_dedup.BANDS, m, side="right")) - 1]
+            for cell in {max(0, at + d) // int(line_dedup.PLACES[b]) for d in range(-t, t + 1)}}
+
+
+def meet(a, b):
+    """Whether lines of which ``a`` is no longer than ``b`` share a key: below ``LONG_LINE`` all near copies do."""
+    if len(a) < line_dedup.LONG_LINE:
+        return True
+    x, y = selected(a), selected(b)
+
+    def probes(one, other, p, q):
+        return any(bands(one, at, len(one), 0) & bands(other, k, len(other), allowed(len(other)))
+                   for g in p.keys() & q.keys() for at in p[g] for k in q[g])
+    return probes(a, b, x, y) or probes(b, a, y, x)
+
+
 def test_line_dedup(spark, docs):
     got = QUERIES["op1_segment_edit_join"](spark, SF_SMALL)
-    want = removed_lines(docs, allowed)
+    want = removed_lines(docs, allowed, meet)
     assert sorted(rows(got, "doc_id", "n_lines", "removed")) == [
         (i, len([x for x in t.split("\n") if x.split()]), ",".join(map(str, want[i]))) for i, t in docs]
 
 
 def near_lines():
     rng = np.random.default_rng(9)
-    base = ["".join(rng.choice(list("abc dñ"), n)) for n in (30, 47, 48, 60, 90)]
+    base = ["".join(rng.choice(list("abc dñ"), n)) for n in (30, 47, 48, 60, 90, 149, 151, 240, 400)]
     out = []
     for i in range(60):
         lines = []
         for _ in range(4):
-            x = list(base[rng.integers(5)])
-            for at in rng.integers(0, len(x), rng.integers(0, 4)):
+            x = list(base[rng.integers(len(base))])
+            for at in rng.integers(0, len(x), rng.integers(0, max(4, len(x) // 16))):
                 x[at] = ["", "z", "ñ"][rng.integers(3)]
             lines.append("".join(x))
         out.append((i, "\n".join(lines)))
@@ -315,7 +351,7 @@ def near_lines():
 def test_line_dedup_in_parts(spark, monkeypatch):
     pairs = near_lines()
     frame = spark.createDataFrame(pairs, "doc_id long, text string")
-    want = {i: v for i, v in removed_lines(pairs, allowed).items()}
+    want = {i: v for i, v in removed_lines(pairs, allowed, meet).items()}
     for most, chunk in ((10**6, 10**6), (2000, 10)):
         monkeypatch.setattr(line_dedup, "PART_CHARS", most)
         monkeypatch.setattr(line_dedup, "CHUNK_DOCS", chunk)
