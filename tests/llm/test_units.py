@@ -91,6 +91,8 @@ def test_banded_distance():
         for k in (1, 2, 3):
             if len(b) - len(a) <= k:
                 assert line_dedup.within(line_dedup.places(a, k), len(a), b, k) == (edit_distance(a, b) <= k), (a, b, k)
+        for k in (1, 9, 14):
+            assert line_dedup.near(b, a, k) == (edit_distance(a, b) <= k), (a, b, k)
 
 
 def test_keys_of_near_lines_meet():
