@@ -12,8 +12,10 @@ import os
 import re
 import zipfile
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,6 +159,21 @@ def _trie(rules: dict) -> dict:
     return root
 
 
+#: Rows of one output batch of ``expand_phrases``, and tokens taken out of a batch together.
+PHRASE_ROWS, PHRASE_TOKENS = 50_000, 50_000
+
+
+def _token_slices(batch: pa.RecordBatch, most: int):
+    """``(row, tokens)`` of a batch's lists; not more than ``most`` tokens of it, or those of one row, are Python objects at a time."""
+    lists = batch["tokens"]
+    ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).to_pylist()
+    first, before = 0, 0
+    for row, end in enumerate(ends):
+        if row + 1 == len(ends) or ends[row + 1] - before > most:
+            yield from enumerate(lists.slice(first, row + 1 - first).to_pylist(), first)
+            first, before = row + 1, end
+
+
 def expand_phrases(df: DataFrame, rules=None, id_col: str = "query_id", text_col: str = "query_text", mode: str = "word") -> DataFrame:
     """Synonym rules of several words, positions kept (A3): ``(id, pos, span, alt, part, term)``.
 
@@ -181,13 +198,14 @@ def expand_phrases(df: DataFrame, rules=None, id_col: str = "query_id", text_col
             at += span
 
     def run(batches):
+        names = [id_col, "pos", "span", "alt", "part", "term"]
         for b in batches:
-            rows = [(row, *x) for row, tokens in enumerate(b["tokens"].to_pylist()) for x in expand(tokens or [])]
-            row, pos, span, alt, part, term = zip(*rows) if rows else ((),) * 6
-            yield pa.RecordBatch.from_arrays(
-                [b[id_col].take(pa.array(row, type=pa.int64())), pa.array(pos, type=pa.int64()), pa.array(span, type=pa.int64()),
-                 pa.array(alt, type=pa.int32()), pa.array(part, type=pa.int32()), pa.array(term, type=pa.string())],
-                names=[id_col, "pos", "span", "alt", "part", "term"])
+            found = ((row, *x) for row, tokens in _token_slices(b, PHRASE_TOKENS) for x in expand(tokens or []))
+            while rows := list(islice(found, PHRASE_ROWS)):
+                row, pos, span, alt, part, term = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [b[id_col].take(pa.array(row, type=pa.int64())), pa.array(pos, type=pa.int64()), pa.array(span, type=pa.int64()),
+                     pa.array(alt, type=pa.int32()), pa.array(part, type=pa.int32()), pa.array(term, type=pa.string())], names=names)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, token_array(F.col(text_col), mode).alias("tokens")).mapInArrow(
