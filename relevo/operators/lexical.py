@@ -31,6 +31,8 @@ from relevo.operators.util import let, spread, top_k
 SCORE_DIGITS = 9
 #: (query, term) rows from which candidates are pruned by bounds, and the share by which a bound may be off through rounding.
 PRUNE_FROM, SLACK = 20_000, 1e-9
+#: Matching (query, term, document) rows that one task sums.
+TASK_ROWS = 1_000_000
 
 
 @dataclass
@@ -122,7 +124,7 @@ def _sum_scores(contrib: DataFrame) -> DataFrame:
 
 
 def _weights(qterms: DataFrame, index: LexicalIndex) -> DataFrame:
-    """``(query_id, term, nq, w)``, written once, so Spark knows its size and broadcasts it only below its own threshold."""
+    """``(query_id, term, nq, df, w)``, written once, so Spark knows its size and broadcasts it only below its own threshold."""
     n_docs = index.stats.select(F.col("n_docs").cast("double")).scalar()
     if index.dfreq is not None:
         dfreq = index.dfreq.select("term", F.col("df").cast("double").alias("df"))
@@ -130,7 +132,16 @@ def _weights(qterms: DataFrame, index: LexicalIndex) -> DataFrame:
         dfreq = index.postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     nq = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     return write_shared(qterms.withColumn("nq", nq).join(dfreq, "term").select(
-        "query_id", "term", "nq", _idf(F.col("qtf"), n_docs, F.col("df")).alias("w")), "weights")
+        "query_id", "term", "nq", "df", _idf(F.col("qtf"), n_docs, F.col("df")).alias("w")), "weights")
+
+
+def _by_document(postings: DataFrame, weights: DataFrame) -> DataFrame:
+    """``postings`` partitioned by document so that one task sums about ``TASK_ROWS`` matching rows. A term gives as
+    many rows as it has postings for every row (with its ``df``) of ``weights``; the bytes of the postings, by which
+    AQE would merge partitions, say nothing about that."""
+    rows = weights.agg(F.sum("df")).first()[0] or 0
+    parts = max(postings.sparkSession.sparkContext.defaultParallelism, -(-int(rows) // TASK_ROWS))
+    return postings.repartition(parts, "doc_id")
 
 
 def _share(index: LexicalIndex, k1: float, b: float):
@@ -141,7 +152,7 @@ def _share(index: LexicalIndex, k1: float, b: float):
 
 def _bm25(weights: DataFrame, index: LexicalIndex, k1: float, b: float) -> DataFrame:
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / index.stats.select("avgdl").scalar())
-    return _sum_scores(index.postings.repartition("doc_id").join(weights, "term").select(
+    return _sum_scores(_by_document(index.postings, weights).join(weights, "term").select(
         "query_id", "doc_id", "nq", (F.col("w") * F.col("tf") / (F.col("tf") + norm)).alias("c")))
 
 
@@ -322,8 +333,9 @@ def bm25_synonyms(qterms: DataFrame, synonyms: DataFrame, docs: DataFrame, id_co
     nq = expanded.select("query_id", "grp").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
     weights = groups.join(nq, "query_id").select("query_id", "grp", "nq", _idf(F.col("qtf"), n_docs, F.col("df")).alias("w"))
     # one row per member term with its group's weight; groups are summed per document before saturation
-    members = write_shared(expanded.select("query_id", "grp", "term").join(weights, ["query_id", "grp"]), "members")
-    gtf = (idx.postings.repartition("doc_id").join(members, "term")
+    members = write_shared(expanded.select("query_id", "grp", "term").join(weights, ["query_id", "grp"])
+                           .join(dfreq, "term"), "members")
+    gtf = (_by_document(idx.postings, members).join(members, "term")
            .groupBy("query_id", "grp", "doc_id", "dl", "nq", "w").agg(F.sum("tf").alias("tf")))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
     return _sum_scores(gtf.select("query_id", "doc_id", "nq",

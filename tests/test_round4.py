@@ -1,8 +1,10 @@
 """Bounded batches and tasks, links of long lines."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from relevo.operators import analysis as A
+from relevo.operators import lexical as L
 
 
 def test_phrases_come_in_bounded_batches(spark, monkeypatch):
@@ -23,3 +25,34 @@ def test_phrases_come_in_bounded_batches(spark, monkeypatch):
     want = [(k, 3 * i + at, *rest) for k, t in enumerate(texts) for i in range((t or "").count("a b"))
             for at, *rest in pair + [(2, 1, 0, 0, "c")] * ("c" in t)]
     assert sorted(got) == sorted(want)
+
+
+def _words(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 6))) for i in range(400)], "id long, body string")
+    asked = spark.createDataFrame([(k, f"w{k % 7} w{(k + 1) % 7} w0") for k in range(30)], "query_id long, query_text string")
+    return docs, L.query_terms(asked)
+
+
+def _largest_task(scored):
+    """Rows of the result that the task with most of them has."""
+    return scored.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_tasks_that_sum_scores_are_bounded_by_their_matching_rows(spark, monkeypatch):
+    docs, asked = _words(spark)
+    index = L.build_index(docs, "id", "body", vocabulary=asked)
+    want = sorted(L.bm25(asked, index).collect())
+    monkeypatch.setattr(L, "TASK_ROWS", 200)
+    got = L.bm25(asked, index)
+    assert sorted(got.collect()) == want and len(want) > 5000
+    assert _largest_task(got) < 800
+
+
+def test_tasks_that_sum_synonym_groups_are_bounded_too(spark, monkeypatch):
+    docs, asked = _words(spark)
+    rules = spark.createDataFrame([("w0", "w3"), ("w0", "w0"), ("w1", "zz"), ("w2", "w5")], "lhs string, rhs string")
+    want = sorted(L.bm25_synonyms(asked, rules, docs).collect())
+    monkeypatch.setattr(L, "TASK_ROWS", 200)
+    got = L.bm25_synonyms(asked, rules, docs)
+    assert sorted(got.collect()) == want and len(want) > 5000
+    assert _largest_task(got) < 800
