@@ -19,6 +19,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +32,12 @@ from relevo.session import write_shared
 from relevo.operators.util import let, spread, top_k
 
 SCORE_DIGITS = 9
-#: (query, term) rows from which candidates are pruned by bounds, and the share by which a bound may be off through rounding.
+#: (query, term) rows from which documents are scored in blocks, and the share by which a bound may be off through rounding.
 PRUNE_FROM, SLACK = 20_000, 1e-9
 #: Matching (query, term, document) rows that one task sums.
 TASK_ROWS = 1_000_000
+#: Postings of a block of documents that is scored for all queries of a large table at once.
+BLOCK_POSTINGS = 4_000_000
 
 
 @dataclass
@@ -213,12 +218,74 @@ def top_documents(qterms: DataFrame, index: LexicalIndex, k: int = K_RECALL, k1:
     return retrieve(total, k)
 
 
+def _codes(values, order: bool = False):
+    """Numbers of the values (nulls are one value) and the distinct values, ascending with null first where ``order``."""
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    unique = pc.unique(values)
+    if order:
+        unique = unique.take(pc.array_sort_indices(unique, null_placement="at_start"))
+    return pc.index_in(values, value_set=unique).to_numpy(zero_copy_only=False).astype(np.int64), unique
+
+
+def _block_top(k: int, names: list[str]):
+    """The k best documents of a block for every query; the scores of one query at a time are held, as one array."""
+    def best(post: pa.Table, weights: pa.Table) -> pa.Table:
+        doc, docs = _codes(post["doc_id"], order=True)
+        query, queries = _codes(weights["query_id"])
+        term, terms = _codes(weights["term"])
+        known = pc.index_in(post["term"].combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False)
+        by_term = np.argsort(known, kind="stable")  # postings without a query's term (nan) come last
+        doc, share, at = doc[by_term], post["share"].to_numpy()[by_term], np.searchsorted(known[by_term], np.arange(len(terms) + 1))
+        by_query = np.argsort(query, kind="stable")
+        term, w, nq = term[by_query], weights["w"].to_numpy()[by_query], weights["nq"].to_numpy()[by_query]
+        cut = np.searchsorted(query[by_query], np.arange(len(queries) + 1))
+        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for q in range(len(queries)):
+            mine = range(cut[q], cut[q + 1])
+            held = [slice(at[term[i]], at[term[i] + 1]) for i in mine]
+            place = np.concatenate([doc[x] for x in held])
+            score = np.bincount(place, np.concatenate([w[i] * share[x] for i, x in zip(mine, held)]), len(docs))
+            matched = np.bincount(place, minlength=len(docs))
+            some = np.flatnonzero(matched)
+            rounded = np.round(score[some], SCORE_DIGITS)
+            if len(some) > k:
+                use = rounded >= np.partition(rounded, len(rounded) - k)[len(rounded) - k]
+                some, rounded = some[use], rounded[use]
+            some = some[np.argsort(-rounded, kind="stable")[:k]]  # documents are in ascending order, which breaks ties
+            for column, x in zip(found, (np.full(len(some), q), some, score[some], matched[some],
+                                         np.full(len(some), nq[cut[q]:cut[q + 1]].max()))):
+                column.append(x)
+        q, d, *rest = (np.concatenate(x) for x in found)
+        return pa.Table.from_arrays([queries.take(pa.array(q)), docs.take(pa.array(d)), *map(pa.array, rest)], names=names)
+    return best
+
+
+def top_by_blocks(weights: DataFrame, index: LexicalIndex, k: int = K_RECALL, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """``retrieve(bm25(...), k)`` for many queries, no (query, document) pair of which is a row unless it is among the
+    k best of its block (L3, L4).
+
+    The documents are cut into blocks of about ``BLOCK_POSTINGS`` postings by a hash of their ids. A block meets all
+    queries' weights; each query's scores over the block are summed in one array and its k best kept. So the rows
+    shuffled are the postings once, and the weights and k a query for each block. The work of the sums is that of the
+    matching postings, which grows with queries times documents. Exact for any k.
+    """
+    post = index.postings.select("doc_id", "term", _share(index, k1, b).alias("share"))
+    blocks = max(1, -(-post.count() // BLOCK_POSTINGS))
+    left = post.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    right = weights.select("query_id", "term", "nq", "w").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    types = dict(weights.dtypes)["query_id"], dict(post.dtypes)["doc_id"]
+    names = ["query_id", "doc_id", "score", "matched", "n_query_terms"]
+    best = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(
+        _block_top(k, names), f"query_id {types[0]}, doc_id {types[1]}, score double, matched bigint, n_query_terms bigint")
+    return retrieve(best.withColumn("score", F.round("score", SCORE_DIGITS)), k)
+
+
 def search(qterms: DataFrame, index: LexicalIndex, k: int = K_RECALL, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Top-k candidates of every query (L3 + L4): the full sum for small query tables, ``top_documents`` for
+    """Top-k candidates of every query (L3 + L4): the full sum for small query tables, ``top_by_blocks`` for
     tables of more than ``PRUNE_FROM`` (query, term) rows. The results are the same."""
     w = _weights(qterms, index)
     if w.count() > PRUNE_FROM:
-        return top_documents(qterms, index, k, k1, b, weights=w)
+        return top_by_blocks(w, index, k, k1, b)
     return retrieve(_bm25(w, index, k1, b), k)
 
 

@@ -56,3 +56,20 @@ def test_tasks_that_sum_synonym_groups_are_bounded_too(spark, monkeypatch):
     got = L.bm25_synonyms(asked, rules, docs)
     assert sorted(got.collect()) == want and len(want) > 5000
     assert _largest_task(got) < 800
+
+
+def test_blocks_of_documents_give_the_full_sums_best(spark, monkeypatch):
+    docs, asked = _words(spark)
+    docs = docs.union(spark.createDataFrame([(None, "w1 w2 w2"), (7, "w0 w5"), (900, ""), (901, None)], docs.schema))
+    asked = asked.union(spark.createDataFrame([(None, "w2", 2), (77, "nowhere", 1)], asked.schema))
+    index = L.build_index(docs, "id", "body", vocabulary=asked)
+    key = lambda r: (str(r["query_id"]), r["lex_rank"])
+    for k in (3, 1000):
+        want = sorted(L.retrieve(L.bm25(asked, index), k).collect(), key=key)
+        for size in (L.BLOCK_POSTINGS, 300):
+            with monkeypatch.context() as m:
+                m.setattr(L, "BLOCK_POSTINGS", size)
+                m.setattr(L, "PRUNE_FROM", 0)
+                m.setattr(L, "top_documents", None)  # which makes a row of every pair that its seeds reach
+                found = L.search(asked, index, k)
+                assert sorted(found.collect(), key=key) == want and sorted(found.columns) == sorted(L.retrieve(L.bm25(asked, index), k).columns)
