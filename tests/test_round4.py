@@ -1,8 +1,11 @@
 """Bounded batches and tasks, links of long lines."""
 
+import random
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from relevo.llm import line_dedup
 from relevo.operators import analysis as A
 from relevo.operators import lexical as L
 
@@ -58,6 +61,18 @@ def test_tasks_that_sum_synonym_groups_are_bounded_too(spark, monkeypatch):
     assert _largest_task(got) < 800
 
 
+def test_all_lines_within_the_edits_allowed_are_linked():
+    rng = random.Random(3)
+    for n in (149, 150, 167, 168, 191, 215, 500, 1500):
+        for _ in range(40):
+            a = "".join(rng.choice("abcdefghijk lmnop") for _ in range(n))
+            b, t = list(a), n // 24
+            for k in range(t):  # evenly spread, so that no long part is left unedited
+                b[(k + 1) * n // (t + 1)] = "#"
+            links = line_dedup.linked_lines({1: a, 2: "".join(b)})
+            assert len(links) == 1, n
+
+
 def test_blocks_of_documents_give_the_full_sums_best(spark, monkeypatch):
     docs, asked = _words(spark)
     docs = docs.union(spark.createDataFrame([(None, "w1 w2 w2"), (7, "w0 w5"), (900, ""), (901, None)], docs.schema))
