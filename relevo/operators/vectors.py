@@ -12,42 +12,91 @@ hash them to buckets of random projections (``knn_approximate``) first.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relevo.operators.lexical import build_postings
-from relevo.operators.util import let, top_k
+from relevo.operators.analysis import token_array
+from relevo.operators.util import let, spread, top_k
 from relevo.session import write_shared
 
 SCORE_DIGITS, IDF_SCALE = 9, 1_000_000
 #: Rows of a block of queries and of a block of vectors, and vectors of one matrix product.
 QUERY_BLOCK, VECTOR_BLOCK, SLICE = 2_000, 20_000, 2_000
+#: Terms that texts are summed by where their rows are.
+FREQUENT = 200_000
 
 
 def idf_table(docs: DataFrame, text_col: str = "body", id_col: str = "id") -> DataFrame:
     """``(term, idf)`` as whole millionths of ``ln((n + 1) / (df + 1))``, ``n`` counting all rows, so that sums are exact."""
     n = docs.select(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    return (build_postings(docs, id_col, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    held = F.array_distinct(token_array(F.col(text_col)))
+    return (spread(docs.select(id_col, text_col), id_col).select(F.explode(held).alias("term"))
+            .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
             .select("term", F.floor(F.log((n + 1) / (F.col("df") + 1)) * IDF_SCALE).cast("bigint").alias("idf")))
 
 
+def _sum_known(known: pa.Table, dim: int):
+    """For each list of tokens: the sums by place of the weights of the ``known`` terms, how many tokens these are, and the others."""
+    terms = known["term"].combine_chunks()
+    place, weight = known["place"].to_numpy(), known["weight"].to_numpy()
+
+    def sums(tokens: pa.Array) -> pa.Array:
+        n = len(tokens)
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        coded = tokens.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=terms), -1).to_numpy(zero_copy_only=False)[code]
+        use = at >= 0
+        # whole numbers below 2 ** 53, so that the sums in doubles are exact
+        x = np.bincount(row[use] * dim + place[at[use]], weight[at[use]], n * dim).astype(np.int64)
+        starts = lambda each: pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32))
+        other = pa.ListArray.from_arrays(starts(np.bincount(row[~use], minlength=n)), coded.dictionary.take(pa.array(code[~use])))
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(starts(np.full(n, dim)), pa.array(x)), pa.array(np.bincount(row[use], minlength=n)), other],
+            names=["sums", "found", "others"])
+    return sums
+
+
 def hashed_vectors(docs: DataFrame, idf: DataFrame, text_col: str = "body", dim: int = 64, id_col: str = "id") -> DataFrame:
     """``(doc_id, vector)`` by signed feature hashing of terms, weighted by ``tf * idf``, unit length; texts with tokens only.
 
     A term's place is the first seven hexadecimal digits of its MD5 modulo
     ``dim``, its sign the parity of the eighth: any engine can repeat it, and
     terms that share a place cancel as often as they add.
+
+    The ``FREQUENT`` most frequent terms, which nearly all tokens are, go to
+    the tasks as a table, so that a text is summed where its row is; only the
+    tokens of other terms are rows that meet their terms by a join.
     """
     digest = F.md5("term")
     number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("bigint")
     sign = F.when(number(8, 1) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
-    at = (build_postings(docs, id_col, text_col).join(idf, "term")
-          .groupBy("doc_id", (number(1, 7) % dim).cast("int").alias("at")).agg(F.sum(F.col("tf") * F.col("idf") * sign).alias("x")))
-    held = at.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("held"))
-    x = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("held", i), F.lit(0)).cast("double"))
-    unit = let(x, lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + e * e)), lambda n: F.transform(
-        v, lambda e: F.when(n > 0, F.round(e / n, SCORE_DIGITS)).otherwise(F.lit(0.0)))))
-    return held.select("doc_id", unit.alias("vector"))
+    placed = idf.select("term", "idf", (number(1, 7) % dim).cast("int").alias("place"), (F.col("idf") * sign).alias("weight"))
+    known = placed.orderBy("idf", "term").limit(FREQUENT).toArrow()  # of bounded size
+    kind = "struct<sums:array<bigint>,found:bigint,others:array<string>>"
+    text = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "doc_id")
+    rows = write_shared(text.select("doc_id", F.arrow_udf(_sum_known(known, dim), kind)(token_array(F.col("_text"))).alias("h"))
+                        .select("doc_id", "h.*"), "sums")
+    # rows that repeat an id are one document
+    made = rows.groupBy("doc_id").agg(F.sum("found").alias("found"), *[F.sum(F.col("sums")[i]).alias(f"x{i}") for i in range(dim)])
+    x = F.array(*[f"x{i}" for i in range(dim)])
+    if known.num_rows == FREQUENT:
+        last = known.slice(FREQUENT - 1).to_pylist()[0]
+        rare = placed.where((F.col("idf") > last["idf"]) | ((F.col("idf") == last["idf"]) & (F.col("term") > F.lit(last["term"]))))
+        more = (rows.select("doc_id", F.explode("others").alias("term")).join(rare, "term")
+                .groupBy("doc_id", "place").agg(F.sum("weight").alias("x"))
+                .groupBy(F.col("doc_id").alias("_doc")).agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("more")))
+        made = (made.join(more, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+                .where((F.col("found") > 0) | F.col("more").isNotNull()))
+        x = F.transform(x, lambda e, i: e + F.coalesce(F.element_at("more", i), F.lit(0)))
+    else:
+        made = made.where(F.col("found") > 0)
+    unit = let(F.transform(x, lambda e: e.cast("double")), lambda v: let(
+        F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + e * e)), lambda n: F.transform(
+            v, lambda e: F.when(n > 0, F.round(e / n, SCORE_DIGITS)).otherwise(F.lit(0.0)))))
+    return made.select("doc_id", unit.alias("vector"))
 
 
 def embed(df: DataFrame, text_col: str = "body", dim: int = 64, out: str = "vector", encoder=None, id_col: str = "id",
