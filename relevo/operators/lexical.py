@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from relevo.functions.fixed import BM25_B, BM25_K1, K_RECALL
 from relevo.functions.text import first_words, strip_tags
 from relevo.operators.analysis import corpus_stats, token_array
-from relevo.session import write_shared
+from relevo.session import COMPRESSION, write_shared
 from relevo.operators.util import let, spread, top_k
 
 SCORE_DIGITS = 9
@@ -304,7 +304,9 @@ def write_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str =
     agg = write_shared(_term_rows(docs, id_col, text_col, mode, None), "index-build")
     post = agg.where(F.col("term").isNotNull())
     _write_postings(post, f"{path}/postings/v=0")
-    _write_dfreq(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{path}/dfreq/v=0")
+    # counted from the sorted copy: a term is in few of its files, so counts and not postings are shuffled
+    written = docs.sparkSession.read.parquet(f"{path}/postings/v=0")
+    _write_dfreq(written.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{path}/dfreq/v=0")
     corpus_stats(agg.where(F.col("term").isNull()).select("dl")).write.mode("overwrite").parquet(f"{path}/stats/v=0")
     return path
 
@@ -313,7 +315,7 @@ def _write_postings(post: DataFrame, path: str) -> None:
     # range key (term, doc_id): a term holding a third of all postings still
     # spreads over several partitions; AQE merges the small ones by their bytes
     (post.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-     .select("term", "doc_id", "dl", "tf").write.mode("overwrite").parquet(path))
+     .select("term", "doc_id", "dl", "tf").write.mode("overwrite").parquet(path, compression=COMPRESSION))
 
 
 def _write_dfreq(dfreq: DataFrame, path: str) -> None:

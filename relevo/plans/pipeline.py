@@ -25,7 +25,7 @@ from relevo.operators import signals as G
 from relevo.operators import training as M
 from relevo.operators import vectors as V
 from relevo.plans import search as S
-from relevo.session import path_exists, write_shared
+from relevo.session import COMPRESSION, path_exists, write_shared
 from relevo.sources import tables as T
 from relevo.sources.readers import coerce_documents, read_norm_params
 from relevo.sources.sinks import latest_version, next_order, next_version, upsert_documents, write_features, write_norm_params
@@ -58,7 +58,7 @@ def run_pipeline(spark: SparkSession, sf_dir: str, out: str, cfg: Config | None
     stage = Stages(spark, out, run or uuid.uuid4().hex)
 
     def overwrite(df: DataFrame, path: str) -> str:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=COMPRESSION)
         return path
 
     # author signals: independent of each other

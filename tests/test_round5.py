@@ -43,3 +43,19 @@ def test_tokens_of_frequent_terms_are_no_rows(spark):
     made = V.hashed_vectors(df, V.idf_table(df), "body", 16)
     assert made.count() == 50
     assert "Generate" not in made._jdf.queryExecution().toString()  # no row a token, none is shuffled
+
+
+def test_index_counts_its_written_postings_and_is_packed_tightly(spark, tmp_path):
+    from glob import glob
+
+    import pyarrow.parquet as pq
+
+    from relevo.operators import lexical as L
+
+    rows = [(1, "a b a"), (2, "b c"), (2, "b c"), (3, None), (None, "c d")]
+    path = L.write_index(spark.createDataFrame(rows, "id long, body string"), str(tmp_path / "index"))
+    index = L.open_index(spark, path)
+    assert {tuple(r) for r in index.dfreq.collect()} == {("a", 1), ("b", 3), ("c", 3), ("d", 1)}
+    assert index.postings.count() == 8 and index.stats.first()["n_docs"] == 4
+    files = glob(f"{path}/postings/v=0/*.parquet")
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
