@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relevo.operators.util import top_k
+from relevo.session import write_shared
+
+#: Keys with several rows up to which an upsert sends them to all tasks instead of shuffling every row.
+FEW_KEYS = 100_000
 
 
 def write_posts_json(df: DataFrame, path: str) -> str:
@@ -97,13 +101,24 @@ def upsert_documents(existing: DataFrame | None, incoming: DataFrame, key: str =
     Of equal orders the incoming row wins, then the greatest remaining
     columns (deterministic). ``row_number() = 1`` is cut per map task before
     the shuffle, so a key with very many versions does not meet in one task.
+    Keys are counted first: while at most ``FEW_KEYS`` have several rows, only
+    these rows are shuffled, and all others stay where they are.
     """
     new = incoming.withColumn("_incoming", F.lit(1))
     allr = new if existing is None else existing.withColumn("_incoming", F.lit(0)).unionByName(new)
     rest = [c for c in incoming.columns if c not in (key, order)]
-    best = top_k(allr, 1, key, [F.col(order).desc_nulls_last(), F.col("_incoming").desc(),
-                                *[F.col(c).desc_nulls_last() for c in rest]], "_rank")
-    return best.select(key, order, *rest)
+    repeated = write_shared(allr.groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key"), "repeated-keys")
+
+    def newest(df: DataFrame) -> DataFrame:
+        best = top_k(df, 1, key, [F.col(order).desc_nulls_last(), F.col("_incoming").desc(),
+                                  *[F.col(c).desc_nulls_last() for c in rest]], "_rank")
+        return best.select(key, order, *rest)
+
+    if repeated.count() > FEW_KEYS:
+        return newest(allr)
+    is_repeated = F.col(key).eqNullSafe(F.col("_key"))
+    once = allr.join(F.broadcast(repeated), is_repeated, "left_anti").select(key, order, *rest)
+    return once.unionByName(newest(allr.join(F.broadcast(repeated), is_repeated, "left_semi")))
 
 
 def next_order(existing: DataFrame | None, order: str = "ingest_seq") -> int:
