@@ -19,8 +19,14 @@ PARAM_SCHEMA = "expertise_min double, expertise_max double, utility_min double,
 
 
 def drop_incomplete(df: DataFrame, cols=("body", "label")) -> DataFrame:
-    """Drop rows with a missing value in any of ``cols``."""
-    return df.na.drop(subset=list(cols))
+    """Drop rows with a missing value (NULL or NaN) in any of ``cols``.
+
+    A condition for each column: below a join it is tested where the column is
+    read, so a text that is asked for no other reason is not shuffled.
+    """
+    for c in cols:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c)) if dict(df.dtypes)[c] in ("float", "double") else F.col(c).isNotNull())
+    return df
 
 
 def _finite(c: str):

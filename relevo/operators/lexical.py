@@ -32,12 +32,16 @@ from relevo.session import COMPRESSION, write_shared
 from relevo.operators.util import let, spread, top_k
 
 SCORE_DIGITS = 9
+#: What rounding changes in a score at most.
+ROUNDING = 10.0 ** -SCORE_DIGITS
 #: (query, term) rows from which documents are scored in blocks, and the share by which a bound may be off through rounding.
 PRUNE_FROM, SLACK = 20_000, 1e-9
 #: Matching (query, term, document) rows that one task sums.
 TASK_ROWS = 1_000_000
 #: Postings of a block of documents that is scored for all queries of a large table at once.
-BLOCK_POSTINGS = 4_000_000
+BLOCK_POSTINGS = 2_000_000
+#: Terms of a query vocabulary up to which it is sent to the tasks (about 20 MB), so that no token of another term is shuffled.
+SENT_TERMS = 200_000
 
 
 @dataclass
@@ -78,7 +82,7 @@ def _runs(tokens):
 
 def _term_rows(docs: DataFrame, id_col: str, text_col: str, mode: str, vocabulary: DataFrame | None) -> DataFrame:
     """``(doc_id, dl, term, tf)``: one row per (kept) distinct term plus one
-    marker row per document (``term`` NULL) with its length, in one pass over the text."""
+    marker row per document (``term`` NULL) with its length, in one pass over the text; ``vocabulary`` has each term once."""
     text = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "doc_id")
     marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
     toks = text.select("doc_id", let(token_array(F.col("_text"), mode), lambda t: F.struct(
@@ -86,7 +90,7 @@ def _term_rows(docs: DataFrame, id_col: str, text_col: str, mode: str, vocabular
     rows = (toks.select("doc_id", F.col("_t.dl").alias("dl"), F.explode("_t.runs").alias("r"))
             .select("doc_id", "dl", F.col("r.term").alias("term"), F.col("r.tf").alias("tf")))
     if vocabulary is not None:
-        vocab = vocabulary.select(F.col("term").alias("_known")).distinct()
+        vocab = vocabulary.select(F.col("term").alias("_known"))
         rows = rows.join(vocab, F.col("term") == F.col("_known"), "left").where(
             F.col("term").isNull() | F.col("_known").isNotNull()).drop("_known")
     return rows
@@ -98,6 +102,7 @@ def build_postings(docs: DataFrame, id_col: str = "id", text_col: str = "body",
 
     ``vocabulary`` (a ``term`` column) restricts the postings to those terms.
     """
+    vocabulary = vocabulary.select("term").distinct() if vocabulary is not None else None
     return _term_rows(docs, id_col, text_col, mode, vocabulary).where(F.col("term").isNotNull())
 
 
@@ -111,6 +116,9 @@ def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "body", mod
     re-tokenising the corpus, and a lost executor does not send the job back
     to the raw text.
     """
+    if vocabulary is not None:
+        vocabulary = write_shared(vocabulary.select("term").distinct(), "vocabulary")
+        vocabulary = F.broadcast(vocabulary) if vocabulary.count() <= SENT_TERMS else vocabulary
     rows = _term_rows(docs, id_col, text_col, mode, vocabulary)
     if materialize:
         rows = write_shared(rows, "postings")
@@ -228,32 +236,39 @@ def _codes(values, order: bool = False):
 
 
 def _block_top(k: int, names: list[str]):
-    """The k best documents of a block for every query; the scores of one query at a time are held, as one array."""
-    def best(post: pa.Table, weights: pa.Table) -> pa.Table:
+    """The k best documents of a block for every query, but none below the score (``least``) that k documents of other
+    blocks reach; the scores of one query at a time are held, as one array."""
+    def best(post: pa.Table, asked: pa.Table) -> pa.Table:
         doc, docs = _codes(post["doc_id"], order=True)
-        query, queries = _codes(weights["query_id"])
-        term, terms = _codes(weights["term"])
-        known = pc.index_in(post["term"].combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False)
-        by_term = np.argsort(known, kind="stable")  # postings without a query's term (nan) come last
+        queries, nq = asked["query_id"].combine_chunks(), asked["nq"].to_numpy()
+        least = pc.fill_null(asked["least"], 0.0).to_numpy()
+        lists = asked["terms"].combine_chunks()
+        cut = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        term, w = lists.flatten().flatten()
+        (term, terms), w = _codes(term), w.to_numpy(zero_copy_only=False)
+        known = pc.index_in(post["term"].combine_chunks(), value_set=terms)
+        known = pc.fill_null(known, len(terms)).to_numpy(zero_copy_only=False).astype(np.int64)
+        by_term = np.argsort(known * max(len(docs), 1) + doc)  # postings without a query's term come last
         doc, share, at = doc[by_term], post["share"].to_numpy()[by_term], np.searchsorted(known[by_term], np.arange(len(terms) + 1))
-        by_query = np.argsort(query, kind="stable")
-        term, w, nq = term[by_query], weights["w"].to_numpy()[by_query], weights["nq"].to_numpy()[by_query]
-        cut = np.searchsorted(query[by_query], np.arange(len(queries) + 1))
         found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for q in range(len(queries)):
             mine = range(cut[q], cut[q + 1])
             held = [slice(at[term[i]], at[term[i] + 1]) for i in mine]
             place = np.concatenate([doc[x] for x in held])
             score = np.bincount(place, np.concatenate([w[i] * share[x] for i, x in zip(mine, held)]), len(docs))
-            matched = np.bincount(place, minlength=len(docs))
-            some = np.flatnonzero(matched)
+            if least[q] > 4 * ROUNDING:
+                some = np.flatnonzero(score >= least[q] - 2 * ROUNDING)
+            else:
+                some = np.flatnonzero(np.bincount(place, minlength=len(docs)))
             rounded = np.round(score[some], SCORE_DIGITS)
             if len(some) > k:
                 use = rounded >= np.partition(rounded, len(rounded) - k)[len(rounded) - k]
                 some, rounded = some[use], rounded[use]
             some = some[np.argsort(-rounded, kind="stable")[:k]]  # documents are in ascending order, which breaks ties
-            for column, x in zip(found, (np.full(len(some), q), some, score[some], matched[some],
-                                         np.full(len(some), nq[cut[q]:cut[q + 1]].max()))):
+            matched = np.zeros(len(some), np.int64)
+            for x in held:  # a term's documents are in ascending order, each once
+                matched += np.searchsorted(doc[x], some, side="right") - np.searchsorted(doc[x], some)
+            for column, x in zip(found, (np.full(len(some), q), some, score[some], matched, np.full(len(some), nq[q]))):
                 column.append(x)
         q, d, *rest = (np.concatenate(x) for x in found)
         return pa.Table.from_arrays([queries.take(pa.array(q)), docs.take(pa.array(d)), *map(pa.array, rest)], names=names)
@@ -262,22 +277,40 @@ def _block_top(k: int, names: list[str]):
 
 def top_by_blocks(weights: DataFrame, index: LexicalIndex, k: int = K_RECALL, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """``retrieve(bm25(...), k)`` for many queries, no (query, document) pair of which is a row unless it is among the
-    k best of its block (L3, L4).
+    k best of its block and can be among the k best of all (L3, L4).
 
     The documents are cut into blocks of about ``BLOCK_POSTINGS`` postings by a hash of their ids. A block meets all
-    queries' weights; each query's scores over the block are summed in one array and its k best kept. So the rows
-    shuffled are the postings once, and the weights and k a query for each block. The work of the sums is that of the
-    matching postings, which grows with queries times documents. Exact for any k.
+    queries' weights; each query's scores over the block are summed in one array and its k best kept. Blocks are
+    taken in rounds, each as large as all before it (at first as many blocks as tasks run at once): a document below
+    the k best scores so far is not returned, so a round gives about k rows a query and all of them together k times
+    the logarithm of the number of blocks. The rows shuffled are the postings once, the weights for each block,
+    and those. The work of the sums is that of the matching postings, which grows with queries times documents.
+    Exact for any k.
     """
     post = index.postings.select("doc_id", "term", _share(index, k1, b).alias("share"))
     blocks = max(1, -(-post.count() // BLOCK_POSTINGS))
-    left = post.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    right = weights.select("query_id", "term", "nq", "w").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    post = post.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    queries = write_shared(weights.groupBy("query_id").agg(F.max("nq").alias("nq"), F.collect_list(F.struct("term", "w")).alias("terms")),
+                           "query-terms")
     types = dict(weights.dtypes)["query_id"], dict(post.dtypes)["doc_id"]
     names = ["query_id", "doc_id", "score", "matched", "n_query_terms"]
-    best = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(
-        _block_top(k, names), f"query_id {types[0]}, doc_id {types[1]}, score double, matched bigint, n_query_terms bigint")
-    return retrieve(best.withColumn("score", F.round("score", SCORE_DIGITS)), k)
+    schema = f"query_id {types[0]}, doc_id {types[1]}, score double, matched bigint, n_query_terms bigint"
+    best, done = None, 0
+    while True:
+        end = min(blocks, done + max(post.sparkSession.sparkContext.defaultParallelism, done))
+        if best is None:
+            asked = queries.withColumn("least", F.lit(None).cast("double"))
+        else:
+            least = best.where(F.col("lex_rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("least"))
+            asked = queries.join(least, F.col("query_id").eqNullSafe(F.col("q")), "left").drop("q")
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(done), F.lit(end - 1))))
+        mine = post.where((F.col("block") >= done) & (F.col("block") < end)) if end - done < blocks else post
+        found = mine.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_block_top(k, names), schema)
+        found = found.withColumn("score", F.round("score", SCORE_DIGITS))
+        best = retrieve(found if best is None else best.drop("lex_rank").unionByName(found), k)
+        if end == blocks:
+            return best
+        best, done = write_shared(best, "best"), end
 
 
 def search(qterms: DataFrame, index: LexicalIndex, k: int = K_RECALL, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:

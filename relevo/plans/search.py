@@ -16,6 +16,7 @@ from relevo.operators import features as N
 from relevo.operators import fusion as H
 from relevo.operators import lexical as L
 from relevo.operators import scoring as SC
+from relevo.session import write_shared
 
 
 def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame, params: DataFrame,
@@ -29,7 +30,7 @@ def ranked_candidates(queries: DataFrame, corpus: DataFrame, features: DataFrame
     expanded and blended per original term (``bm25_synonyms``).
     """
     H.check_alpha(alpha)
-    qt = L.query_terms(queries)
+    qt = write_shared(L.query_terms(queries), "query-words")  # read for the vocabulary, its count and the weights
     if synonyms is not None:
         cands = L.retrieve(L.bm25_synonyms(qt, synonyms, corpus), k_recall)
     else:

@@ -1,4 +1,4 @@
-"""Line dedup in rounds by length, pairs told apart where they meet, and shuffle files that go with the write."""
+"""Line dedup in rounds by length, pairs told apart where they meet, shuffle files that go with the write; retrieval by blocks in rounds."""
 
 import os
 import random
@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from relevo.llm import line_dedup
+from relevo.operators import features as N
+from relevo.operators import lexical as L
 from relevo.session import write_shared
 
 
@@ -84,3 +86,55 @@ def test_pairs_verified_at_once_are_those_verified_one_by_one():
     got = line_dedup.near_pairs(line_dedup._padded(lines), n, a, b)
     want = [line_dedup.near(lines[i], lines[j], int(min(n[i], n[j])) // 24) for i, j in zip(a, b)]
     assert got.tolist() == want and len(lines) + 20 < sum(want) < len(want) / 2
+
+
+def test_later_blocks_return_no_document_below_the_best_so_far(spark, monkeypatch):
+    rng = random.Random(74)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(40))) for i in range(3000)], "id long, body string")
+    asked = spark.createDataFrame([(q, f"w{t}", 1) for q in range(12) for t in rng.sample(range(40), 4)], "query_id long, term string, qtf long")
+    index = L.build_index(docs, "id", "body", vocabulary=asked)
+    want = sorted(map(tuple, L.retrieve(L.bm25(asked, index), 5).select("query_id", "doc_id", "score", "matched", "n_query_terms").collect()))
+    rows, cut = [], L.retrieve
+
+    def counted(scored, k=50):
+        rows.append(scored.count())
+        return cut(scored, k)
+
+    for name, value in (("PRUNE_FROM", 0), ("BLOCK_POSTINGS", 500), ("retrieve", counted)):
+        monkeypatch.setattr(L, name, value)
+    got = L.search(asked, index, 5).select("query_id", "doc_id", "score", "matched", "n_query_terms")
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 60
+    blocks, first = -(-index.postings.count() // 500), spark.sparkContext.defaultParallelism
+    assert blocks > 4 * first and len(rows) >= 3
+    assert max(rows) <= first * 60 and rows[-1] < 60 * 5  # k a query and block would be 60 for each of the last round's
+
+
+def test_tokens_of_other_terms_are_not_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, None), (3, "gamma")], "id long, body string")
+    asked = spark.createDataFrame([(1, "beta"), (2, "beta"), (2, None), (2, "none")], "query_id long, term string")
+    written, keep = {}, L.write_shared
+    monkeypatch.setattr(L, "write_shared", lambda df, name: keep(written.setdefault(name, df), name))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for terms, join in ((L.SENT_TERMS, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(L, "SENT_TERMS", terms)
+            written.clear()
+            index = L.build_index(docs, "id", "body", vocabulary=asked)
+            assert [tuple(r) for r in index.postings.collect()] == [(1, 3, "beta", 2)] and index.stats.first()["n_docs"] == 2
+            assert join in written["postings"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_missing_texts_are_dropped_before_a_join(spark):
+    left = spark.createDataFrame([(1, "a", 0.5), (2, None, 0.5), (3, "c", None), (4, "d", float("nan"))], "id long, body string, x double")
+    df = left.join(spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, None)], "id long, label int"), "id", "left")
+    for cols in (("body", "label"), ("body", "x"), ("label",)):
+        assert sorted(r["id"] for r in N.drop_incomplete(df, cols).collect()) == sorted(r["id"] for r in df.na.drop(subset=list(cols)).collect())
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = N.drop_incomplete(df).select("x")._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[:plan.index("Join")]
+        assert "body" not in above and "Filter" not in above
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
